@@ -2,17 +2,59 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, suffix
-from .common import table
+from . import ann, bpe, fingerprint, langid, minhash, mixing, sharding, suffix
+from .common import held_out, table
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_min_cost_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(table(spark, sf_dir, "documents"), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op5_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    # only the id and the text reach the prediction
+    langs, model = langid.train(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), langs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.neighbours(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(
@@ -24,9 +66,19 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_min_cost_mixing": op3_min_cost_mixing,
+    "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op5_mixture_language_id": op5_mixture_language_id,
+    "op6_backtracking_bpe": op6_backtracking_bpe,
+    "op7_prefix_fingerprints": op7_prefix_fingerprints,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_additive_quantisation": op9_additive_quantisation,
 }
 
 ORACLE_SQL = {
