@@ -13,10 +13,12 @@ are linked; a class is a connected component of links.
 4. Signature verification drops pairs whose bits differ too often (over five standard
    deviations beyond what the threshold allows); full sets confirm the rest.
 5. Components of the confirmed links come from alternating large-star and small-star.
-6. A bucket that still holds two or more components is joined with itself under the
-   conditions "other component" and "signatures agree", which the join tests before it emits
-   a row. First each document's best partner is confirmed, which joins a group that hangs
-   together by a hub, then all pairs that are left: no link that banding can find is lost.
+6. Buckets that still hold two components or more may hide links that no star has. Those of
+   up to ``SMALL`` rows are joined with themselves, under the conditions "other component" and
+   "signatures agree", and full sets confirm the pairs. Documents that larger ones connect form
+   crowds, in which most pairs are near misses: a crowd is dealt into blocks of about ``BLOCK``
+   documents, and each pair of blocks counts the intersections of documents of different
+   components exactly and returns only links. No link that banding can find is lost.
 
 A pair at exactly 0.8 shares no band with a probability of about 1e-6.
 
@@ -31,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PowerTable, Workspace, byte_column, mix, slices
@@ -39,6 +41,10 @@ from .common import PowerTable, Workspace, byte_column, mix, slices
 ROWS, BANDS = 7, 64
 HASHES = ROWS * BANDS // 2
 SIGNATURE_WORDS = 4
+#: Rows of a bucket up to which all its pairs of different components are tested.
+SMALL = 4
+#: Documents of a block of a crowd.
+BLOCK = 1500
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -165,6 +171,40 @@ def _sets(width: int):
     return run
 
 
+def _links_of_block(percent: int):
+    """All links between documents of different components in a pair of blocks, by postings of shingles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp, own = (table.column(x).to_numpy() for x in ("row_id", "c", "own"))
+        sets = table.column("shingles").combine_chunks()
+        off = np.asarray(sets.offsets).astype(np.int64)
+        size = np.diff(off)
+        _, value = np.unique(np.asarray(sets.flatten()), return_inverse=True)
+        owner = np.repeat(np.arange(len(ids)), size)
+        by = np.argsort(value, kind="stable")
+        posted, start = owner[by], np.searchsorted(value[by], np.arange(len(by) and value.max() + 2))
+        names, counts = np.unique(comp, return_counts=True)
+        # pairs within a component need no test; each other pair has a side outside the largest one
+        outside = np.flatnonzero(comp != names[np.argmax(counts)]) if len(names) > 1 else []
+        two = own.min() != own.max()
+        us, vs = [], []
+        for x in outside:
+            grams = value[off[x] : off[x + 1]]
+            lo, n = start[grams], start[grams + 1] - start[grams]
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            same = np.bincount(posted[at], minlength=len(ids))
+            hit = (same * 100 >= (size + size[x] - same) * percent) & (comp != comp[x])
+            if two:
+                hit &= own != own[x]
+            y = np.flatnonzero(hit)
+            us.append(np.full(len(y), ids[x]))
+            vs.append(ids[y])
+        none = np.zeros(0, np.int64)
+        return pa.table({"u": np.concatenate([none, *us]), "v": np.concatenate([none, *vs])})
+
+    return run
+
+
 def components(edges: DataFrame, space: Workspace, name: str = "cc") -> DataFrame:
     """(node, component) of undirected ``edges`` (u, v): alternating large-star and small-star.
 
@@ -232,28 +272,28 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     links = space.put(confirmed(likely), "links-0")
     found = space.put(components(links, space, "cc0"), "found-0")
 
-    def residual() -> DataFrame:
-        """Rows of buckets with two components or more."""
-        known = buckets.select("bucket", "row_id").join(found, F.col("row_id") == F.col("node"), "left").select("bucket", "row_id", F.coalesce("component", "row_id").alias("c"))
-        mixed = known.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("bucket")
-        return known.join(mixed, "bucket").join(info, "row_id")
-
-    def crossing(rest: DataFrame) -> DataFrame:
-        cols = lambda k: rest.select("bucket", F.col("row_id").alias(k), F.col("c").alias(f"{k}c"), F.col("n_shingles").alias(f"{k}n"), *(F.col(s).alias(f"{k}{s}") for s in sig))
-        a, b = cols("a"), cols("b")
-        return a.join(b, (a["bucket"] == b["bucket"]) & (F.col("ac") < F.col("bc")) & fits("a", "b") & (apart("a", "b") <= most)).select("a", "b", apart("a", "b").alias("off")).distinct()
-
-    rest = space.put(residual(), "rest-0")
+    # buckets that still hold two components or more
+    known = buckets.select("bucket", "row_id", "lo").join(found, F.col("row_id") == F.col("node"), "left").select("bucket", "row_id", "lo", F.coalesce("component", "row_id").alias("c"))
+    mixed = known.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("rows")).where("x < y").select("bucket", "rows")
+    rest = space.put(known.join(mixed, "bucket"), "rest")
+    space.drop("buckets")
     if not rest.isEmpty():
-        pairs = crossing(rest)
-        either = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "off"))
-        best = either.groupBy("a").agg(F.min_by("b", "off").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = space.put(links.unionByName(confirmed(best)), "links-1")
+        large = rest.where(F.col("rows") > SMALL)
+        crowds = space.put(components(large.select(F.col("row_id").alias("u"), F.col("lo").alias("v")), space, "cw").select(F.col("node").alias("row_id"), F.col("component").alias("crowd")), "crowds")
+        small = rest.where(F.col("rows") <= SMALL).join(info, "row_id").join(crowds, "row_id", "left")
+        cols = lambda k: small.select("bucket", F.col("row_id").alias(k), F.col("c").alias(f"{k}c"), F.col("crowd").alias(f"{k}w"), F.col("n_shingles").alias(f"{k}n"), *(F.col(s).alias(f"{k}{s}") for s in sig))
+        a, b = cols("a"), cols("b")
+        apart_too = (F.col("ac") < F.col("bc")) & F.coalesce(F.col("aw") != F.col("bw"), F.lit(True))
+        pairs = a.join(b, (a["bucket"] == b["bucket"]) & apart_too & fits("a", "b") & (apart("a", "b") <= most)).select("a", "b").distinct()
+
+        members = crowds.join(large.select("row_id", "c").distinct(), "row_id")
+        blocks = members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")
+        spread = members.join(blocks, "crowd").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.select("row_id", "c", "crowd", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        within = spread.join(sets, "row_id").groupBy("crowd", "low", "high").applyInArrow(_links_of_block(percent), "u long, v long")
+        links = space.put(links.unionByName(confirmed(pairs)).unionByName(within), "links-1")
         found = space.put(components(links, space, "cc1"), "found-1")
-        rest = space.put(residual(), "rest-1")
-        if not rest.isEmpty():
-            links = space.put(links.unionByName(confirmed(crossing(rest))), "links-2")
-            found = space.put(components(links, space, "cc2"), "found-2")
 
     heads = classes.join(found, F.col("rep") == F.col("node"), "left").select("d0", "d1", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     rows = sketches.select("row_id", "n_shingles", "d0", "d1")
