@@ -221,15 +221,16 @@ def _tools(shared) -> tuple[Encoder, Decoder]:
     return _MADE[shared.value["key"]]
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``ids`` (binary: little-endian unsigned 32-bit) and ``decoded`` (text).
+def encode_decode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (binary: little-endian unsigned 32-bit) and ``decoded`` (text), and without its text unless ``keep_text``.
 
+    Columns of ``docs`` with these names give way.
     The vocabulary is a file of fixed size that the driver reads and broadcasts.
     """
     vocabulary = load_vocabulary(vocabulary_path)
     vocabulary["key"] = hash((vocabulary_path, len(vocabulary["tokens"]), tuple(vocabulary["order"][:1000])))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in ("ids", "decoded") and (keep_text or c != text_col)]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

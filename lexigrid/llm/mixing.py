@@ -117,8 +117,8 @@ def route(patterns: dict[tuple, int], quota: dict, most: int = MOST) -> dict[tup
     return out
 
 
-def mix(docs: DataFrame, *, sources: Column | None = None, weights: Sequence[float] = WEIGHTS, most: int = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, sources, size, source_size and target (of its first source), copies and taken (words, copies counted).
+def mix(docs: DataFrame, *, sources: Column | None = None, weights: Sequence[float] = WEIGHTS, most: int = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: its id, the columns of ``keep``, sources, size, source_size and target (of its first source), copies and taken (words, copies counted).
 
     ``sources`` is an array of names (null is a name too); the column ``source`` alone by default.
     Sources and patterns go to the driver: their number must be far below that of documents.
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, *, sources: Column | None = None, weights: Sequence[flo
     space = Workspace(spark, "mixing")
     member = F.array_distinct(sources) if sources is not None else F.array(F.col("source").cast("string"))
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, _DIGITS), 16, 10).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), member.alias("sources"), words(F.col(text_col).cast("string")).alias("size"), draw.alias("draw"))
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), member.alias("sources"), words(F.col(text_col).cast("string")).alias("size"), draw.alias("draw"), F.struct(F.lit(0).alias("_"), *keep).alias("own"))
     rows = space.put(rows.withColumn("bucket", F.shiftright("draw", 4 * _DIGITS - BUCKETS.bit_length() + 1).cast("int")), "rows")
 
     patterns = {tuple(r.sources): r.size for r in rows.groupBy("sources").agg(F.sum("size").alias("size")).collect()}
@@ -155,11 +155,11 @@ def mix(docs: DataFrame, *, sources: Column | None = None, weights: Sequence[flo
     stop = ends.groupBy("p").agg(F.max(F.when(F.col("sum") <= F.col("rest"), F.col("sum"))).alias("full"), F.min("below").alias("below"), F.max("rest").alias("rest"), F.min(F.when(F.col("sum") > F.col("rest"), F.struct("draw", "i", "size"))).alias("stop"))
     stop = stop.select("p", (F.col("rest") - F.coalesce("full", "below")).alias("gap"), "stop")
     rows = rows.join(plan, "p", "left").join(stop, "p", "left")
-    own = F.struct("draw", "i", "size")
-    rows = rows.withColumn("extra", F.coalesce((F.col("rest") > 0) & (F.col("stop").isNull() | (own < F.col("stop"))), F.lit(False)))
+    place = F.struct("draw", "i", "size")
+    rows = rows.withColumn("extra", F.coalesce((F.col("rest") > 0) & (F.col("stop").isNull() | (place < F.col("stop"))), F.lit(False)))
     off = F.abs(F.col("gap") - F.col("size"))
     closing = rows.where((~F.col("extra")) & (F.col("gap") > 0) & (off < F.col("gap"))).groupBy("p").agg(F.min(F.struct(off.alias("off"), "draw", "i", "size")).alias("c")).select("p", F.col("c.draw").alias("cd"), F.col("c.i").alias("ci"), F.col("c.size").alias("cs"))
     closing = closing.withColumn("closes", F.lit(True))
     rows = rows.join(closing, (rows["p"] == closing["p"]) & (F.col("draw") == F.col("cd")) & F.col("i").eqNullSafe(F.col("ci")) & (F.col("size") == F.col("cs")) & ~F.col("extra"), "left")
     copies = F.col("base") + F.when(F.col("extra") | F.coalesce("closes", F.lit(False)), 1).otherwise(0)
-    return rows.select(F.col("i").alias(id_col), "sources", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return rows.select(F.col("i").alias(id_col), *(F.col(f"own.{c}") for c in keep), "sources", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))

@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, langid, minhash, mixing, sharding, suffix
+from . import ann, bpe, fingerprint, langid, minhash, mixing, pseudo, sharding, suffix, toxicity
 from .common import held_out, table
 
 
+def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
+    return toxicity.fit_and_score(docs, table(spark, sf_dir, "labels"), ~held_out(), keep=("held_out",))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -70,7 +75,19 @@ def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op10_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo.fit_and_score(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
+    "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_min_cost_mixing": op3_min_cost_mixing,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
@@ -79,6 +96,7 @@ QUERIES = {
     "op7_prefix_fingerprints": op7_prefix_fingerprints,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_additive_quantisation": op9_additive_quantisation,
+    "op10_masked_pseudo_likelihood": op10_masked_pseudo_likelihood,
 }
 
 ORACLE_SQL = {

@@ -330,7 +330,7 @@ def _removal(length: int):
                 cuts = np.searchsorted(b, off)
                 kept_at = np.concatenate(([0], np.cumsum(~gone)))[off]
                 kept = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(kept_at.astype(np.int32)), pa.py_buffer(raw[~gone].tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("t"), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans), kept], ["i", "t", "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans), kept], ["row", "n_bytes", "spans", "kept"])
 
     return run
 
@@ -379,14 +379,14 @@ def repeats(texts: DataFrame, space: Workspace, length: int = LENGTH, hot: int =
     return found
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, n_bytes, spans (start, end of the removed bytes) and kept (the other bytes)."""
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: its id, the columns of ``keep``, n_bytes, spans (start, end of the removed bytes) and kept (the other bytes)."""
     space = Workspace(docs.sparkSession, "suffix")
     # the least id stands for a null one; a hash tells texts of a repeated id apart
     i, t = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.hash(F.col(text_col).cast("string"))
-    texts = docs.select(i.alias("i"), t.alias("t"), F.col(text_col).cast("string").alias("text"))
-    strings = repeats(texts, space, length, hot).groupBy("i", "t").agg(F.collect_list(F.struct("x", "y")).alias("strings"))
+    texts = docs.select(i.alias("i"), t.alias("t"), F.col(text_col).cast("string").alias("text"), F.struct(id_col, *keep).alias("row"))
+    strings = repeats(texts.drop("row"), space, length, hot).groupBy("i", "t").agg(F.collect_list(F.struct("x", "y")).alias("strings"))
     none = F.array().cast("array<struct<x:int,y:int>>")
     rows = texts.join(strings, ["i", "t"], "left").withColumn("strings", F.coalesce("strings", none))
-    out = rows.mapInArrow(_removal(length), "i long, t int, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
-    return out.select(F.when(F.col("i") != -(2**63), F.col("i")).alias(id_col), "n_bytes", "spans", "kept")
+    schema = rows.select("row", F.lit(0).cast("long").alias("n_bytes"), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).alias("spans"), F.lit(b"").alias("kept")).schema
+    return rows.mapInArrow(_removal(length), schema).select("row.*", "n_bytes", "spans", "kept")
