@@ -8,8 +8,8 @@ are linked; a class is a connected component of links.
    and from these the band keys and one signature bit a minimum.
 2. Documents with the same set collapse to the smallest id (a partial aggregate, so a group
    of copies of any size costs one row a task).
-3. Bands: the minima are dealt twice, by two fixed permutations, into bands of ``ROWS``. Within a
-   bucket only the pairs with its smallest and its largest member are formed (stars).
+3. Each ``ROWS`` minima are a band. Within a bucket of equal bands only the pairs with its
+   smallest and its largest member are formed (stars).
 4. Signature verification drops pairs whose bits differ too often (over five standard
    deviations beyond what the threshold allows); full sets confirm the rest.
 5. Components of the confirmed links come from alternating large-star and small-star.
@@ -20,7 +20,7 @@ are linked; a class is a connected component of links.
    documents, and each pair of blocks counts the intersections of documents of different
    components exactly and returns only links. No link that banding can find is lost.
 
-A pair at exactly 0.8 shares no band with a probability of about 1e-6.
+A pair at exactly 0.8 shares no band with a probability of 5e-6.
 
 Nulls and texts without words have an empty set and link with nothing. Rows that repeat a
 doc_id are treated as one document per distinct text; a null doc_id links with nothing.
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import PowerTable, Workspace, byte_column, mix, slices
 
-ROWS, BANDS = 7, 64
-HASHES = ROWS * BANDS // 2
+ROWS, BANDS = 6, 40
+HASHES = ROWS * BANDS
 SIGNATURE_WORDS = 4
 #: Rows of a bucket up to which all its pairs of different components are tested.
 SMALL = 4
@@ -54,7 +54,7 @@ _POWER = PowerTable(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
 _MULTIPLIERS = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
-_BANDS = np.concatenate([_RNG.permutation(HASHES).reshape(-1, ROWS) for _ in range(2)])
+_BANDS = np.arange(HASHES).reshape(BANDS, ROWS)
 _BAND_MULTIPLIERS = _RNG.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
