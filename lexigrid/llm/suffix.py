@@ -360,7 +360,8 @@ def repeats(texts: DataFrame, space: Workspace, length: int = LENGTH, hot: int =
     space.drop("candidates", "kinds-0")
     cold, step, wide = [regions.where(F.col("kinds") <= hot)], 1, length
     names = ["spans-0"]
-    while not (over := regions.where((F.col("kinds") > hot) & (F.col("nw") > 1))).isEmpty():
+    # at width 1 the common string is the whole string, so that every anchor has one kind
+    while wide > 1 and not (over := regions.where(F.col("kinds") > hot)).isEmpty():
         wide = -(-wide // 4)
         parts = over.withColumn("step", F.lit(wide)).mapInArrow(_quarters(length), "i long, t int, ws int, nw int, d int, n long, k long, r long, region binary")
         parts = space.put(parts, f"parts-{step}")

@@ -51,8 +51,8 @@ def test_without_training(odd, none):
 
 
 def test_trigrams_of_texts_are_apart():
-    a, first, doc = langid.trigrams(["ab", "", "İb c"])
-    assert doc.tolist() == [0, 2, 2]
+    a, first, doc = langid.trigrams(["ab", "", "Éb c", "İ"])
+    assert doc.tolist() == [0, 2, 2, 3]
     both, _, _ = langid.trigrams(["ab"])
     assert a[:2].tolist() == both.tolist()
     assert first[0] == 0
