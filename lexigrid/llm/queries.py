@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, fingerprint, langid, minhash, mixing, pseudo, sharding, suffix, toxicity
 from .common import held_out, table
+from .mixing_sql import mixing_sql
+from .suffix_sql import suffix_sql
 
 
 def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +102,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_min_cost_mixing": mixing_sql(),
+    "op8_suffix_array_dedup": suffix_sql(),
     "op2_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
