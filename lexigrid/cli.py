@@ -66,7 +66,7 @@ def tables(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame
             rolled = both(f"{scope}_profile", C.length_profile(words, scope, most), ["glyph", "length", "pos"], ["n"])
             out[f"{scope}_ratios"] = C.dense_profile(rolled, most, ("agg",))
     elif args.analysis == "pagepos":
-        placed = G.place(G.points(words), G.extents(words))
+        placed = G.place(words)
         for mode in ("page", "ms"):
             for name, (cols, rows) in G.TEXT_GRIDS.items():
                 both(f"grid_{mode}_{name}", G.histogram(placed, f"x_{mode}", f"y_{mode}", cols, rows), ["glyph", "col", "row"], ["n"])

@@ -52,10 +52,11 @@ def _pair(a: Column, b: Column) -> Column:
     return F.struct(a.alias("from_tok"), b.alias("to_tok"))
 
 
-def transitions(words: DataFrame, *, word: bool = True, line: bool = True, para: bool = True, page: bool = True) -> DataFrame:
-    """(folio, from_tok, to_tok, n): glyph to glyph inside words, and from and to the borders that are asked for.
+def transitions(words: DataFrame, *, by: tuple[str, ...] = ("folio",), word: bool = True, line: bool = True, para: bool = True, page: bool = True) -> DataFrame:
+    """(*by, from_tok, to_tok, n): glyph to glyph inside words, and from and to the borders that are asked for.
 
     Lines, paragraphs and pages count if their line has a glyph; a page ends only if its last line has one.
+    ``by`` may be any attributes of pages that lines carry; no table by page is made then.
     """
     framed = (lambda w: F.concat(F.lit(T.WORD_START), w, F.lit(T.WORD_END))) if word else (lambda w: w)
     none = F.array().cast("array<struct<from_tok:string,to_tok:string>>")
@@ -73,11 +74,11 @@ def transitions(words: DataFrame, *, word: bool = True, line: bool = True, para:
     if para:
         parts.append(F.when(full & F.col("para_start"), F.array(_pair(F.lit(T.PARA_START), first))).otherwise(none))
         parts.append(F.when(full & F.col("para_end"), F.array(_pair(last, F.lit(T.PARA_END)))).otherwise(none))
-    counts = words.select("folio", F.explode(F.concat(*parts)).alias("p")).groupBy("folio", "p.from_tok", "p.to_tok").agg(F.count("*").alias("n"))
+    counts = words.select(*by, F.explode(F.concat(*parts)).alias("p")).groupBy(*by, "p.from_tok", "p.to_tok").agg(F.count("*").alias("n"))
     if page:
-        ends = words.groupBy("folio").agg(F.min_by(F.when(full, first), F.when(full, F.col("line_idx"))).alias("first"), F.max_by(last, "line_idx").alias("last"))
-        ends = ends.select("folio", F.explode(F.array(_pair(F.lit(T.PAGE_START), F.col("first")), _pair(F.col("last"), F.lit(T.PAGE_END)))).alias("p")).select("folio", "p.*", F.lit(1).cast("long").alias("n"))
-        counts = counts.unionByName(ends.where("from_tok <> '' and to_tok <> ''"))
+        ends = words.groupBy(*dict.fromkeys(("folio", *by))).agg(F.min_by(F.when(full, first), F.when(full, F.col("line_idx"))).alias("first"), F.max_by(last, "line_idx").alias("last"))
+        ends = ends.select(*by, F.explode(F.array(_pair(F.lit(T.PAGE_START), F.col("first")), _pair(F.col("last"), F.lit(T.PAGE_END)))).alias("p")).select(*by, "p.*")
+        counts = counts.unionByName(ends.where("from_tok <> '' and to_tok <> ''").groupBy(*by, "from_tok", "to_tok").agg(F.count("*").alias("n")))
     return counts
 
 

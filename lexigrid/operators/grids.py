@@ -34,10 +34,17 @@ def points(words: DataFrame) -> DataFrame:
     return words.select("folio", "line_num", F.posexplode(T.glyphs(_solid())).alias("char_idx", "glyph"))
 
 
-def place(points: DataFrame, extents: DataFrame) -> DataFrame:
-    """Points with x and y in the page (x_page, y_page) and in the corpus (x_ms, y_ms); extents of the corpus are one row."""
-    whole = extents.agg(F.max("max_line").alias("g_line"), F.max("max_width").alias("g_width"))
-    rows = points.join(extents, "folio").join(F.broadcast(whole))
+def place(words: DataFrame) -> DataFrame:
+    """Points with x and y in the page (x_page, y_page) and in the corpus (x_ms, y_ms), and the lines' other columns.
+
+    Extents are attached to lines, before glyphs are exploded: one shuffle of lines by page, which
+    counts by page use again; extents of the corpus are one row.
+    """
+    page = Window.partitionBy("folio")
+    whole = words.agg(F.max("line_num").alias("g_line"), F.max(F.length(_solid())).alias("g_width"))
+    lines = words.withColumn("solid", _solid()).drop("norm", "words", "line_idx", "para_start", "para_end")
+    lines = lines.withColumns({"min_line": F.min("line_num").over(page), "max_line": F.max("line_num").over(page), "max_width": F.max(F.length("solid")).over(page)})
+    rows = lines.select(*[c for c in lines.columns if c != "solid"], F.posexplode(T.glyphs(F.col("solid"))).alias("char_idx", "glyph")).join(F.broadcast(whole))
     half = F.lit(0.5)
     return rows.withColumns({
         "y_page": F.when(F.col("max_line") > F.col("min_line"), (F.col("line_num") - F.col("min_line")) / F.nullif(F.col("max_line") - F.col("min_line"), F.lit(0))).otherwise(half),
@@ -110,14 +117,15 @@ def scaled_to_most(grid: DataFrame, by: tuple[str, ...], value: str) -> DataFram
 
 
 def glyph_boxes(boxes: DataFrame, profile: Profile | None = EVA_DISTINCT) -> DataFrame:
-    """(folio, page_width, page_height, glyph, x, y): glyphs share their word's width evenly and stand at its mid height.
+    """(folio, page_width, page_height, glyph, x, y) and the boxes' other columns: glyphs share their word's width evenly and stand at its mid height.
 
     Without a profile the words count as normalised.
     """
     text = F.col("text") if profile is None else T.normalise(F.col("text"), profile, separators=False)
     rows = boxes.withColumn("g", text).where("g <> ''")
-    rows = rows.select("folio", "page_width", "page_height", "x", "y", "width", "height", F.length("g").alias("k"), F.posexplode(T.glyphs(F.col("g"))).alias("i", "glyph"))
-    return rows.select("folio", "page_width", "page_height", "glyph", (F.col("x") + (F.col("i") + 0.5) * (F.col("width") / F.col("k"))).alias("x"), (F.col("y") + F.col("height") / 2).alias("y"))
+    other = [c for c in boxes.columns if c not in ("folio", "page_width", "page_height", "word_idx", "x", "y", "width", "height", "text")]
+    rows = rows.select("folio", "page_width", "page_height", *other, "x", "y", "width", "height", F.length("g").alias("k"), F.posexplode(T.glyphs(F.col("g"))).alias("i", "glyph"))
+    return rows.select("folio", "page_width", "page_height", *other, "glyph", (F.col("x") + (F.col("i") + 0.5) * (F.col("width") / F.col("k"))).alias("x"), (F.col("y") + F.col("height") / 2).alias("y"))
 
 
 def place_boxes(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:

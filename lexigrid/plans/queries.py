@@ -43,11 +43,6 @@ def _r(c: str | Column, name: str | None = None) -> Column:
     return F.round(c, 6).alias(name or c)
 
 
-def _by_language(spark: SparkSession, sf_dir: str, counts: DataFrame, keys: list[str], measure: str = "n") -> DataFrame:
-    pages = _corpus(spark, sf_dir).pages.select("folio", "language")
-    return counts.join(pages, "folio").groupBy("language", *keys).agg(F.sum(measure).cast("long").alias(measure))
-
-
 # glyphs and n-grams
 
 
@@ -121,7 +116,7 @@ def web_page_unigrams(spark, d):
 
 def _transitions(spark, d, **which) -> DataFrame:
     off = {"word": False, "line": False, "para": False, "page": False}
-    return _by_language(spark, d, C.transitions(_words(spark, d), **(off | which)), ["from_tok", "to_tok"])
+    return C.transitions(_words(spark, d), by=LANG, **(off | which))
 
 
 def _borders(start: str, end: str) -> Column:
@@ -195,8 +190,7 @@ def markov_scaled_view(spark, d):
 
 @query
 def conversation_transitions(spark, d):
-    rows = C.transitions(K.from_conversations(_table(spark, d, "conversations")).words())
-    return rows.groupBy("from_tok", "to_tok").agg(F.sum("n").cast("long").alias("n"))
+    return C.transitions(K.from_conversations(_table(spark, d, "conversations")).words(), by=())
 
 
 # positions in words and lines
@@ -271,12 +265,11 @@ def charpos_line_counts(spark, d):
 
 
 def _placed(spark, d) -> DataFrame:
-    words = _words(spark, d)
-    return G.place(G.points(words), G.extents(words))
+    return G.place(_words(spark, d))
 
 
 def _grid(spark, d, x: str, y: str, cols: int, rows: int) -> DataFrame:
-    return _by_language(spark, d, G.histogram(_placed(spark, d), x, y, cols, rows), ["glyph", "col", "row"])
+    return G.histogram(_placed(spark, d), x, y, cols, rows, LANG)
 
 
 def _coarse(spark, d) -> DataFrame:
@@ -305,7 +298,7 @@ def pagepos_grid_manuscript(spark, d):
 
 @query
 def pagepos_raw_grid(spark, d):
-    return _by_language(spark, d, G.raw_text_grid(_placed(spark, d)), ["glyph", "col", "row"])
+    return G.raw_text_grid(_placed(spark, d), LANG)
 
 
 @query
@@ -362,13 +355,13 @@ def pagepos_region_label(spark, d):
 
 def document_boxes(words: DataFrame) -> DataFrame:
     """A box for each word: 12 pixels a character, 40 a line; pages end with their longest line."""
-    rows = words.select("folio", "line_idx", F.posexplode("words").alias("k", "text"))
+    rows = words.select("folio", "language", "line_idx", F.posexplode("words").alias("k", "text"))
     before = Window.partitionBy("folio", "line_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("k") + F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
     start = F.col("start").cast("int")
-    rows = rows.select("folio", (F.col("line_idx") * 100000 + F.col("k")).cast("long").alias("word_idx"), (start * 12).alias("x"), (F.col("line_idx") * 40).alias("y"), (F.length("text") * 12).alias("width"), F.lit(30).alias("height"), "text")
-    size = rows.groupBy("folio").agg(F.max(F.col("x") + F.col("width")).alias("page_width"), (F.max("y") + 40).alias("page_height"))
-    return rows.join(size, "folio")
+    rows = rows.select("folio", "language", (F.col("line_idx") * 100000 + F.col("k")).cast("long").alias("word_idx"), (start * 12).alias("x"), (F.col("line_idx") * 40).alias("y"), (F.length("text") * 12).alias("width"), F.lit(30).alias("height"), "text")
+    page = Window.partitionBy("folio")
+    return rows.withColumns({"page_width": F.max(F.col("x") + F.col("width")).over(page), "page_height": F.max("y").over(page) + 40})
 
 
 def _pixels(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -389,17 +382,17 @@ def physpos_interpolate(spark, d):
 
 @query
 def physpos_grid_page(spark, d):
-    return _by_language(spark, d, G.histogram(_pixel_points(spark, d), "x_page", "y_page", *G.PIXEL_GRIDS["coarse"]), ["glyph", "col", "row"])
+    return G.histogram(_pixel_points(spark, d), "x_page", "y_page", *G.PIXEL_GRIDS["coarse"], LANG)
 
 
 @query
 def physpos_grid_manuscript(spark, d):
-    return _by_language(spark, d, G.histogram(_pixel_points(spark, d), "x_ms", "y_ms", *G.PIXEL_GRIDS["fine"]), ["glyph", "col", "row"])
+    return G.histogram(_pixel_points(spark, d), "x_ms", "y_ms", *G.PIXEL_GRIDS["fine"], LANG)
 
 
 @query
 def physpos_raw_grid(spark, d):
-    return _by_language(spark, d, G.raw_pixel_grid(_pixel_points(spark, d)), ["glyph", "col", "row"])
+    return G.raw_pixel_grid(_pixel_points(spark, d), LANG)
 
 
 @query

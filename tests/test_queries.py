@@ -67,7 +67,7 @@ def test_invariants(words):
     assert total(p, "total") == n_glyphs == total(C.ngrams(words, (1,)), "cnt")
     sums = C.probabilities(trans, ("folio",)).groupBy("folio", "from_tok").agg(F.sum("prob").alias("s"))
     assert sums.where("abs(s - 1) > 1e-9").isEmpty()
-    grid = G.histogram(G.place(G.points(words), G.extents(words)), "x_page", "y_page", 5, 10)
+    grid = G.histogram(G.place(words), "x_page", "y_page", 5, 10)
     assert total(grid, "n") == n_glyphs
 
 

@@ -77,7 +77,7 @@ def test_grids(source):
     e = {r.folio: r for r in G.extents(words).collect()}
     assert (e["f1r"].min_line, e["f1r"].max_line, e["f1r"].max_width) == (1, 2, 16)
     assert (e["f1v"].min_line, e["f1v"].max_line, e["f1v"].max_width) == (1, 1, 9)
-    cells = {(r.folio, r.glyph, r.col, r.row): r.n for r in G.histogram(G.place(G.points(words), G.extents(words)), "x_page", "y_page", *G.TEXT_GRIDS["coarse"]).collect()}
+    cells = {(r.folio, r.glyph, r.col, r.row): r.n for r in G.histogram(G.place(words), "x_page", "y_page", *G.TEXT_GRIDS["coarse"]).collect()}
     assert {k[2:]: n for k, n in cells.items() if k[:2] == ("f1r", "a")} == {(0, 0): 1, (2, 0): 2, (3, 0): 1, (4, 0): 1}
     assert {k[2:]: n for k, n in cells.items() if k[:2] == ("f1r", "o")} == {(0, 9): 1, (2, 9): 1}
     assert {k[2:]: n for k, n in cells.items() if k[:2] == ("f1v", "o")} == {(0, 5): 1}
@@ -137,7 +137,7 @@ def test_nested_results(spark, source, tmp_path):
     assert nested.where("folio = 'f1v'").first().transitions["^^^^|o"] == 1
     back = results.long_transitions(nested, "folio")
     assert back.exceptAll(counts.select(back.columns)).isEmpty()
-    grid = G.histogram(G.place(G.points(words), G.extents(words)), "x_page", "y_page", 5, 10)
+    grid = G.histogram(G.place(words), "x_page", "y_page", 5, 10)
     assert results.long_grid(results.nested_grid(grid, "folio"), "folio").exceptAll(grid).isEmpty()
     assert results.nested_positions(C.position_ratios(C.word_positions(words)), "folio").count() == 2
     assert results.nested_profile(C.dense_profile(C.length_profile(words, "word", 3), 3, ("folio",)), "folio").first().profile.keys() == {"1", "2", "3"}
