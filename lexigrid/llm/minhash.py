@@ -17,7 +17,7 @@ are linked; a class is a connected component of links.
    up to ``SMALL`` rows are joined with themselves, under the conditions "other component" and
    "signatures agree", and full sets confirm the pairs. Documents that larger ones connect form
    crowds, in which most pairs are near misses: a crowd is dealt into blocks of about ``BLOCK``
-   documents, and each pair of blocks counts the intersections of documents of different
+   shingles, and each pair of blocks counts the intersections of documents of different
    components exactly and returns only links. No link that banding can find is lost.
 
 A pair at exactly 0.8 shares no band with a probability of 5e-6.
@@ -43,8 +43,10 @@ HASHES = ROWS * BANDS
 SIGNATURE_WORDS = 4
 #: Rows of a bucket up to which all its pairs of different components are tested.
 SMALL = 4
-#: Documents of a block of a crowd.
-BLOCK = 1500
+#: Shingles that a block of a crowd is planned for (16 MB).
+BLOCK = 2_000_000
+#: Bits of the filter that tells documents of buckets from others.
+FILTER_BITS = 1 << 26
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -160,9 +162,36 @@ def _sketches(width: int):
     return run
 
 
-def _sets(width: int):
+def _slots(ids: np.ndarray) -> np.ndarray:
+    """Places of ids in the filter."""
+    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.unique(_slots(batch.column("row_id").to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array(at // 32768), pa.array(at % 32768)], ["page", "bit"])
+
+
+def id_filter(ids: DataFrame) -> np.ndarray | None:
+    """A bit for each hash of an id, FILTER_BITS in all (8 MB at most); None if over an eighth of them would be set."""
+    if ids.count() * 8 > FILTER_BITS:
+        return None
+    pages = ids.mapInArrow(_filter_bits, "page long, bit long").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for p in pages:
+        out[p.page * 4096 : (p.page + 1) * 4096] = np.frombuffer(p.bits, np.uint8)
+    return out
+
+
+def _sets(width: int, shared=None):
+    """Sets of the texts whose ids pass the filter, if there is one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            if shared is not None:
+                at = _slots(whole.column("row_id").to_numpy())
+                whole = whole.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
             for batch in slices(whole, "text"):
                 raw, off = byte_column(batch.column("text"))
                 sets, at = shingle_sets(raw, off, width)
@@ -251,7 +280,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     buckets = space.put(rows.join(ends, "bucket").select("bucket", "row_id", "lo", "hi"), "buckets")
     in_bucket = buckets.select("row_id").distinct()
     info = space.put(reps.join(in_bucket, "row_id", "left_semi").select("row_id", "n_shingles", *sig).distinct(), "info")
-    sets = space.put(texts.where("row_id is not null").join(info.select("row_id").distinct(), "row_id", "left_semi").mapInArrow(_sets(width), SET_SCHEMA), "sets")
+    # the filter keeps most texts out of the shuffle; the exact join drops what passes by chance
+    wanted = info.select("row_id").distinct()
+    bits = id_filter(wanted)
+    some = texts.where("row_id is not null")
+    if bits is None:
+        sets = some.join(wanted, "row_id", "left_semi").mapInArrow(_sets(width), SET_SCHEMA)
+    else:
+        sets = some.mapInArrow(_sets(width, spark.sparkContext.broadcast(bits)), SET_SCHEMA).join(wanted, "row_id", "left_semi")
+    sets = space.put(sets, "sets")
 
     # the mean share of equal bits is (1 + J) / 2; five standard deviations are left for chance
     j = percent / 100
@@ -269,6 +306,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
     stars = buckets.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("row_id").alias("b")), F.struct(F.col("row_id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     likely = stars.join(side("a"), "a").join(side("b"), "b").where(fits("a", "b") & (apart("a", "b") <= most))
+    likely = likely.groupBy("b").agg(F.min_by("a", apart("a", "b")).alias("a"))
     links = space.put(confirmed(likely), "links-0")
     found = space.put(components(links, space, "cc0"), "found-0")
 
@@ -287,7 +325,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         pairs = a.join(b, (a["bucket"] == b["bucket"]) & apart_too & fits("a", "b") & (apart("a", "b") <= most)).select("a", "b").distinct()
 
         members = crowds.join(large.select("row_id", "c").distinct(), "row_id")
-        blocks = members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        blocks = members.join(info.select("row_id", "n_shingles"), "row_id").groupBy("crowd").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
         own = F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")
         spread = members.join(blocks, "crowd").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         spread = spread.select("row_id", "c", "crowd", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
