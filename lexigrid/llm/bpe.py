@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructType
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Distinct pieces, and pairs of tokens, that a worker remembers at once.
 PIECES, PAIRS = 400_000, 1_000_000
@@ -227,6 +227,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "tex
     Columns of ``docs`` with these names give way.
     The vocabulary is a file of fixed size that the driver reads and broadcasts.
     """
+    small_batches(docs.sparkSession)
     vocabulary = load_vocabulary(vocabulary_path)
     vocabulary["key"] = hash((vocabulary_path, len(vocabulary["tokens"]), tuple(vocabulary["order"][:1000])))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)

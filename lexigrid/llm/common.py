@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = 2000) -> None:
+    """Texts go to Python workers in batches of this many rows at most, so that buffers on both sides stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 class Workspace:
     """Tables that one operator call writes to the shared folder to cut its lineage.
 
@@ -31,6 +38,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

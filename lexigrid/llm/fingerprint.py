@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 SPAN, SAMPLE, CELLS = 16, 8, 32
@@ -142,6 +142,7 @@ def with_successors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     The texts are shuffled once. Only the least id of each range goes to the driver and back.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     bounds = np.unique(np.array(rows.approxQuantile("i", [k / parts for k in range(1, parts)], 0.25 / parts) or [0.0])).astype(np.int64)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
-from .common import slices
+from .common import slices, small_batches
 
 BUCKETS = 1 << 17
 ROUNDS, SET = 8, 4
@@ -79,6 +79,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
 
     The driver gets at most BUCKETS counts a language, whatever the size of the corpus.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     got = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
@@ -122,9 +123,10 @@ def mixtures(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, *, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``lang_pred``, ``score`` and ``languages`` (array of language and share, of the kept set)."""
+    """``docs`` without its text, with ``lang_pred``, ``score`` and ``languages`` (array of language and share, of the kept set); columns of these names give way."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "languages")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

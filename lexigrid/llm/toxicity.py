@@ -35,6 +35,8 @@ from .langid import letter_table
 POSITIVES, NEGATIVES = 4000, 8000
 PREFIXES = (4, 5, 6, 7, 8)
 SYMBOLS = 64
+#: Features that a task counts before it hands on what it has.
+COUNTED = 200_000
 #: Words of a worker's memory of tokens.
 REMEMBERED = 300_000
 #: States that a step of the decoder keeps.
@@ -258,14 +260,21 @@ def train(docs: DataFrame, labels: DataFrame, space: Workspace) -> dict:
     sample = space.put(docs.join(F.broadcast(picked.select("i", "y", "half")), "i"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, tables = Restorer(shared.value), {}
+        restorer, table = Restorer(shared.value), Counter()
+
+        def emit() -> pa.RecordBatch:
+            f, y, half = zip(*table, strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(y, pa.int32()), pa.array(half, pa.int32()), pa.array(table.values(), pa.int64())], ["f", "y", "half", "n"])
+            table.clear()
+            return out
+
         for batch in batches:
             for text, y, half in zip(*(batch.column(x).to_pylist() for x in ("text", "y", "half")), strict=True):
-                table = tables.setdefault((y, half), Counter())
-                table.update({f for w in set(restore(text or "", restorer).split()) for f in features(w)})
-        for (y, half), table in tables.items():
-            n = len(table)
-            yield pa.RecordBatch.from_arrays([pa.array(list(table), pa.string()), pa.array([y] * n, pa.int32()), pa.array([half] * n, pa.int32()), pa.array(list(table.values()), pa.int64())], ["f", "y", "half", "n"])
+                table.update((f, y, half) for f in {f for w in set(restore(text or "", restorer).split()) for f in features(w)})
+                if len(table) >= COUNTED:
+                    yield emit()
+        if table:
+            yield emit()
 
     cell = lambda y, h: F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"c{y}{h}")
     rows = sample.mapInArrow(count, "f string, y int, half int, n long").groupBy("f").agg(*(cell(y, h) for y in (0, 1) for h in (0, 1)))
