@@ -159,6 +159,12 @@ add("distinct_domains", "SELECT DISTINCT attribute, value FROM long WHERE value
 add("metadata_match_rate", "SELECT count(DISTINCT d.doc_id) AS folios, count(DISTINCT l.doc_id) AS matched FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 add("quire_numbers", "SELECT folio, quire, CAST(ascii(quire) - 64 AS INTEGER) AS number FROM pages", PAGES)
 
+add("markov_matrix_dense", "SELECT a.language, a.tok AS from_tok, b.tok AS to_tok, coalesce(n, 0) AS n FROM toks2 a JOIN toks2 b ON a.language = b.language LEFT JOIN bylang t ON t.language = a.language AND t.from_tok = a.tok AND t.to_tok = b.tok", BASE, TRANS, "\ntoks2 AS (SELECT language, from_tok AS tok FROM bylang UNION SELECT language, to_tok FROM bylang)")
+add("charset_union", "SELECT tok, count(*) FILTER (language = 'en') AS in_en, count(*) FILTER (language = 'de') AS in_de FROM (SELECT language, from_tok AS tok FROM bylang UNION SELECT language, to_tok FROM bylang) WHERE language IN ('en', 'de') GROUP BY tok", BASE, TRANS)
+add("top_ngrams_then_min_count", "SELECT * FROM (SELECT language, ngram, cnt, CAST(row_number() OVER (PARTITION BY language ORDER BY cnt DESC, ngram) AS INTEGER) AS rank FROM grams) WHERE rank <= 50 AND cnt >= 500", BASE, G2)
+add("page_order", "SELECT CAST(ascii(quire) - 64 AS INTEGER) AS number, folio, CAST(row_number() OVER (PARTITION BY quire ORDER BY folio) AS INTEGER) AS place FROM pages", PAGES)
+add("legend_colours", "SELECT language, CAST(row_number() OVER (ORDER BY min(folio), language) - 1 AS INTEGER) AS colour FROM pages GROUP BY language", PAGES)
+
 # positions in words and lines
 
 AT = """
@@ -184,6 +190,9 @@ add(
     "SELECT glyph, " + ", ".join(f"round({_d(p)}, 6) AS {p}_ratio_diff" for p in _P) + f", CASE WHEN {_d('start')} > 0.001 THEN 'a' WHEN {_d('start')} < -0.001 THEN 'b' ELSE 'same' END AS tendency FROM (SELECT * FROM wr WHERE language = 'en') a FULL JOIN (SELECT * FROM wr WHERE language = 'de') b USING (glyph)",
     BASE, AT, WP,
 )
+_scores = lambda x: f"(SELECT glyph, total, round(start_ratio - end_ratio, 6) AS score FROM wr WHERE language = '{x}')"
+add("wordpos_compare_order", f"SELECT b.glyph, b.total, b.score, CAST(row_number() OVER (ORDER BY a.rank NULLS LAST, b.glyph) AS INTEGER) AS rank FROM {_scores('de')} b LEFT JOIN (SELECT glyph, row_number() OVER (ORDER BY score DESC, glyph) AS rank FROM {_scores('en')}) a USING (glyph)", BASE, AT, WP)
+add("wordpos_diff_order", f"SELECT *, CAST(row_number() OVER (ORDER BY score_a DESC, glyph) AS INTEGER) AS rank FROM (SELECT glyph, round(coalesce(a.score, 0), 6) AS score_a, round(coalesce(a.score, 0) - coalesce(b.score, 0), 6) AS score_diff FROM {_scores('en')} a FULL JOIN {_scores('de')} b USING (glyph))", BASE, AT, WP)
 PROFILE = "\nprof AS (SELECT language, glyph, CAST(least(len, 9) AS INTEGER) AS length, pos, count(*) AS n FROM occ WHERE pos < 9 GROUP BY ALL)"
 DENSE = "\nplaces AS (SELECT CAST(l AS INTEGER) AS length, CAST(p AS INTEGER) AS pos FROM range(1, 10) AS a(l), range(0, 9) AS b(p) WHERE p < l),\ndense AS (SELECT t.language, t.glyph, length, pos, coalesce(n, 0) AS n, coalesce(n, 0) / total AS ratio FROM (SELECT language, glyph, sum(n) AS total FROM prof GROUP BY ALL) t CROSS JOIN places LEFT JOIN prof USING (language, glyph, length, pos))"
 add("charpos_word_profile", "SELECT * FROM prof", BASE, AT, PROFILE)

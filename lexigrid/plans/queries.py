@@ -106,6 +106,12 @@ def ngram_diff_topk(spark, d):
     return C.top(out.withColumn("one", F.lit(1)), ("one",), F.desc(F.abs("freq_diff")), "ngram", 20).drop("one")
 
 
+@query
+def top_ngrams_then_min_count(spark, d):
+    rows = C.ngrams(_words(spark, d), (2,), LANG)
+    return C.top(rows, LANG, F.desc("cnt"), "ngram", 50).where("cnt >= 500").select("language", "ngram", "cnt", "rank")
+
+
 @query
 def web_page_unigrams(spark, d):
     return C.ngrams(K.from_web_pages(_table(spark, d, "pages")).words(IDENTITY), (1,), ()).select(F.col("ngram").alias("glyph"), "cnt")
@@ -193,6 +199,20 @@ def conversation_transitions(spark, d):
     return C.transitions(K.from_conversations(_table(spark, d, "conversations")).words(), by=())
 
 
+@query
+def markov_matrix_dense(spark, d):
+    rows = _transitions(spark, d, word=True, line=True, para=True, page=True)
+    tokens = C.charset(rows, LANG).select("language", "tok")
+    square = tokens.withColumnRenamed("tok", "from_tok").join(tokens.withColumnRenamed("tok", "to_tok"), "language")
+    return square.join(rows, ["language", "from_tok", "to_tok"], "left").fillna(0, ["n"])
+
+
+@query
+def charset_union(spark, d):
+    rows = C.charset(_transitions(spark, d, word=True, line=True, para=True, page=True), LANG)
+    return rows.groupBy("tok").agg(F.count_if(F.col("language") == "en").alias("in_en"), F.count_if(F.col("language") == "de").alias("in_de")).where("in_en + in_de > 0")
+
+
 # positions in words and lines
 
 
@@ -233,6 +253,25 @@ def wordpos_diff(spark, d):
     return out.select("glyph", *(_r(f"{m}_diff") for m in names), "tendency")
 
 
+def _start_scores(spark, d) -> DataFrame:
+    rows = C.position_ratios(C.word_positions(_words(spark, d), LANG))
+    return rows.select("language", "glyph", "total", _r(F.col("start_ratio") - F.col("end_ratio"), "score"))
+
+
+@query
+def wordpos_compare_order(spark, d):
+    rows = _start_scores(spark, d)
+    side = lambda x: rows.where(F.col("language") == x).drop("language")
+    return D.keep_order(side("de"), D.order_of(side("en"), [], "score", "glyph"), "glyph")
+
+
+@query
+def wordpos_diff_order(spark, d):
+    rows = _start_scores(spark, d)
+    side = lambda x: rows.where(F.col("language") == x).select("glyph", "score")
+    return D.order_of(D.diff(side("en"), side("de"), ["glyph"], ["score"]).select("glyph", _r("score_a"), _r("score_diff")), [], "score_a", "glyph")
+
+
 @query
 def charpos_word_profile(spark, d):
     return C.length_profile(_words(spark, d), "word", 9, LANG)
@@ -430,6 +469,18 @@ def group_subset(spark, d):
     return R.manifest(_corpus(spark, d, labels=True).pages, chosen)
 
 
+@query
+def page_order(spark, d):
+    pages = _corpus(spark, d).pages.withColumn("number", T.quire_number(F.col("quire")))
+    place = F.row_number().over(Window.partitionBy("number").orderBy("folio"))  # places within a quire; quires by number
+    return pages.select("number", "folio", place.alias("place"))
+
+
+@query
+def legend_colours(spark, d):
+    return D.intern_colours(_corpus(spark, d).pages, "language", "folio")
+
+
 @query
 def distinct_domains(spark, d):
     return R.domains(_corpus(spark, d, labels=True).pages, ["language", "hand", "illustration"])
