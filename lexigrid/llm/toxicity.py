@@ -14,7 +14,7 @@
    each class weighed by its share of all labelled rows.
 
 Empty and null texts have no words and get the score of such a text. Rows that repeat a doc_id are
-scored each; without labels of both kinds every score is 0.
+scored each; without labelled documents of both kinds every score is 0.
 """
 
 from __future__ import annotations
@@ -281,6 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, space: Workspace) -> dict:
     got = rows.where("c10 + c11 >= 4 and c10 + c11 > c00 + c01").toPandas()
     sizes = {(r.y, r.half): r.n for r in sample.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
     size = lambda y, *h: sum(sizes.get((y, x), 0) for x in h)
+    if not size(0, 0, 1) or not size(1, 0, 1):
+        return model
     share = (counts[1] / size(1, 0, 1)) / (counts[0] / size(0, 0, 1))
 
     def weigh(*halves: int) -> dict[str, float]:
