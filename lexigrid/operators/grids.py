@@ -34,23 +34,28 @@ def points(words: DataFrame) -> DataFrame:
     return words.select("folio", "line_num", F.posexplode(T.glyphs(_solid())).alias("char_idx", "glyph"))
 
 
-def place(words: DataFrame) -> DataFrame:
-    """Points with x and y in the page (x_page, y_page) and in the corpus (x_ms, y_ms), and the lines' other columns.
+def place(words: DataFrame, corpus_wide: bool = True) -> DataFrame:
+    """Points with x and y in the page (x_page, y_page) and, if asked for, in the corpus (x_ms, y_ms); the lines' other columns stay.
 
     Extents are attached to lines, before glyphs are exploded: one shuffle of lines by page, which
-    counts by page use again; extents of the corpus are one row.
+    counts by page use again; extents of the corpus are one row, and cost a pass of their own.
     """
     page = Window.partitionBy("folio")
-    whole = words.agg(F.max("line_num").alias("g_line"), F.max(F.length(_solid())).alias("g_width"))
     lines = words.withColumn("solid", _solid()).drop("norm", "words", "line_idx", "para_start", "para_end")
     lines = lines.withColumns({"min_line": F.min("line_num").over(page), "max_line": F.max("line_num").over(page), "max_width": F.max(F.length("solid")).over(page)})
-    rows = lines.select(*[c for c in lines.columns if c != "solid"], F.posexplode(T.glyphs(F.col("solid"))).alias("char_idx", "glyph")).join(F.broadcast(whole))
-    half = F.lit(0.5)
-    return rows.withColumns({
-        "y_page": F.when(F.col("max_line") > F.col("min_line"), (F.col("line_num") - F.col("min_line")) / F.nullif(F.col("max_line") - F.col("min_line"), F.lit(0))).otherwise(half),
-        "x_page": F.when(F.col("max_width") > 0, F.col("char_idx") / F.nullif(F.col("max_width"), F.lit(0))).otherwise(half),
-        "y_ms": F.when(F.col("g_line") > 1, (F.col("line_num") - 1) / F.nullif(F.col("g_line"), F.lit(0))).otherwise(half),
-        "x_ms": F.when(F.col("g_width") > 0, F.col("char_idx") / F.nullif(F.col("g_width"), F.lit(0))).otherwise(half),
+    rows = lines.select(*[c for c in lines.columns if c != "solid"], F.posexplode(T.glyphs(F.col("solid"))).alias("char_idx", "glyph"))
+    share = lambda v, most: v / F.nullif(most, F.lit(0))
+    half, idx, line = F.lit(0.5), F.col("char_idx"), F.col("line_num")
+    rows = rows.withColumns({
+        "y_page": F.when(F.col("max_line") > F.col("min_line"), share(line - F.col("min_line"), F.col("max_line") - F.col("min_line"))).otherwise(half),
+        "x_page": F.when(F.col("max_width") > 0, share(idx, F.col("max_width"))).otherwise(half),
+    })
+    if not corpus_wide:
+        return rows
+    whole = words.agg(F.max("line_num").alias("g_line"), F.max(F.length(_solid())).alias("g_width"))
+    return rows.join(F.broadcast(whole)).withColumns({
+        "y_ms": F.when(F.col("g_line") > 1, share(line - 1, F.col("g_line"))).otherwise(half),
+        "x_ms": F.when(F.col("g_width") > 0, share(idx, F.col("g_width"))).otherwise(half),
     })
 
 

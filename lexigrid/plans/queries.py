@@ -303,12 +303,12 @@ def charpos_line_counts(spark, d):
 # positions on pages
 
 
-def _placed(spark, d) -> DataFrame:
-    return G.place(_words(spark, d))
+def _placed(spark, d, corpus_wide: bool = False) -> DataFrame:
+    return G.place(_words(spark, d), corpus_wide)
 
 
 def _grid(spark, d, x: str, y: str, cols: int, rows: int) -> DataFrame:
-    return G.histogram(_placed(spark, d), x, y, cols, rows, LANG)
+    return G.histogram(_placed(spark, d, x == "x_ms"), x, y, cols, rows, LANG)
 
 
 def _coarse(spark, d) -> DataFrame:
@@ -337,7 +337,7 @@ def pagepos_grid_manuscript(spark, d):
 
 @query
 def pagepos_raw_grid(spark, d):
-    return G.raw_text_grid(_placed(spark, d), LANG)
+    return G.raw_text_grid(_placed(spark, d, True), LANG)
 
 
 @query
