@@ -341,9 +341,10 @@ def repeats(texts: DataFrame, space: Workspace, length: int = LENGTH, hot: int =
     ``texts`` has i long, t int and text; rows with equal i and t hold equal texts.
     """
     rows = space.put(texts.mapInArrow(_anchors(length), ANCHOR_SCHEMA), "anchors")
-    again = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    # written, so that the join below has a plain table on either side and a hot anchor's rows can be split
+    again = space.put(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "again")
     rows = space.put(rows.join(again, "k").withColumn("n", F.lit(1).cast("long")), "candidates")
-    space.drop("anchors")
+    space.drop("anchors", "again")
 
     def resolve(rows: DataFrame, step: int, more: list[str]) -> DataFrame:
         """Write the strings of regions that occur as a whole twice; return a region of each kind of the other anchors."""
