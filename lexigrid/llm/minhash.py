@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     reps = linked.join(classes.select("d0", "d1", "n_shingles", F.col("rep").alias("row_id")), ["d0", "d1", "n_shingles", "row_id"], "left_semi")
 
     rows = reps.select("row_id", F.explode("bands").alias("bucket"))
-    ends = rows.groupBy("bucket").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).where("lo < hi")
+    # written, so that the join below has a plain exchange on either side and a hot bucket's rows can be split
+    ends = space.put(rows.groupBy("bucket").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).where("lo < hi"), "ends")
     buckets = space.put(rows.join(ends, "bucket").select("bucket", "row_id", "lo", "hi"), "buckets")
     in_bucket = buckets.select("row_id").distinct()
     info = space.put(reps.join(in_bucket, "row_id", "left_semi").select("row_id", "n_shingles", *sig).distinct(), "info")
@@ -312,9 +313,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
     # buckets that still hold two components or more
     known = buckets.select("bucket", "row_id", "lo").join(found, F.col("row_id") == F.col("node"), "left").select("bucket", "row_id", "lo", F.coalesce("component", "row_id").alias("c"))
-    mixed = known.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("rows")).where("x < y").select("bucket", "rows")
+    known = space.put(known, "known")
+    mixed = space.put(known.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("rows")).where("x < y").select("bucket", "rows"), "mixed")
     rest = space.put(known.join(mixed, "bucket"), "rest")
-    space.drop("buckets")
+    space.drop("buckets", "ends", "known", "mixed")
     if not rest.isEmpty():
         large = rest.where(F.col("rows") > SMALL)
         crowds = space.put(components(large.select(F.col("row_id").alias("u"), F.col("lo").alias("v")), space, "cw").select(F.col("node").alias("row_id"), F.col("component").alias("crowd")), "crowds")
