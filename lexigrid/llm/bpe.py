@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructType
 
-from .common import slices, small_batches
+from .common import holds, only, slices, small_batches
 
 #: Distinct pieces, and pairs of tokens, that a worker remembers at once.
-PIECES, PAIRS = 400_000, 1_000_000
+PIECES, PAIRS = 200_000, 300_000
 
 
 def _printable() -> dict[str, int]:
@@ -211,6 +211,7 @@ class Decoder:
 
 
 _MADE: dict[int, tuple[Encoder, Decoder]] = {}
+holds("bpe", _MADE.clear)
 
 
 def _tools(shared) -> tuple[Encoder, Decoder]:
@@ -235,6 +236,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "tex
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("bpe")
         encoder, decoder = _tools(shared)
         for whole in batches:
             for batch in slices(whole, "text"):

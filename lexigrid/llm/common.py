@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts take about ``most`` bytes at most; a longer text is a run of its own."""
     _, off = byte_column(batch.column(column))
     start, n = 0, batch.num_rows
@@ -91,6 +92,26 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
         start = end
 
 
+_HELD: dict[str, list[Callable[[], None]]] = {}
+_OWNER = [""]
+
+
+def holds(name: str, clear: Callable[[], None]) -> None:
+    """Tell how to drop what an operator keeps in a worker from task to task."""
+    _HELD.setdefault(name, []).append(clear)
+
+
+def only(name: str) -> None:
+    """Called at the start of a task: a worker serves operators in turn, and what the others have kept goes."""
+    if _OWNER[0] != name:
+        _OWNER[0] = name
+        for other, drops in _HELD.items():
+            if other != name:
+                for drop in drops:
+                    drop()
+        gc.collect()
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.ones(max(n, 1), np.uint64)
@@ -106,13 +127,17 @@ def powers(base: int, n: int) -> np.ndarray:
 class PowerTable:
     """Powers of an odd base and of its inverse, grown on demand and kept by a worker."""
 
-    def __init__(self, base: int):
+    def __init__(self, base: int, owner: str):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.clear()
+        holds(owner, self.clear)
+
+    def clear(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            m = max(n, 2 * len(self.up))
+            m = max(n, len(self.up) * 5 // 4)
             self.up, self.down = powers(self.base, m), powers(self.inverse, m)
         return self.up, self.down
 

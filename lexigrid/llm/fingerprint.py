@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import holds, only, slices, small_batches
 
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 SPAN, SAMPLE, CELLS = 16, 8, 32
@@ -79,6 +79,7 @@ class PrefixHashes:
 
 
 _KEPT: dict[tuple[int, int], np.ndarray] = {}
+holds("fingerprint", _KEPT.clear)
 
 
 def _powers(base: int, p: int, n: int) -> np.ndarray:
@@ -161,9 +162,10 @@ def with_successors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only("fingerprint")
     held = None  # the last row, until the one after it is known
     for whole in batches:
-        for batch in slices(whole, "text", 1_000_000):
+        for batch in slices(whole, "text"):
             texts = batch.column("text").to_pylist()
             marks = fingerprints(texts)
             rows = list(zip(batch.column("i").to_pylist(), texts, marks, batch.column("part").to_pylist(), batch.column("follower").to_pylist(), strict=True))

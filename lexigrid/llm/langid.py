@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
-from .common import slices, small_batches
+from .common import only, slices, small_batches
 
 BUCKETS = 1 << 17
 ROUNDS, SET = 8, 4
@@ -61,9 +61,10 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only("langid")
     tables: dict[str, np.ndarray] = {}
     for whole in batches:
-        for batch in slices(whole, "text", 1_000_000):
+        for batch in slices(whole, "text"):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for lang in set(langs):
                 own = [t or "" for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -130,9 +131,10 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, *, text_col: s
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("langid")
         names, table = shared.value
         for whole in batches:
-            for batch in slices(whole, "text", 1_000_000):
+            for batch in slices(whole, "text"):
                 n = batch.num_rows
                 pred, score, sets = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
                 grams, first, doc = trigrams([t or "" for t in batch.column("text").to_pylist()])

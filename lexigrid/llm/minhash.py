@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PowerTable, Workspace, byte_column, mix, slices
+from .common import PowerTable, Workspace, byte_column, mix, only, slices
 
 ROWS, BANDS = 6, 40
 HASHES = ROWS * BANDS
@@ -52,7 +52,7 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[65:91] += np.uint64(32)
-_POWER = PowerTable(0x9E3779B97F4A7C15)
+_POWER = PowerTable(0x9E3779B97F4A7C15, "minhash")
 _RNG = np.random.default_rng(20240607)
 _MULTIPLIERS = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -142,6 +142,7 @@ SET_SCHEMA = "row_id long, shingles array<long>"
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("minhash")
         for whole in batches:
             for batch in slices(whole, "text"):
                 raw, off = byte_column(batch.column("text"))
@@ -188,6 +189,7 @@ def _sets(width: int, shared=None):
     """Sets of the texts whose ids pass the filter, if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("minhash")
         for whole in batches:
             if shared is not None:
                 at = _slots(whole.column("row_id").to_numpy())

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PowerTable, Workspace, byte_column, mix, slices
+from .common import PowerTable, Workspace, byte_column, mix, only, slices
 
 LENGTH = 200
 #: Kinds of regions of one anchor that a single family takes.
@@ -46,7 +46,7 @@ SHARD_BYTES = 3_000_000
 #: Suffixes of a batch, and of a block of a level whose strings are laid out at once.
 BATCH, BLOCK = 1 << 15, 1 << 16
 
-_POWER = PowerTable(0xD1342543DE82EF95)
+_POWER = PowerTable(0xD1342543DE82EF95, "suffix")
 _PIECE = 1 << 22
 
 
@@ -189,6 +189,7 @@ SPAN_SCHEMA = "i long, t int, x int, y int"
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("suffix")
         for whole in batches:
             for batch in slices(whole, "text"):
                 doc, ws, nw, d, k, r = anchors(*byte_column(batch.column("text")), length)
@@ -205,6 +206,7 @@ def _regions(length: int):
     """Cut the regions that a text's list names out of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("suffix")
         for whole in batches:
             for batch in slices(whole, "text"):
                 raw, off = byte_column(batch.column("text"))
@@ -227,6 +229,7 @@ def _quarters(length: int):
     """Split regions by the anchor's offset, so that equal strings fall into equal parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("suffix")
         for batch in batches:
             out = {x: [] for x in ("i", "t", "ws", "nw", "d", "n", "k", "r", "region")}
             for row in batch.to_pylist():
@@ -256,6 +259,7 @@ def _families(length: int):
     """One family for each partition; the runs of strings that it finds elsewhere too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("suffix")
         family, kept, waiting, suffixes = SuffixFamily(length), [], [], 0
 
         def flush():
@@ -302,6 +306,7 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _removal(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("suffix")
         for whole in batches:
             for batch in slices(whole, "text"):
                 raw, off = byte_column(batch.column("text"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
-from .common import Workspace, slices
+from .common import Workspace, only, slices
 from .langid import letter_table
 
 POSITIVES, NEGATIVES = 4000, 8000
@@ -38,7 +38,7 @@ SYMBOLS = 64
 #: Features that a task counts before it hands on what it has.
 COUNTED = 200_000
 #: Words of a worker's memory of tokens.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: States that a step of the decoder keeps.
 BEAM = 12
 
@@ -82,6 +82,7 @@ def symbol_table() -> np.ndarray:
 
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only("toxicity")
     counts = np.zeros(SYMBOLS**3, np.int64)
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -260,6 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, space: Workspace) -> dict:
     sample = space.put(docs.join(F.broadcast(picked.select("i", "y", "half")), "i"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         restorer, table = Restorer(shared.value), Counter()
 
         def emit() -> pa.RecordBatch:
@@ -316,6 +318,7 @@ def score(docs: DataFrame, model: dict, *, text_col: str = "text", restored: boo
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         m = shared.value
         restorer = Restorer(m["chars"])
         weigher = Weigher(restorer, m["weights"])
