@@ -4,15 +4,19 @@ A vector is approximated by a sum of ``STAGES`` codewords, one of each full-dime
 codebooks are trained on a sample of at most ``SAMPLE`` vectors: k-means on residuals stage by
 stage, then rounds of encoding and least squares for all codewords at once. All vectors are encoded
 by beam search, which keeps the ``BEAM`` best partial sums, and stored as one byte a stage with the
-squared norm of their approximation. A query's squared distance to all of them is then its own
-norm, plus the stored norm, less twice a sum of ``STAGES`` table lookups.
+squared norm of their approximation and the distance to it. A query's squared distance to all of
+them is then its own norm, plus the stored norm, less twice a sum of ``STAGES`` table lookups.
 
 Equal vectors are indexed once and expanded after the search, to their smallest ids, as
 many as are asked for: a vector that a third of all rows share is no hot group and no tie is lost.
 
 Every query scans all codes; queries come in blocks of at most ``QUERIES``, which are broadcast.
-A task keeps the ``DEPTH`` best of a query in its part, and the ``DEPTH`` best of all are ranked
-again by exact Euclidean distance on the original vectors, in double precision.
+The exact distances of the ``DEPTH`` best by lookup in a task's first batch give a query's first radius,
+within which ``k`` + 1 vectors lie. By the triangle inequality a vector is outside of the radius where
+its lookup distance less its distance to its approximation is; all others are compared by exact
+Euclidean distance on the original vectors, in double precision, and the radius shrinks with
+each that is found. So the neighbours are exact at any size of the table; the codes only
+save work, the less the farther vectors are from their approximations.
 
 Null vectors, zero vectors and those with null or non-finite components take no part, nor do
 those of another than the commonest length (the smaller one of equals). Ties go to the smaller id.
@@ -35,6 +39,8 @@ QUERIES, DEPTH = 8192, 400
 #: Codes of a part of the index, which one task scans.
 PART = 500_000
 _SALTS = 32
+#: What rounding may add to a lookup in single precision, or a product in double precision, in proportion to its terms.
+_ROUND, _FINE = 1e-4, 1e-11
 
 
 def encode(vectors: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -114,8 +120,66 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float32).reshape(-1, dim)
 
 
+def square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, summed in the order of the components."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += (a[:, j] - b[:, j]) ** 2
+    return out
+
+
+class Found:
+    """The best few classes of each of some queries (by distance, then id), as batches of classes come in."""
+
+    def __init__(self, x: np.ndarray, table: np.ndarray, unit: float, most: int, depth: int):
+        self.x, self.table, self.unit, self.most, self.depth = x, table, unit, most, depth
+        self.norm = (x**2).sum(1)
+        self.small = (self.norm / unit**2).astype(np.float32)
+        self.rounding = self.small + np.abs(table).max(2).sum(1)
+        self.ids = np.full((len(x), most), np.iinfo(np.int64).max)
+        self.scores = np.full((len(x), most), np.inf)
+
+    def _merge(self, of: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        some = np.unique(of)
+        of = np.concatenate((np.repeat(some, self.most), of))
+        ids, scores = np.concatenate((self.ids[some].ravel(), ids)), np.concatenate((self.scores[some].ravel(), scores))
+        order = np.lexsort((ids, scores, of))
+        of, ids, scores = of[order], ids[order], scores[order]
+        # the same class may come twice, from the first radius
+        new = np.concatenate(([True], (of[1:] != of[:-1]) | (ids[1:] != ids[:-1]) | (ids[1:] == np.iinfo(np.int64).max)))
+        of, ids, scores = of[new], ids[new], scores[new]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        top = place < self.most
+        self.ids[of[top], place[top]], self.scores[of[top], place[top]] = ids[top], scores[top]
+
+    def add(self, ids: np.ndarray, code: np.ndarray, norm: np.ndarray, error: np.ndarray, v: np.ndarray) -> None:
+        about = self.small[:, None] + norm
+        for s in range(code.shape[1]):
+            about -= 2 * self.table[:, s][:, code[:, s]]
+        open_ = np.flatnonzero(np.isinf(self.scores[:, -1]))
+        if len(open_) and self.depth:
+            width = min(self.depth, len(ids))
+            best = np.argpartition(about[open_], width - 1, axis=1)[:, :width]
+            of, at = np.repeat(open_, width), best.ravel()
+            self._merge(of, ids[at], np.sqrt(square(self.x[of], v[at])))
+        radius = self.scores[:, -1]
+        reach = (radius / self.unit)[:, None] + error
+        may = ~(about > reach**2 + _ROUND * (self.rounding[:, None] + norm + error**2))  # not a number stays
+        at = np.flatnonzero(may.any(0))
+        if not len(at):
+            return
+        w = v[at]
+        size = self.norm[:, None] + (w**2).sum(1)
+        far = size - 2 * (self.x @ w.T)
+        of, column = np.nonzero(may[:, at] & ~(far > (radius**2)[:, None] + _FINE * size))
+        # all vectors may be at the same distance, so pairs are taken by the piece
+        for start in range(0, len(of), 100_000):
+            o, c = of[start : start + 100_000], column[start : start + 100_000]
+            self._merge(o, ids[at[c]], np.sqrt(square(self.x[o], w[c])))
+
+
 def nearest(rows: DataFrame, is_query: Column, *, k: int = 10, depth: int = DEPTH, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 5) -> DataFrame:
-    """(query_id, rank, id, score): the ``k`` nearest other rows found for each query row, by Euclidean distance."""
+    """(query_id, rank, id, score): the ``k`` nearest other rows of each query row, by Euclidean distance."""
     spark = rows.sparkSession
     space = Workspace(spark, "ann")
     good = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks")).where(usable(F.col("v")))
@@ -131,7 +195,7 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 10, depth: int = DEPT
     few = good.select("v", "i").distinct().withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(_SALTS))).withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k + 1)
     members = few.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("i"))).where(F.col("r") <= k + 1)
     members = space.put(members.withColumn("class", F.min("i").over(Window.partitionBy("v"))).select("class", "i", "v"), "members")
-    classes = members.where("class = i").select("i", F.col("v").cast("array<float>").alias("v"))
+    classes = members.where("class = i").select("i", F.col("v").cast("array<float>").alias("v"), F.col("v").alias("w"))
 
     n = classes.count()
     share = int(min(1.0, SAMPLE / n) * 1_000_000)
@@ -147,57 +211,45 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 10, depth: int = DEPT
         for b in batches:
             x = _matrix(b.column("v"), dim) / np.float32(unit)
             codes = encode(x, books)
-            norm = (approximate(codes, books) ** 2).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float32())], ["i", "code", "norm"])
+            near = approximate(codes, books)
+            error = np.sqrt(((x.astype(np.float64) - near) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near**2).sum(1), pa.float32()), pa.array(error, pa.float32()), b.column("w")], ["i", "code", "norm", "error", "w"])
 
     parts = max(8, -(-n // PART))
-    codes = space.put(classes.mapInArrow(run_encode, "i long, code binary, norm float").repartitionByRange(parts, "i").sortWithinPartitions("i"), "codes")
+    codes = space.put(classes.mapInArrow(run_encode, "i long, code binary, norm float, error float, w array<double>").repartitionByRange(parts, "i").sortWithinPartitions("i"), "codes")
 
     queries = good.where("asks").select("i", "v").dropDuplicates(["i"])
     blocks = max(1, -(-queries.count() // QUERIES))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)))
     found = None
     for block in range(blocks):
-        asked = queries.where(F.col("block") == block).select("i", F.col("v").cast("array<float>").alias("v")).collect()
+        asked = queries.where(F.col("block") == block).select("i", "v").collect()
         if not asked:
             continue
-        shared = spark.sparkContext.broadcast((np.array([q.i for q in asked]), np.array([q.v for q in asked], np.float32)))
+        shared = spark.sparkContext.broadcast((np.array([q.i for q in asked]), np.array([q.v for q in asked], np.float64)))
 
         def run_scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             books, unit = model.value
             asked, x = shared.value
-            table = np.einsum("qd,swd->qsw", x / np.float32(unit), books).astype(np.float32)
-            kept_i = np.zeros((len(asked), 0), np.int64)
-            kept_d = np.zeros((len(asked), 0), np.float32)
+            small = (x / unit).astype(np.float32)
+            groups = [Found(x[g : g + 32], np.einsum("qd,swd->qsw", small[g : g + 32], books).astype(np.float32), unit, k + 1, depth) for g in range(0, len(x), 32)]
             for b in batches:
                 ids = b.column("i").to_numpy()
                 code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                norm = b.column("norm").to_numpy()
-                new_i, new_d = [], []
-                for start in range(0, len(asked), 32):
-                    t = table[start : start + 32]
-                    d = np.broadcast_to(norm, (len(t), len(ids))).copy()
-                    for s in range(code.shape[1]):
-                        d -= 2 * t[:, s][:, code[:, s]]
-                    if len(ids) > depth:
-                        best = np.argpartition(d, depth - 1, axis=1)[:, :depth]
-                        new_i.append(ids[best]), new_d.append(np.take_along_axis(d, best, 1))
-                    else:
-                        new_i.append(np.broadcast_to(ids, d.shape)), new_d.append(d)
-                kept_i, kept_d = np.concatenate((kept_i, np.concatenate(new_i)), 1), np.concatenate((kept_d, np.concatenate(new_d)), 1)
-                if kept_i.shape[1] > depth:
-                    best = np.argpartition(kept_d, depth - 1, axis=1)[:, :depth]
-                    kept_i, kept_d = np.take_along_axis(kept_i, best, 1), np.take_along_axis(kept_d, best, 1)
-            width = kept_i.shape[1]
-            if width:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, width)), pa.array(kept_i.reshape(-1)), pa.array(kept_d.reshape(-1))], ["query_id", "class", "about"])
-
-        part = codes.mapInArrow(run_scan, "query_id long, class long, about float")
+                v = np.asarray(b.column("w").flatten(), np.float64).reshape(-1, dim)
+                for group in groups if len(ids) else ():
+                    group.add(ids, code, b.column("norm").to_numpy(), b.column("error").to_numpy(), v)
+            for start, group in enumerate(groups):
+                of, at = np.nonzero(group.ids < np.iinfo(np.int64).max)
+                if len(of):
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[32 * start + of]), pa.array(group.ids[of, at]), pa.array(group.scores[of, at])], ["query_id", "class", "score"])
+
+        part = codes.mapInArrow(run_scan, "query_id long, class long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)
-    best = Window.partitionBy("query_id").orderBy("about", "class")
-    near = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= depth).select("query_id", "class")
+    best = Window.partitionBy("query_id").orderBy("score", "class")
+    near = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("query_id", "class")
     pairs = near.join(members.select("class", "i", F.col("v").alias("w")), "class").where("i <> query_id").join(queries.select(F.col("i").alias("query_id"), "v"), "query_id")
     square = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select("query_id", "i", F.sqrt(square).alias("score")).distinct()

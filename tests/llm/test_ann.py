@@ -32,6 +32,16 @@ def test_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_neighbours_are_exact_with_poor_codebooks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    x = np.random.default_rng(4).standard_normal((6000, 32))
+    ids = np.arange(len(x))
+    rows = ann.nearest(spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), F.col("vec_id") % 300 == 0).collect()
+    for q in range(0, 6000, 300):
+        got = sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in got] == [i for i, _ in brute(ids, x, q)]
+
+
 def test_beam_is_no_worse_than_greedy():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 16)).astype(np.float32)
