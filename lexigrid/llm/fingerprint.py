@@ -7,7 +7,7 @@ the longest common extension of two places.
 
 A fingerprint is text: the number of code points, the hash of the whole, a ladder of prefix hashes
 (lengths that grow by a fifth), and a sketch of the hashes of all spans of ``SPAN`` code points
-(those divisible by ``SAMPLE``, the least of each of ``CELLS`` classes). Equal texts have equal
+(the least of each of ``CELLS`` classes). Equal texts have equal
 fingerprints. ``likeness`` is 1 for equal wholes, else the larger of two shares: the longest
 ladder prefix that both share (binary search, as prefixes agree up to some rung and differ beyond)
 over the longer length, and the classes of the sketch with the same least hash. Both texts empty
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import holds, only, slices, small_batches
 
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
-SPAN, SAMPLE, CELLS = 16, 8, 32
+SPAN, CELLS = 16, 32
 #: Digits of a sketch cell, and what stands for a cell without a span.
 _CELL, _NONE = 4, 0xFFFF
 
@@ -107,11 +107,10 @@ def fingerprints(texts: list[str]) -> list[str]:
     if len(points) >= SPAN:
         start = np.arange(len(points) - SPAN + 1)
         value = hashes.span(start, SPAN)
-        start = np.flatnonzero(value % SAMPLE == 0)
-        row = np.searchsorted(off, start, side="right") - 1
+        row = np.repeat(np.arange(len(texts)), sizes)[: len(start)]
         inside = start + SPAN <= off[row + 1]
         start, row = start[inside], row[inside]
-        value = value[start] // SAMPLE
+        value = value[start]
         np.minimum.at(cells, row * CELLS + value % CELLS, value // CELLS * 2654435761 % (1 << 32))
     cells = np.where(cells == np.iinfo(np.int64).max, _NONE, (cells >> 8) % _NONE).astype(">u2").tobytes().hex()
     wide = CELLS * _CELL

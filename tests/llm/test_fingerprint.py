@@ -57,6 +57,12 @@ def check(rows, docs):
     assert sorted(rows, key=key) == sorted(want, key=key)
 
 
+def test_short_texts_have_a_sketch():
+    texts = [f"{c}{k} stone by {k} green river {k}"[:size] for k in range(10) for size in (20, 24, 29) for c in "ab"]
+    prints = P.fingerprints(texts)
+    assert all(P.likeness(a, b) > 0.3 for a, b in zip(prints[::2], prints[1::2], strict=True))
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text or "") for r in table(spark, SF, "documents").collect()]
     rows = op7_prefix_fingerprints(spark, SF).collect()
