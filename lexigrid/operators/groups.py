@@ -28,7 +28,7 @@ class Group:
         return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-# The groups of the annotated manuscript, in the order of display.
+# The groups of the annotated manuscript, in the published order.
 MANUSCRIPT = (
     Group("all", "All pages"),
     Group("language_a", "Currier Language A", {"language": "A"}),
@@ -41,12 +41,12 @@ MANUSCRIPT = (
     Group("astronomical", "Astronomical section", {"illustration": "A"}),
     Group("cosmological", "Cosmological section", {"illustration": "C"}),
     Group("text_only", "Text only pages", {"illustration": "T"}),
-    Group("quire_13", "Quire 13", {"quire": 13}),
-    Group("quire_20", "Quire 20", {"quire": 20}),
     Group("herbal_lang_a", "Herbal section, Language A", {"illustration": "H", "language": "A"}),
     Group("herbal_lang_b", "Herbal section, Language B", {"illustration": "H", "language": "B"}),
     Group("biological_lang_a", "Biological section, Language A", {"illustration": "B", "language": "A"}),
     Group("biological_lang_b", "Biological section, Language B", {"illustration": "B", "language": "B"}),
+    Group("quire_13", "Quire 13", {"quire": 13}),
+    Group("quire_20", "Quire 20", {"quire": 20}),
 )
 
 #: The same kinds of groups for documents; the last is always empty.
