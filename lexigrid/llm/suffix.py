@@ -23,8 +23,11 @@ On a cluster the suffixes are dealt out so that equal strings meet in one family
    regions fall into quarters, whose common string is longer, and steps 2 to 4 begin anew with
    the hash of that string; a quarter of one string needs no family.
 
-Nulls are empty texts. Rows that repeat a doc_id are told apart by their text; equal rows are
-repeats of each other. Texts under ``length`` bytes stay as they are.
+Nulls are empty texts. Rows that repeat a doc_id or have none are told apart by a 64-bit hash of
+their text; equal rows are repeats of each other, and no tie is broken. Texts under ``length`` bytes
+stay as they are. A very long text is looked at in pieces, and its regions are dealt out as any
+others. An empty table gives an empty result. Columns of ``docs`` that clash with names used here
+do no harm: only the id, the text and those of ``keep`` are read.
 """
 
 from __future__ import annotations
@@ -182,9 +185,9 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int):
     return [np.concatenate(x) for x in zip(*rows, strict=True)]
 
 
-ANCHOR_SCHEMA = "i long, t int, ws int, nw int, d int, k long, r long"
-REGION_SCHEMA = "i long, t int, ws int, nw int, d int, k long, n long, kinds long, region binary"
-SPAN_SCHEMA = "i long, t int, x int, y int"
+ANCHOR_SCHEMA = "i long, t long, ws int, nw int, d int, k long, r long"
+REGION_SCHEMA = "i long, t long, ws int, nw int, d int, k long, n long, kinds long, region binary"
+SPAN_SCHEMA = "i long, t long, x int, y int"
 
 
 def _anchors(length: int):
@@ -249,7 +252,7 @@ def _quarters(length: int):
                     s = e
             for x in ("k", "r"):
                 out[x] = np.array(out[x], np.uint64).view(np.int64)
-            kinds = {"i": pa.int64(), "t": pa.int32(), "ws": pa.int32(), "nw": pa.int32(), "d": pa.int32(), "n": pa.int64(), "k": pa.int64(), "r": pa.int64(), "region": pa.binary()}
+            kinds = {"i": pa.int64(), "t": pa.int64(), "ws": pa.int32(), "nw": pa.int32(), "d": pa.int32(), "n": pa.int64(), "k": pa.int64(), "r": pa.int64(), "region": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[x]) for x, v in out.items()], list(out))
 
     return run
@@ -304,7 +307,17 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)), off - off[0]
 
 
-def _removal(length: int):
+def _borders(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans widened to whole UTF-8 characters."""
+    inside = np.append((raw & 0xC0) == 0x80, False)
+    lo, hi = lo.copy(), hi.copy()
+    for _ in range(3):
+        lo -= inside[lo]
+        hi += inside[hi]
+    return lo, hi
+
+
+def _removal(length: int, characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("suffix")
         for whole in batches:
@@ -316,7 +329,9 @@ def _removal(length: int):
                 row = np.repeat(np.arange(batch.num_rows), size)
                 lo = off[row] + np.asarray(flat.field("x"))
                 hi = off[row] + np.asarray(flat.field("y")) - 1 + length
-                change = np.zeros(len(raw) + 1, np.int64)
+                if characters:
+                    lo, hi = _borders(raw, lo, hi)
+                change = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(change, lo, 1)
                 np.add.at(change, hi, -1)
                 gone = np.cumsum(change[:-1]) > 0
@@ -343,7 +358,7 @@ def _removal(length: int):
 def repeats(texts: DataFrame, space: Workspace, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(i, t, x, y): of the text (i, t), the strings that start from x to y - 1 also start elsewhere.
 
-    ``texts`` has i long, t int and text; rows with equal i and t hold equal texts.
+    ``texts`` has i long, t long and text; rows with equal i and t hold equal texts.
     """
     rows = space.put(texts.mapInArrow(_anchors(length), ANCHOR_SCHEMA), "anchors")
     # written, so that the join below has a plain table on either side and a hot anchor's rows can be split
@@ -369,7 +384,7 @@ def repeats(texts: DataFrame, space: Workspace, length: int = LENGTH, hot: int =
     # at width 1 the common string is the whole string, so that every anchor has one kind
     while wide > 1 and not (over := regions.where(F.col("kinds") > hot)).isEmpty():
         wide = -(-wide // 4)
-        parts = over.withColumn("step", F.lit(wide)).mapInArrow(_quarters(length), "i long, t int, ws int, nw int, d int, n long, k long, r long, region binary")
+        parts = over.withColumn("step", F.lit(wide)).mapInArrow(_quarters(length), "i long, t long, ws int, nw int, d int, n long, k long, r long, region binary")
         parts = space.put(parts, f"parts-{step}")
         regions = space.put(resolve(parts, step, ["region"]).select("i", "t", "ws", "nw", "d", "k", "n", "kinds", "region"), f"regions-{step}")
         names.append(f"spans-{step}")
@@ -386,14 +401,18 @@ def repeats(texts: DataFrame, space: Workspace, length: int = LENGTH, hot: int =
     return found
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: its id, the columns of ``keep``, n_bytes, spans (start, end of the removed bytes) and kept (the other bytes)."""
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
+    """One row per row of ``docs``: its id, the columns of ``keep``, n_bytes, spans (start, end of the removed bytes) and kept (the other bytes).
+
+    With ``characters``, spans are widened to whole characters, so that kept is a text again.
+    """
     space = Workspace(docs.sparkSession, "suffix")
-    # the least id stands for a null one; a hash tells texts of a repeated id apart
-    i, t = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.hash(F.col(text_col).cast("string"))
-    texts = docs.select(i.alias("i"), t.alias("t"), F.col(text_col).cast("string").alias("text"), F.struct(id_col, *keep).alias("row"))
+    # hashes tell texts of a repeated id apart, and those without an id
+    text = F.col(text_col).cast("string")
+    i, t = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text, F.lit("no id"))), F.xxhash64(text)
+    texts = docs.select(i.alias("i"), t.alias("t"), text.alias("text"), F.struct(id_col, *keep).alias("row"))
     strings = repeats(texts.drop("row"), space, length, hot).groupBy("i", "t").agg(F.collect_list(F.struct("x", "y")).alias("strings"))
     none = F.array().cast("array<struct<x:int,y:int>>")
     rows = texts.join(strings, ["i", "t"], "left").withColumn("strings", F.coalesce("strings", none))
     schema = rows.select("row", F.lit(0).cast("long").alias("n_bytes"), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).alias("spans"), F.lit(b"").alias("kept")).schema
-    return rows.mapInArrow(_removal(length), schema).select("row.*", "n_bytes", "spans", "kept")
+    return rows.mapInArrow(_removal(length, characters), schema).select("row.*", "n_bytes", "spans", "kept")
