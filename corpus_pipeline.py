@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's docs. All but the last return the columns of ``documents``.
-Rows with a null doc_id pass the near-duplicate stage; there, rows that repeat a doc_id become one.
+Null, empty and very long texts, rows that repeat an id or have none, and columns beside those of
+``documents`` pass through each stage as its operator says; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,33 +23,41 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where("predicted = 0").select(*DOCUMENT_COLUMNS)
 
 
+def _row() -> Column:
+    """Tells rows of differing id or text apart; equal rows are alike."""
+    return F.xxhash64("doc_id", "text")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group whose sets of five-word shingles are 80 % alike."""
-    docs = docs.select(*DOCUMENT_COLUMNS)
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*DOCUMENT_COLUMNS)
+    """Keep the smallest doc_id of each group whose sets of five-word shingles are 80 % alike.
+
+    Rows that repeat a doc_id are documents of their own, by their text (of two in one group, the
+    smaller hash stays); of rows equal in id and text the one with the smallest other values stays. A
+    null doc_id is beyond all others.
+    """
+    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("row", _row())
+    groups = minhash.near_duplicates(docs, width=5, percent=80, id_col="row").select("row", "component_id").distinct()
+    ids = docs.select("doc_id", "row").distinct().join(groups, "row")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = ids.groupBy("component_id").agg(F.min(first).alias("first")).select(F.col("first.row").alias("row"))
+    rest = ("lang", "source", "n_chars")
+    one = docs.join(kept, "row", "left_semi").groupBy("row", "doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    return one.select("doc_id", "text", *(F.col(f"rest.{c}") for c in rest))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove strings of 200 bytes or more that occur elsewhere; characters that a cut splits go too."""
-    out = suffix.remove_repeats(docs.select(*DOCUMENT_COLUMNS), keep=("text", "lang", "source", "n_chars"))
-    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
+    """Remove strings of 200 bytes or more that occur elsewhere, with the whole of characters at their ends."""
+    out = suffix.remove_repeats(docs.select(*DOCUMENT_COLUMNS), keep=("text", "lang", "source", "n_chars"), characters=True)
     cut = F.size("spans") > 0
-    out = out.withColumn("text", F.when(cut, whole).otherwise(F.col("text"))).withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    out = out.withColumn("text", F.when(cut, F.col("kept").cast("string")).otherwise(F.col("text"))).withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*DOCUMENT_COLUMNS)
 
 
-def _row(text: Column) -> Column:
-    return F.hash(text).alias("t")
-
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix of its source asks for."""
-    docs = docs.select(*DOCUMENT_COLUMNS)
-    taken = mixing.mix(docs.select("doc_id", "text", "source", _row(F.col("text"))), keep=("t",))
-    taken = taken.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), "t").agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows = docs.withColumns({"i": F.coalesce("doc_id", F.lit(-(2**63))), "t": _row(F.col("text"))}).join(taken, ["i", "t"])
+    """Take each document as often as the mix of its source asks for; rows equal in id and text as often as the one taken most."""
+    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("row", _row())
+    taken = mixing.mix(docs, keep=("row",)).groupBy("row").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.join(taken, "row")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*DOCUMENT_COLUMNS)
 
 
