@@ -1,11 +1,13 @@
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from lexigrid.llm.common import Workspace, table
+from lexigrid.llm.suffix import _borders as borders
 from tests.llm.test_minhash import brute as near_groups
 from tests.llm.test_suffix import brute as repeats
 
@@ -77,6 +79,37 @@ def test_tokens(stages):
         assert r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids) == len(r.ids) // 4
 
 
+def test_rows_of_one_id_and_replacement_characters_stay(spark, prose):
+    shared = prose(7, 60) + " \ufffd ümläut "
+    rows = [
+        (1, "a \ufffd " + prose(1, 50), "en", "a", 1),
+        (1, "b \ufffd " + prose(2, 50), "en", "a", 1),
+        (1, "b \ufffd " + prose(2, 50), "de", "a", 1),
+        (2, "b \ufffd " + prose(2, 50), "en", "a", 1),
+        (None, "c " + prose(3, 50), None, None, None),
+        (None, "d " + prose(4, 50), None, None, None),
+        (None, "c " + prose(3, 50), "x", None, None),
+        (5, "ü" + shared + "\ufffd" + prose(5, 100), "en", "a", 1),
+        (6, "é" + shared + "ñ\ufffd" + prose(6, 100), "en", "a", 1),
+        (7, None, "en", "a", 0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.drop_near_duplicates(spark, docs, SF)
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == sorted({(r[0] or 0, r[1] or "") for r in rows if r[0] != 2})
+    assert kept.where("lang = 'de'").count() == 1  # of equal rows the one of least values
+    cut = {r.doc_id: r for r in P.cut_repeats(spark, kept.where("doc_id > 1"), SF).collect()}
+    assert cut[5].text == "ü\ufffd" + prose(5, 100) and cut[6].text == "éñ\ufffd" + prose(6, 100)
+    assert cut[5].n_chars == len(cut[5].text)
+
+
+def test_cuts_inside_characters():
+    # a run that splits characters at both ends: what is left of them must not become another character
+    raw = np.frombuffer("aéüñb".encode(), np.uint8)
+    lo, hi = borders(raw, np.array([2, 1]), np.array([6, 3]))
+    assert (lo.tolist(), hi.tolist()) == ([1, 1], [7, 3])
+
+
 def test_run(spark, stages):
     assert P.run(spark, SF).exceptAll(stages[-1]).isEmpty()
     assert P.ORACLE_SQL is None
