@@ -47,7 +47,9 @@ HOT = 20_000
 #: Bytes of regions that a shard is planned for.
 SHARD_BYTES = 3_000_000
 #: Suffixes of a batch, and of a block of a level whose strings are laid out at once.
-BATCH, BLOCK = 1 << 15, 1 << 16
+BATCH, BLOCK = 1 << 15, 1 << 14
+#: Bytes of texts that a worker looks at together.
+SLICE = 250_000
 
 _POWER = PowerTable(0xD1342543DE82EF95, "suffix")
 _PIECE = 1 << 22
@@ -74,18 +76,30 @@ class SuffixFamily:
         every = np.ndarray((len(text) - self.length + 1,), f"S{self.length}", text.data, strides=(1,))
         return every[at]
 
-    def _scan(self, big: _Level, small: np.ndarray, order: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """Walk a level in blocks beside sorted strings: (part of the strings, their places in the block, block's first place)."""
-        done, n = 0, len(big.order)
-        for start in range(0, n, BLOCK):
-            keys = self._strings(big.text, big.order[start : start + BLOCK])
-            end = len(small) if start + BLOCK >= n else int(np.searchsorted(small, keys[-1], side="right"))
-            if end > done:
-                part = slice(done, end)
-                yield part, np.searchsorted(keys, small[part]), keys
-            else:
-                yield slice(done, done), np.zeros(0, np.int64), keys
-            done = max(done, end)
+    def _scan(self, level: _Level, text: np.ndarray, order: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Walk a level beside the sorted strings ``order`` of ``text``: (part of the strings, their places in the level, whether the level has them).
+
+        Of either side only ``BLOCK`` strings are laid out at a time.
+        """
+        first, n = 0, len(level.order)
+        block = self._strings(level.text, level.order[:BLOCK])
+        for start in range(0, len(order), BLOCK):
+            keys = self._strings(text, order[start : start + BLOCK])
+            place, hit = np.empty(len(keys), np.int64), np.zeros(len(keys), bool)
+            done = 0
+            while True:
+                last = first + len(block) >= n
+                end = len(keys) if last else int(np.searchsorted(keys, block[-1], side="right"))
+                if end > done:
+                    at = np.searchsorted(block, keys[done:end])
+                    place[done:end] = first + at
+                    hit[done:end] = (at < len(block)) & (block[np.minimum(at, len(block) - 1)] == keys[done:end])
+                    done = end
+                if done == len(keys):
+                    break
+                first += len(block)
+                block = self._strings(level.text, level.order[first : first + BLOCK])
+            yield slice(start, start + len(keys)), place, hit
 
     def add(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Index the strings that start at ``at`` in ``text``; their numbers."""
@@ -101,15 +115,9 @@ class SuffixFamily:
         self.matched[own[1:][same]] = True
         self.matched[own[:-1][same]] = True
         for level in self.levels:
-            start = 0
-            for part, place, block in self._scan(level, keys, order):
-                if len(place):
-                    inside = place < len(block)
-                    hit = np.zeros(len(place), bool)
-                    hit[inside] = block[place[inside]] == keys[part][inside]
-                    self.matched[own[part][hit]] = True
-                    self.matched[level.ids[start + place[hit]]] = True
-                start += len(block)
+            for part, place, hit in self._scan(level, text, order):
+                self.matched[own[part][hit]] = True
+                self.matched[level.ids[place[hit]]] = True
         fresh = _Level(text, order, own, 0)
         while self.levels and self.levels[-1].rank == fresh.rank:
             fresh = self._merge(self.levels.pop(), fresh)
@@ -117,11 +125,7 @@ class SuffixFamily:
         return ids
 
     def _merge(self, a: _Level, b: _Level) -> _Level:
-        keys = self._strings(b.text, b.order)
-        places, start = np.empty(len(keys), np.int64), 0
-        for part, place, block in self._scan(a, keys, b.order):
-            places[part] = start + place
-            start += len(block)
+        places = np.concatenate([place for _, place, _ in self._scan(a, b.text, b.order)])
         return _Level(np.concatenate((a.text, b.text)), np.insert(a.order, places, b.order + len(a.text)), np.insert(a.ids, places, b.ids), a.rank + 1)
 
 
@@ -194,7 +198,7 @@ def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("suffix")
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 doc, ws, nw, d, k, r = anchors(*byte_column(batch.column("text")), length)
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
@@ -211,7 +215,7 @@ def _regions(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("suffix")
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 raw, off = byte_column(batch.column("text"))
                 lists = batch.column("wanted")
                 size = np.diff(np.asarray(lists.offsets))
@@ -321,7 +325,7 @@ def _removal(length: int, characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("suffix")
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 raw, off = byte_column(batch.column("text"))
                 lists = batch.column("strings")
                 size = np.diff(np.asarray(lists.offsets))
