@@ -16,19 +16,24 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where there is none (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where there is none, a temporary one on a single machine (tests), and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="lexigrid-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def small_batches(spark: SparkSession, most: int = 2000) -> None:
-    """Texts go to Python workers in batches of this many rows at most, so that buffers on both sides stay small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= most:
-        spark.conf.set(key, str(most))
+def small_batches(spark: SparkSession, most: int = 2000, size: int = 2 << 20) -> None:
+    """Rows go to Python workers in batches of this many rows and bytes at most, so that buffers on both sides stay small.
+
+    Results are lazy, so these two settings of the session stay; smaller ones are left alone.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", most), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= value:
+            spark.conf.set(key, str(value))
 
 
 class Workspace:
