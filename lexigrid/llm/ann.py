@@ -10,16 +10,21 @@ them is then its own norm, plus the stored norm, less twice a sum of ``STAGES``
 Equal vectors are indexed once and expanded after the search, to their smallest ids, as
 many as are asked for: a vector that a third of all rows share is no hot group and no tie is lost.
 
-Every query scans all codes; queries come in blocks of at most ``QUERIES``, which are broadcast.
-The exact distances of the ``DEPTH`` best by lookup in a task's first batch give a query's first radius,
-within which ``k`` + 1 vectors lie. By the triangle inequality a vector is outside of the radius where
-its lookup distance less its distance to its approximation is; all others are compared by exact
-Euclidean distance on the original vectors, in double precision, and the radius shrinks with
-each that is found. So the neighbours are exact at any size of the table; the codes only
-save work, the less the farther vectors are from their approximations.
+Every query scans all codes; queries come in blocks of at most ``QUERIES``, one after another, which
+are broadcast. The exact distances of the ``DEPTH`` best by lookup in a task's first batch give a query's
+first radius, within which ``k`` vectors lie. By the triangle inequality a vector is outside of the radius
+where its lookup distance less its distance to its approximation is; all others are compared by
+exact Euclidean distance on the original vectors, in double precision, and the radius shrinks with
+each that is found. So the neighbours are exact at any size of the table, whatever ``DEPTH``; the codes
+only save work, the less the farther vectors are from their approximations. Codes are made of
+vectors over the table's largest component, divided in double precision, and squares that leave the
+range of doubles are scaled first, so that huge and tiny vectors are told apart as well.
 
 Null vectors, zero vectors and those with null or non-finite components take no part, nor do
 those of another than the commonest length (the smaller one of equals). Ties go to the smaller id.
+Equal rows are one. Where an id has several vectors, each is a candidate, the least is the query, and
+none is a neighbour of its own id. An empty table gives an empty result; a text or other column beside
+the id and the vector, of whatever name or length, isn't read.
 """
 
 from __future__ import annotations
@@ -117,29 +122,41 @@ def usable(v: Column) -> Column:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float32).reshape(-1, dim)
-
-
-def square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of rows, summed in the order of the components."""
-    out = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        out += (a[:, j] - b[:, j]) ** 2
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, squares summed in the order of the components; scaled where squares leave the range of doubles."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        out = np.zeros(len(a))
+        for j in range(a.shape[1]):
+            out += (a[:, j] - b[:, j]) ** 2
+        out = np.sqrt(out)
+        odd = np.flatnonzero((out < 1e-140) | ~(out < 1e150))
+        if len(odd):
+            apart = a[odd] - b[odd]
+            most = np.abs(apart).max(1)
+            fine = (most > 0) & np.isfinite(most)
+            scaled = apart[fine] / most[fine, None]
+            out[odd[fine]] = most[fine] * np.sqrt((scaled**2).sum(1))
     return out
 
 
 class Found:
     """The best few classes of each of some queries (by distance, then id), as batches of classes come in."""
 
-    def __init__(self, x: np.ndarray, table: np.ndarray, unit: float, most: int, depth: int):
-        self.x, self.table, self.unit, self.most, self.depth = x, table, unit, most, depth
-        self.norm = (x**2).sum(1)
-        self.small = (self.norm / unit**2).astype(np.float32)
+    def __init__(self, asked: np.ndarray, x: np.ndarray, table: np.ndarray, unit: float, most: int, depth: int):
+        self.asked, self.x, self.table, self.unit, self.most, self.depth = asked, x, table, unit, most, depth
+        with np.errstate(over="ignore"):
+            self.norm = (x**2).sum(1)
+        self.small = ((x / unit) ** 2).sum(1).astype(np.float32)
         self.rounding = self.small + np.abs(table).max(2).sum(1)
         self.ids = np.full((len(x), most), np.iinfo(np.int64).max)
         self.scores = np.full((len(x), most), np.inf)
 
     def _merge(self, of: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        if not len(of):
+            return
         some = np.unique(of)
         of = np.concatenate((np.repeat(some, self.most), of))
         ids, scores = np.concatenate((self.ids[some].ravel(), ids)), np.concatenate((self.scores[some].ravel(), scores))
@@ -152,30 +169,43 @@ class Found:
         top = place < self.most
         self.ids[of[top], place[top]], self.scores[of[top], place[top]] = ids[top], scores[top]
 
-    def add(self, ids: np.ndarray, code: np.ndarray, norm: np.ndarray, error: np.ndarray, v: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, alone: np.ndarray, code: np.ndarray, norm: np.ndarray, error: np.ndarray, v: np.ndarray) -> None:
+        """``alone``: only the row of this id has the vector, so it is no neighbour of its own."""
         about = self.small[:, None] + norm
         for s in range(code.shape[1]):
             about -= 2 * self.table[:, s][:, code[:, s]]
-        open_ = np.flatnonzero(np.isinf(self.scores[:, -1]))
+        open_ = np.flatnonzero(self.ids[:, -1] == np.iinfo(np.int64).max)
         if len(open_) and self.depth:
             width = min(self.depth, len(ids))
             best = np.argpartition(about[open_], width - 1, axis=1)[:, :width]
             of, at = np.repeat(open_, width), best.ravel()
-            self._merge(of, ids[at], np.sqrt(square(self.x[of], v[at])))
+            other = ~alone[at] | (ids[at] != self.asked[of])
+            self._merge(of[other], ids[at][other], distance(self.x[of[other]], v[at[other]]))
         radius = self.scores[:, -1]
-        reach = (radius / self.unit)[:, None] + error
-        may = ~(about > reach**2 + _ROUND * (self.rounding[:, None] + norm + error**2))  # not a number stays
-        at = np.flatnonzero(may.any(0))
-        if not len(at):
-            return
-        w = v[at]
-        size = self.norm[:, None] + (w**2).sum(1)
-        far = size - 2 * (self.x @ w.T)
-        of, column = np.nonzero(may[:, at] & ~(far > (radius**2)[:, None] + _FINE * size))
+        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+            reach = (radius / self.unit)[:, None] + error
+            may = ~(about > reach**2 + _ROUND * (self.rounding[:, None] + norm + error**2))  # not a number stays
+            may &= ~(alone & (ids == self.asked[:, None]))
+            at = np.flatnonzero(may.any(0))
+            if not len(at):
+                return
+            w = v[at]
+            size = self.norm[:, None] + (w**2).sum(1)
+            far = size - 2 * (self.x @ w.T)
+            of, column = np.nonzero(may[:, at] & ~(far > (radius**2)[:, None] + _FINE * size))
         # all vectors may be at the same distance, so pairs are taken by the piece
         for start in range(0, len(of), 100_000):
             o, c = of[start : start + 100_000], column[start : start + 100_000]
-            self._merge(o, ids[at[c]], np.sqrt(square(self.x[o], w[c])))
+            self._merge(o, ids[at[c]], distance(self.x[o], w[c]))
+
+
+def _distance(a: str, b: str) -> Column:
+    """``distance`` as an expression."""
+    apart = F.zip_with(a, b, lambda x, y: x - y)
+    plain = F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x))
+    most = F.array_max(F.transform(apart, F.abs))
+    scaled = most * F.sqrt(F.aggregate(F.transform(apart, lambda x: x / most), F.lit(0.0), lambda s, x: s + x * x))
+    return F.when((plain >= 1e-140) & (plain < 1e150), plain).when((most > 0) & (most < float("inf")), scaled).otherwise(plain)
 
 
 def nearest(rows: DataFrame, is_query: Column, *, k: int = 10, depth: int = DEPTH, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 5) -> DataFrame:
@@ -193,35 +223,40 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 10, depth: int = DEPT
     # classes of equal vectors: the least ids of each, found in salted groups first
     alike = Window.partitionBy("v", "salt").orderBy("i")
     few = good.select("v", "i").distinct().withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(_SALTS))).withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k + 1)
-    members = few.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("i"))).where(F.col("r") <= k + 1)
-    members = space.put(members.withColumn("class", F.min("i").over(Window.partitionBy("v"))).select("class", "i", "v"), "members")
-    classes = members.where("class = i").select("i", F.col("v").cast("array<float>").alias("v"), F.col("v").alias("w"))
-
-    n = classes.count()
-    share = int(min(1.0, SAMPLE / n) * 1_000_000)
-    drawn = classes.where(F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1_000_000)) < share).orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(SAMPLE).collect()
-    sample = np.array([r.v for r in drawn] or [r.v for r in classes.orderBy("i").limit(SAMPLE).collect()], np.float32)
-    # the sample's spread sets the unit, so that float32 holds any scale
-    unit = float(np.abs(sample).max())
-    books = train(sample / unit, seed=seed)
+    same = Window.partitionBy("v")
+    members = few.withColumn("r", F.row_number().over(same.orderBy("i"))).where(F.col("r") <= k + 1)
+    members = members.withColumn("class", F.min("i").over(same)).withColumn("alone", F.count("*").over(same) == 1)
+    members = space.put(members.select("class", "i", "alone", "v"), "members")
+    classes = members.where("class = i").select("i", "alone", "v")
+
+    n, largest = classes.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    # about twice the sample passes the first test, so that few rows are sorted
+    share = min(1.0, 2 * SAMPLE / n)
+    draw = F.xxhash64("i", F.lit(seed))
+    drawn = classes.withColumn("draw", draw).where(F.col("draw") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).orderBy("draw", "i").limit(SAMPLE).select("v").collect()
+    # the largest component sets the unit, so that float32 holds any scale
+    unit = float(largest)
+    books = train((np.array([r.v for r in drawn]) / unit).astype(np.float32), seed=seed)
     model = spark.sparkContext.broadcast((books, unit))
 
     def run_encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, unit = model.value
         for b in batches:
-            x = _matrix(b.column("v"), dim) / np.float32(unit)
+            x = (_matrix(b.column("v"), dim) / unit).astype(np.float32)
             codes = encode(x, books)
             near = approximate(codes, books)
             error = np.sqrt(((x.astype(np.float64) - near) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near**2).sum(1), pa.float32()), pa.array(error, pa.float32()), b.column("w")], ["i", "code", "norm", "error", "w"])
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("alone"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near**2).sum(1), pa.float32()), pa.array(error, pa.float32()), b.column("v")], ["i", "alone", "code", "norm", "error", "v"])
 
     parts = max(8, -(-n // PART))
-    codes = space.put(classes.mapInArrow(run_encode, "i long, code binary, norm float, error float, w array<double>").repartitionByRange(parts, "i").sortWithinPartitions("i"), "codes")
+    codes = space.put(classes.mapInArrow(run_encode, "i long, alone boolean, code binary, norm float, error float, v array<double>").repartitionByRange(parts, "i").sortWithinPartitions("i"), "codes")
 
-    queries = good.where("asks").select("i", "v").dropDuplicates(["i"])
+    queries = space.put(good.where("asks").groupBy("i").agg(F.min("v").alias("v")), "queries")
     blocks = max(1, -(-queries.count() // QUERIES))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)))
-    found = None
+    best = Window.partitionBy("query_id").orderBy("score", "class")
+    names = []
+    # one block after another: the driver and the workers hold the queries of one
     for block in range(blocks):
         asked = queries.where(F.col("block") == block).select("i", "v").collect()
         if not asked:
@@ -232,26 +267,27 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 10, depth: int = DEPT
             books, unit = model.value
             asked, x = shared.value
             small = (x / unit).astype(np.float32)
-            groups = [Found(x[g : g + 32], np.einsum("qd,swd->qsw", small[g : g + 32], books).astype(np.float32), unit, k + 1, depth) for g in range(0, len(x), 32)]
+            groups = [Found(asked[g : g + 32], x[g : g + 32], np.einsum("qd,swd->qsw", small[g : g + 32], books).astype(np.float32), unit, k, depth) for g in range(0, len(x), 32)]
             for b in batches:
-                ids = b.column("i").to_numpy()
+                ids, alone = b.column("i").to_numpy(), b.column("alone").to_numpy(zero_copy_only=False)
                 code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                v = np.asarray(b.column("w").flatten(), np.float64).reshape(-1, dim)
+                v = _matrix(b.column("v"), dim)
                 for group in groups if len(ids) else ():
-                    group.add(ids, code, b.column("norm").to_numpy(), b.column("error").to_numpy(), v)
-            for start, group in enumerate(groups):
+                    group.add(ids, alone, code, b.column("norm").to_numpy(), b.column("error").to_numpy(), v)
+            for group in groups:
                 of, at = np.nonzero(group.ids < np.iinfo(np.int64).max)
                 if len(of):
-                    yield pa.RecordBatch.from_arrays([pa.array(asked[32 * start + of]), pa.array(group.ids[of, at]), pa.array(group.scores[of, at])], ["query_id", "class", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(group.asked[of]), pa.array(group.ids[of, at]), pa.array(group.scores[of, at])], ["query_id", "class", "score"])
 
         part = codes.mapInArrow(run_scan, "query_id long, class long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+        space.put(part.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("query_id", "class"), f"near-{block}")
+        names.append(f"{space.root}/near-{block}")
+        shared.unpersist()
+    if not names:
         return spark.createDataFrame([], schema)
-    best = Window.partitionBy("query_id").orderBy("score", "class")
-    near = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("query_id", "class")
+    near = spark.read.parquet(*names).distinct()
+    # classes that share a least id, as ids repeat, all come back here with their own distances
     pairs = near.join(members.select("class", "i", F.col("v").alias("w")), "class").where("i <> query_id").join(queries.select(F.col("i").alias("query_id"), "v"), "query_id")
-    square = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("query_id", "i", F.sqrt(square).alias("score")).distinct()
+    scored = pairs.select("query_id", "i", _distance("v", "w").alias("score")).distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "i")).cast("int")
     return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("i").alias(id_col), "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.llm import ann
@@ -42,6 +43,42 @@ def test_neighbours_are_exact_with_poor_codebooks(spark, monkeypatch):
         assert [r.vec_id for r in got] == [i for i, _ in brute(ids, x, q)]
 
 
+@pytest.mark.parametrize("scale", [1e-300, 1e-100, 1.0, 1e38, 1e100, 1e300])
+def test_any_scale(spark, scale):
+    x = np.random.default_rng(6).standard_normal((1500, 8))
+    ids = np.arange(len(x))
+    rows = ann.nearest(spark.createDataFrame([(k, v) for k, v in enumerate((x * scale).tolist())], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    for q in range(0, 1500, 100):
+        got = sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in got] == [i for i, _ in brute(ids, x, q)]
+        assert np.allclose([r.score / scale for r in got], [d for _, d in brute(ids, x, q)], rtol=1e-12)
+
+
+def test_mixed_scales(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 4)) * np.repeat([1e120, 1e20, 1.0, 1e-60], 100)[:, None]
+    ids = np.arange(len(x))
+    rows = ann.nearest(spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    for q in range(0, 400, 50):
+        assert [r.vec_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)] == [i for i, _ in brute(ids, x, q)]
+
+
+def test_repeated_ids(spark):
+    rows = [(0, [1.0, 1.0]), (0, [5.0, 5.0]), (0, [1.0, 1.0]), (1, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [1.0, 1.0]), (2, [9.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=4).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 2, 0.0), (2, 1, 1.0), (3, 1, 2.0), (4, 2, 8.0)]
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    x = np.random.default_rng(9).standard_normal((800, 6))
+    ids = np.arange(len(x))
+    rows = ann.nearest(spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert len(rows) == 400
+    for q in range(0, 800, 20):
+        assert [r.vec_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)] == [i for i, _ in brute(ids, x, q)]
+
+
 def test_beam_is_no_worse_than_greedy():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 16)).astype(np.float32)
