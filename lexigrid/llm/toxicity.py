@@ -13,8 +13,14 @@
    turns them into a probability; it is fitted on weights of the other half of the sample, with
    each class weighed by its share of all labelled rows.
 
-Empty and null texts have no words and get the score of such a text. Rows that repeat a doc_id are
-scored each; without labelled documents of both kinds every score is 0.
+Empty and null texts have no words and get the score of such a text; very long ones are read whole, in
+a batch of their own. Rows that repeat a doc_id are scored each, and equal texts alike; without labelled
+documents of both kinds every score is 0, and an empty table gives an empty result. Of equally likely
+words the one found first stays.
+
+What reaches the driver: 64**3 counts of trigrams at most, the ids of the sample, five sums a sampled
+row, and those features of the sample (prefixes and words) that four toxic texts or more have and
+fewer others: at most a quarter of the features of at most ``POSITIVES`` texts.
 """
 
 from __future__ import annotations
@@ -39,8 +45,6 @@ SYMBOLS = 64
 COUNTED = 200_000
 #: Words of a worker's memory of tokens.
 REMEMBERED = 150_000
-#: States that a step of the decoder keeps.
-BEAM = 12
 
 #: Letters that a digit or mark may stand for.
 LOOKS = {
@@ -57,7 +61,7 @@ _SOFT = frozenset("!|(<+^")
 _EDGES = ".,;:?\"'()[]{}…«»“”„‘’-"
 _RUN = re.compile(r"(.)\1\1")
 _TAIL = re.compile(r"([^\w\s])\1\1+$|^([^\w\s])\2\2+|[#&%*~]+$|^[#&%*~]+")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)[\"'(\[]?\S(?:\s{1,3}\S){2,}[.,;:!?\"')\]]*(?!\S)")
 
 
 def _symbol(c: str) -> int:
@@ -112,6 +116,9 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
+        # Two states are alike once both have taken the same two letters (or word end), so a state that is
+        # behind by more than three steps can differ by is on no best path.
+        self.behind = 3 * float(np.abs(model).max())
 
     def lattice(self, token: str) -> list[tuple[list[tuple[str, float]], float | None, float | None]]:
         """For each character: letters with costs, the cost of losing it, and that of a word end in its place."""
@@ -149,8 +156,9 @@ class Restorer:
                     new = score + end + (model[base] if b else 0.0)
                     if (0, 0) not in fresh or new > fresh[0, 0][0]:
                         fresh[0, 0] = (new, (path, " "))
-            if len(fresh) > BEAM:
-                fresh = dict(sorted(fresh.items(), key=lambda x: -x[1][0])[:BEAM])
+            if len(fresh) > 8:
+                least = max(x[0] for x in fresh.values()) - self.behind
+                fresh = {k: x for k, x in fresh.items() if x[0] >= least}
             states = fresh
         _, path = max(((score + (model[(a * SYMBOLS + b) * SYMBOLS] if b else 0.0), path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])
         out = []
@@ -178,6 +186,11 @@ def restore(text: str, restorer: Restorer) -> str:
     return " ".join(w for part in _parts(text.lower()) for w in (restorer.decode(part) if " " in part else restorer.words(part)))
 
 
+def _spaced(run: str) -> str:
+    """A run of single characters with one space between, without marks at its ends."""
+    return " ".join(run.split()).strip(_EDGES + " ")
+
+
 def _parts(text: str) -> list[str]:
     """Tokens in order; a run of single characters is one token with its spaces."""
     if not _SPACED.search(text):
@@ -185,7 +198,7 @@ def _parts(text: str) -> list[str]:
     out, last = [], 0
     for m in _SPACED.finditer(text):
         out += text[last : m.start()].split()
-        out.append(m[0])
+        out.append(_spaced(m[0]))
         last = m.end()
     return out + text[last:].split()
 
@@ -214,7 +227,7 @@ class Weigher:
         text = text.lower()
         tokens = set(text.split())
         if _SPACED.search(text):
-            tokens.update(m[0] for m in _SPACED.finditer(text))
+            tokens.update(_spaced(m[0]) for m in _SPACED.finditer(text))
         strong = [w for w in map(self.token, tokens) if w > 0]
         total, size = sum(strong), np.log1p(len(tokens))
         return [np.log1p(total), max(strong, default=0.0), np.log1p(len(strong)), total / (1 + len(tokens)) ** 0.5, size]
