@@ -5,13 +5,15 @@ hashed into ``BUCKETS`` classes and counted over all training texts. A word's li
 language is the product over its trigrams, tempered because neighbouring trigrams overlap.
 
 A document is a mixture of languages: expectation-maximisation over its words estimates the
-proportions. Sets of the one, two, ... ``SET`` likeliest languages are fitted in the same way and
-the set of highest log-likelihood, less half of ln(words) for each language beyond the first,
-is kept. The prediction is the language of the greatest proportion in that set, and the score
+proportions, until they move by less than ``TOLERANCE``. Sets of the one, two, ... likeliest languages are
+fitted in the same way, as long as a document's log-likelihood, less half of ln(words) for each
+language beyond the first, rises; the last set that raised it is kept. The prediction is the language of the greatest proportion in that set, and the score
 is that proportion.
 
-Null texts and texts without letters are ``und`` with score 0; without training texts all are.
-Ties go to the language that comes first by code point.
+Null texts and texts without letters are ``und`` with score 0; without training texts all are. Very
+long texts are read whole, in a batch of their own. Ties go to the language that comes first by
+code point. Rows that repeat an id are predicted each, and equal texts alike; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 from .common import only, slices, small_batches
 
 BUCKETS = 1 << 17
-ROUNDS, SET = 8, 4
+#: Proportions that move by less are done; rounds after which documents that are done leave the others.
+TOLERANCE, ROUNDS = 2e-3, 4
 SMOOTH, TEMPER = 0.5, 0.5
 UNKNOWN = "und"
 
@@ -94,32 +97,46 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
 def mixtures(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and kept set (both documents x languages) of documents whose words start at ``first``; words: log-likelihoods."""
     counts = np.diff(np.append(first, len(words)))
-    doc = np.repeat(np.arange(len(first)), counts)
     top = words.max(1)
     like = np.exp(words - top[:, None])
     base = np.add.reduceat(top.astype(np.float64), first)
     langs = words.shape[1]
 
-    def fit(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(ROUNDS):
-            joint = share[doc] * like
-            total = joint.sum(1)
-            share = np.add.reduceat(joint / total[:, None], first, axis=0) / counts[:, None]
-        return share, np.add.reduceat(np.log((share[doc] * like).sum(1)), first) + base
-
-    full, _ = fit(np.full((len(first), langs), 1 / langs))
+    def part(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of some documents: likelihoods, the document of each (as a number in ``docs``), and first words."""
+        own = np.repeat(np.arange(len(docs)), counts[docs])
+        begin = np.cumsum(counts[docs]) - counts[docs]
+        return like[first[docs][own] + np.arange(len(own)) - begin[own]], own, begin
+
+    def fit(docs: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log-likelihoods of some documents, from a start."""
+        share, left = share.copy(), np.arange(len(docs))
+        while len(left):
+            x, own, begin = part(docs[left])
+            n, some = counts[docs[left]][:, None], share[left]
+            for _ in range(ROUNDS):
+                joint = some[own] * x
+                before, some = some, np.add.reduceat(joint / joint.sum(1)[:, None], begin, axis=0) / n
+            share[left] = some
+            left = left[np.abs(some - before).max(1) >= TOLERANCE]
+        x, own, begin = part(docs)
+        return share, np.add.reduceat(np.log((share[own] * x).sum(1)), begin) + base[docs]
+
+    every = np.arange(len(first))
+    full, _ = fit(every, np.full((len(first), langs), 1 / langs))
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-    best, chosen, score = None, None, None
-    for k in range(1, min(SET, langs) + 1):
-        start = np.where(rank < k, full + 1e-6, 0)
+    best, chosen, score = np.zeros(full.shape), rank < 1, np.full(len(first), -np.inf)
+    open_ = every
+    for k in range(1, langs + 1):
+        start = np.where(rank[open_] < k, full[open_] + 1e-6, 0)
         # a word that no language of the set can have still needs some likelihood
-        share, found = fit(start / start.sum(1, keepdims=True))
-        found = found - 0.5 * (k - 1) * np.log(np.maximum(counts, 2))
-        if best is None:
-            best, chosen, score = share, rank < 1, found
-        else:
-            better = (found > score)[:, None]
-            best, chosen, score = np.where(better, share, best), np.where(better, rank < k, chosen), np.maximum(found, score)
+        share, found = fit(open_, start / start.sum(1, keepdims=True))
+        found = found - 0.5 * (k - 1) * np.log(np.maximum(counts[open_], 2))
+        rises = found > score[open_]
+        open_ = open_[rises]
+        best[open_], chosen[open_], score[open_] = share[rises], rank[open_] < k, found[rises]
+        if not len(open_):
+            break
     return best, chosen
 
 
