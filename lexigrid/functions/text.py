@@ -62,9 +62,9 @@ def clean_line(col: Column) -> Column:
     return strip_markup(resolve_ligatures(resolve_alternatives(strip_references(strip_comments(col)))))
 
 
-def part_letters(col: Column) -> Column:
-    """Prose to transcription form: whatever isn't a letter parts words."""
-    return F.regexp_replace(F.coalesce(col, F.lit("")), r"[^\p{L}]+", ".")
+def part_letters(col: Column, lines: bool = False) -> Column:
+    """Prose to transcription form: whatever isn't a letter parts words; with ``lines``, line ends stay."""
+    return F.regexp_replace(F.coalesce(col, F.lit("")), r"[^\p{L}\n]+" if lines else r"[^\p{L}]+", ".")
 
 
 def rewrite(col: Column, profile: Profile = EVA_DISTINCT) -> Column:
@@ -75,18 +75,24 @@ def rewrite(col: Column, profile: Profile = EVA_DISTINCT) -> Column:
     return col
 
 
-def keep_alphabet(col: Column, profile: Profile = EVA_DISTINCT, separators: bool = True) -> Column:
-    """Drop characters outside the alphabet; their neighbours become adjacent."""
-    allowed = profile.order + (SEPARATORS if separators else "")
-    return F.regexp_replace(col, "[^" + re.escape(allowed) + "]", "")
+def keep_alphabet(col: Column, profile: Profile = EVA_DISTINCT, separators: bool = True, lines: bool = False) -> Column:
+    """Drop characters outside the alphabet; their neighbours become adjacent. With ``lines``, line ends stay."""
+    allowed = profile.order + (SEPARATORS if separators else "") + ("\n" if lines else "")
+    return F.regexp_replace(col, "[^" + re.escape(allowed) + "]+", "")
 
 
-def normalise(col: Column, profile: Profile = EVA_DISTINCT, separators: bool = True) -> Column:
-    return keep_alphabet(rewrite(col, profile), profile, separators)
+def normalise(col: Column, profile: Profile = EVA_DISTINCT, separators: bool = True, lines: bool = False) -> Column:
+    return keep_alphabet(rewrite(col, profile), profile, separators, lines)
 
 
 def split_words(normalised: Column) -> Column:
-    return F.filter(F.split(normalised, r"[.,/\\]+"), lambda w: w != "")
+    inner = F.btrim(normalised, F.lit(SEPARATORS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[.,/\\]+"))
+
+
+def solid(normalised: Column) -> Column:
+    """Without what parts words and lines."""
+    return F.translate(normalised, SEPARATORS + "\n", "")
 
 
 def glyphs(word: Column) -> Column:

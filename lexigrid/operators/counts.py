@@ -17,11 +17,30 @@ def _grams(word: Column, n: int) -> Column:
     return F.when(size >= 1, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def _each(rows: DataFrame, by: tuple[str, ...], array: Column, name: str) -> DataFrame:
+    """(*by, name) for every element of an array.
+
+    The explode is an outer one: for an inner one the optimiser tests the array's size in a filter
+    below, which makes the array twice.
+    """
+    return rows.select(*by, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def word_counts(words: DataFrame, by: tuple[str, ...], items: Column | None = None) -> DataFrame:
+    """(*by, w, m): how often each word (or item) occurs, so that what follows works on distinct words.
+
+    By page there is little to gain, and a stream aggregates once, so there each occurrence stays a row
+    with m = 1.
+    """
+    rows = _each(words, by, F.col("words") if items is None else items, "w")
+    return rows.withColumn("m", F.lit(1).cast("long")) if "folio" in by or words.isStreaming else rows.groupBy(*by, "w").agg(F.count("*").alias("m"))
+
+
 def ngrams(words: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), by: tuple[str, ...] = ("folio",)) -> DataFrame:
     """(*by, n, ngram, cnt) inside words."""
-    grams = F.flatten(F.transform("words", lambda w: F.concat(*(_grams(w, n) for n in sizes))))
-    rows = words.select(*by, F.explode(grams).alias("ngram"))
-    return rows.groupBy(*by, "ngram").agg(F.count("*").alias("cnt")).withColumn("n", F.length("ngram"))
+    grams = F.concat(*(_grams(F.col("w"), n) for n in sizes))
+    rows = _each(word_counts(words, by), (*by, "m"), grams, "ngram")
+    return rows.groupBy(*by, "ngram").agg(F.sum("m").alias("cnt")).withColumn("n", F.length("ngram"))
 
 
 def frequencies(counts: DataFrame, by: tuple[str, ...], min_count: int = 1) -> DataFrame:
@@ -48,38 +67,48 @@ def dense_bigrams(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return out.select(*by, "a", "b", cnt.alias("cnt"), F.coalesce(cnt / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)).alias("freq"))
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.struct(a.alias("from_tok"), b.alias("to_tok"))
+#: Stands before the two tokens of a border's item, and between them; no glyph is one.
+_MARK = "\x01"
+
+
+def _border(a: Column, b: Column) -> Column:
+    return F.concat(F.lit(_MARK), a, F.lit(_MARK), b)
 
 
 def transitions(words: DataFrame, *, by: tuple[str, ...] = ("folio",), word: bool = True, line: bool = True, para: bool = True, page: bool = True) -> DataFrame:
     """(*by, from_tok, to_tok, n): glyph to glyph inside words, and from and to the borders that are asked for.
 
     Lines, paragraphs and pages count if their line has a glyph; a page ends only if its last line has one.
-    ``by`` may be any attributes of pages that lines carry; no table by page is made then.
+    ``by`` may be any attributes of pages that lines carry; no table by page is made then. A line's items
+    are its words and its borders; they are counted first and parted into pairs of tokens after that.
     """
-    framed = (lambda w: F.concat(F.lit(T.WORD_START), w, F.lit(T.WORD_END))) if word else (lambda w: w)
-    none = F.array().cast("array<struct<from_tok:string,to_tok:string>>")
-
-    def inside(w: Column) -> Column:
-        f = framed(w)
-        return F.when(F.length(f) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(f) - 1, F.lit(1))), lambda i: _pair(F.substring(f, i, F.lit(1)), F.substring(f, i + 1, F.lit(1))))).otherwise(none)
-
-    solid = F.array_join("words", "")
+    none = F.array().cast("array<string>")
+    solid = T.solid(F.col("norm"))
     first, last = F.left(solid, F.lit(1)), F.right(solid, F.lit(1))
     full = F.size("words") > 0
-    parts = [F.flatten(F.transform("words", inside))]
+    when = lambda c, *x: F.when(c, F.array(*x)).otherwise(none)
+    parts = [F.col("words")]
     if line:
-        parts.append(F.when(full, F.array(_pair(F.lit(T.LINE_START), first), _pair(last, F.lit(T.LINE_END)))).otherwise(none))
+        parts.append(when(full, _border(F.lit(T.LINE_START), first), _border(last, F.lit(T.LINE_END))))
     if para:
-        parts.append(F.when(full & F.col("para_start"), F.array(_pair(F.lit(T.PARA_START), first))).otherwise(none))
-        parts.append(F.when(full & F.col("para_end"), F.array(_pair(last, F.lit(T.PARA_END)))).otherwise(none))
-    counts = words.select(*by, F.explode(F.concat(*parts)).alias("p")).groupBy(*by, "p.from_tok", "p.to_tok").agg(F.count("*").alias("n"))
-    if page:
+        parts.append(when(full & F.col("para_start"), _border(F.lit(T.PARA_START), first)))
+        parts.append(when(full & F.col("para_end"), _border(last, F.lit(T.PARA_END))))
+    known = "page_first" in words.columns
+    if page and known:
+        parts.append(when((F.col("line_idx") == 0) & (F.col("page_first") != ""), _border(F.lit(T.PAGE_START), F.col("page_first"))))
+        parts.append(when((F.col("line_idx") == 0) & (F.col("page_last") != ""), _border(F.col("page_last"), F.lit(T.PAGE_END))))
+    items = word_counts(words, by, F.concat(*parts) if len(parts) > 1 else parts[0])
+    if page and not known:
         ends = words.groupBy(*dict.fromkeys(("folio", *by))).agg(F.min_by(F.when(full, first), F.when(full, F.col("line_idx"))).alias("first"), F.max_by(last, "line_idx").alias("last"))
-        ends = ends.select(*by, F.explode(F.array(_pair(F.lit(T.PAGE_START), F.col("first")), _pair(F.col("last"), F.lit(T.PAGE_END)))).alias("p")).select(*by, "p.*")
-        counts = counts.unionByName(ends.where("from_tok <> '' and to_tok <> ''").groupBy(*by, "from_tok", "to_tok").agg(F.count("*").alias("n")))
-    return counts
+        ends = ends.select(*by, F.explode(F.array(F.when(F.col("first") != "", _border(F.lit(T.PAGE_START), F.col("first"))), F.when(F.col("last") != "", _border(F.col("last"), F.lit(T.PAGE_END))))).alias("w")).where("w is not null")
+        items = items.unionByName(ends.withColumn("m", F.lit(1).cast("long")))
+    w = F.concat(F.lit(T.WORD_START), "w", F.lit(T.WORD_END)) if word else F.col("w")
+    struct = lambda a, b: F.struct(a.alias("from_tok"), b.alias("to_tok"))
+    inside = F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: struct(F.substring(w, i, F.lit(1)), F.substring(w, i + 1, F.lit(1))))
+    two = F.split("w", _MARK)
+    pairs = F.when(F.startswith("w", F.lit(_MARK)), F.array(struct(two[1], two[2]))).when(F.length(w) > 1, inside)
+    rows = _each(items, (*by, "m"), pairs, "p")
+    return rows.groupBy(*by, "p.from_tok", "p.to_tok").agg(F.sum("m").alias("n"))
 
 
 def probabilities(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -94,11 +123,11 @@ def charset(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def word_positions(words: DataFrame, by: tuple[str, ...] = ("folio",), min_length: int = 1) -> DataFrame:
     """(*by, glyph, start, middle, end, only, total): where glyphs stand in words."""
-    rows = words.select(*by, F.explode("words").alias("w")).where(F.length("w") >= min_length)
-    rows = rows.select(*by, F.length("w").alias("len"), F.posexplode(T.glyphs(F.col("w"))).alias("pos", "glyph"))
+    rows = word_counts(words, by).where(F.length("w") >= min_length)
+    rows = rows.select(*by, "m", F.length("w").alias("len"), F.posexplode(T.glyphs(F.col("w"))).alias("pos", "glyph"))
     one, at_start, at_end = F.col("len") == 1, F.col("pos") == 0, F.col("pos") == F.col("len") - 1
-    count = lambda c, name: F.count_if(c).alias(name)
-    return rows.groupBy(*by, "glyph").agg(count(~one & at_start, "start"), count(~one & ~at_start & ~at_end, "middle"), count(~one & at_end, "end"), count(one, "only"), F.count("*").alias("total"))
+    count = lambda c, name: F.sum(F.when(c, F.col("m")).otherwise(0)).alias(name)
+    return rows.groupBy(*by, "glyph").agg(count(~one & at_start, "start"), count(~one & ~at_start & ~at_end, "middle"), count(~one & at_end, "end"), count(one, "only"), F.sum("m").alias("total"))
 
 
 POSITIONS = ("start", "middle", "end", "only")
@@ -114,11 +143,11 @@ def length_profile(words: DataFrame, scope: str, most: int, by: tuple[str, ...]
     What is longer than ``most`` counts as of that length, without what lies beyond.
     """
     if scope == "word":
-        rows = words.select(*by, F.explode("words").alias("w")).select(*by, F.least(F.length("w"), F.lit(most)).alias("length"), F.posexplode(T.glyphs(F.left(F.col("w"), F.lit(most)))).alias("pos", "glyph"))
+        rows = word_counts(words, by).select(*by, "m", F.least(F.length("w"), F.lit(most)).alias("length"), F.posexplode(T.glyphs(F.left(F.col("w"), F.lit(most)))).alias("pos", "glyph"))
     else:
-        rows = words.where(F.size("words") > 0).select(*by, F.least(F.size("words"), F.lit(most)).alias("length"), F.posexplode(F.slice("words", 1, most)).alias("pos", "w"))
-        rows = rows.select(*by, "length", "pos", F.explode(T.glyphs(F.col("w"))).alias("glyph"))
-    return rows.groupBy(*by, "glyph", "length", "pos").agg(F.count("*").alias("n"))
+        rows = words.select(*by, F.least(F.size("words"), F.lit(most)).alias("length"), F.posexplode_outer(F.slice("words", 1, most)).alias("pos", "w")).where("w is not null")
+        rows = _each(rows.withColumn("m", F.lit(1).cast("long")), (*by, "length", "pos", "m"), T.glyphs(F.col("w")), "glyph")
+    return rows.groupBy(*by, "glyph", "length", "pos").agg(F.sum("m").alias("n"))
 
 
 def dense_profile(counts: DataFrame, most: int, by: tuple[str, ...]) -> DataFrame:

@@ -21,11 +21,13 @@ PIXEL_GRIDS = {"coarse": (10, 15), "fine": (20, 30), "raw": (100, 150)}
 
 
 def _solid(col: str = "norm") -> Column:
-    return F.translate(F.col(col), ".,/\\", "")
+    return T.solid(F.col(col))
 
 
 def extents(words: DataFrame) -> DataFrame:
     """(folio, min_line, max_line, max_width, line_count) over all lines, those without glyphs too."""
+    if "max_width" in words.columns:
+        return words.where("line_idx = 0").select("folio", "min_line", "max_line", "max_width", F.col("max_line").cast("long").alias("line_count"))
     return words.groupBy("folio").agg(F.min("line_num").alias("min_line"), F.max("line_num").alias("max_line"), F.max(F.length(_solid())).alias("max_width"), F.count("*").alias("line_count"))
 
 
@@ -37,13 +39,15 @@ def points(words: DataFrame) -> DataFrame:
 def place(words: DataFrame, corpus_wide: bool = True) -> DataFrame:
     """Points with x and y in the page (x_page, y_page) and, if asked for, in the corpus (x_ms, y_ms); the lines' other columns stay.
 
-    Extents are attached to lines, before glyphs are exploded: one shuffle of lines by page, which
-    counts by page use again; extents of the corpus are one row, and cost a pass of their own.
+    Extents are attached to lines, before glyphs are exploded: lines carry them where pages are rows;
+    else it takes one shuffle of lines by page, which counts by page use again. Extents of the corpus are
+    one row, and cost a pass of their own.
     """
     page = Window.partitionBy("folio")
-    lines = words.withColumn("solid", _solid()).drop("norm", "words", "line_idx", "para_start", "para_end")
-    lines = lines.withColumns({"min_line": F.min("line_num").over(page), "max_line": F.max("line_num").over(page), "max_width": F.max(F.length("solid")).over(page)})
-    rows = lines.select(*[c for c in lines.columns if c != "solid"], F.posexplode(T.glyphs(F.col("solid"))).alias("char_idx", "glyph"))
+    lines = words.withColumn("solid", _solid()).drop("norm", "words", "line_idx", "para_start", "para_end", "page_first", "page_last")
+    if "max_width" not in words.columns:
+        lines = lines.withColumns({"min_line": F.min("line_num").over(page), "max_line": F.max("line_num").over(page), "max_width": F.max(F.length("solid")).over(page)})
+    rows = lines.select(*[c for c in lines.columns if c != "solid"], F.posexplode_outer(T.glyphs(F.col("solid"))).alias("char_idx", "glyph")).where("glyph is not null")
     share = lambda v, most: v / F.nullif(most, F.lit(0))
     half, idx, line = F.lit(0.5), F.col("char_idx"), F.col("line_num")
     rows = rows.withColumns({
@@ -52,7 +56,8 @@ def place(words: DataFrame, corpus_wide: bool = True) -> DataFrame:
     })
     if not corpus_wide:
         return rows
-    whole = words.agg(F.max("line_num").alias("g_line"), F.max(F.length(_solid())).alias("g_width"))
+    wide = F.col("max_width") if "max_width" in words.columns else F.length(_solid())
+    whole = words.agg(F.max("line_num").alias("g_line"), F.max(wide).alias("g_width"))
     return rows.join(F.broadcast(whole)).withColumns({
         "y_ms": F.when(F.col("g_line") > 1, share(line - 1, F.col("g_line"))).otherwise(half),
         "x_ms": F.when(F.col("g_width") > 0, share(idx, F.col("g_width"))).otherwise(half),

@@ -39,6 +39,10 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus(spark, sf_dir).words()
 
 
+def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).by_page().words()
+
+
 def _r(c: str | Column, name: str | None = None) -> Column:
     return F.round(c, 6).alias(name or c)
 
@@ -167,8 +171,8 @@ def markov_charset(spark, d):
 
 @query
 def markov_grouped_rollup(spark, d):
-    corpus = _corpus(spark, d, labels=True)
-    return R.roll_up(C.transitions(corpus.words()), corpus.pages, R.DOCUMENTS, ["from_tok", "to_tok"], ["n"])
+    by = R.attributes(R.DOCUMENTS)
+    return R.roll_up_attributes(C.transitions(_corpus(spark, d, labels=True).words(), by=by), R.DOCUMENTS, ["from_tok", "to_tok"], ["n"])
 
 
 @query
@@ -405,7 +409,7 @@ def document_boxes(words: DataFrame) -> DataFrame:
 
 def _pixels(spark, d) -> tuple[DataFrame, DataFrame]:
     # words are normalised already, so only their alphabet is kept
-    boxes = document_boxes(_words(spark, d))
+    boxes = document_boxes(_page_words(spark, d))
     return G.glyph_boxes(boxes, None), boxes
 
 
@@ -490,12 +494,12 @@ def distinct_domains(spark, d):
 
 
 def _ngram_metrics(spark, d) -> DataFrame:
-    return M.ngram_metrics(C.ngrams(_words(spark, d)))
+    return M.ngram_metrics(C.ngrams(_page_words(spark, d)))
 
 
 def _grid_metrics(spark, d) -> DataFrame:
     cols, rows = G.TEXT_GRIDS["coarse"]
-    return M.grid_metrics(G.total_grid(G.histogram(_placed(spark, d), "x_page", "y_page", cols, rows), ("folio",)), cols, rows)
+    return M.grid_metrics(G.total_grid(G.histogram(G.place(_page_words(spark, d), False), "x_page", "y_page", cols, rows), ("folio",)), cols, rows)
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
@@ -509,12 +513,12 @@ def page_metrics_entropy(spark, d):
 
 @query
 def page_metrics_transition(spark, d):
-    return _rounded(M.transition_metrics(C.transitions(_words(spark, d))))
+    return _rounded(M.transition_metrics(C.transitions(_page_words(spark, d))))
 
 
 @query
 def page_metrics_wordpos(spark, d):
-    return _rounded(M.position_metrics(C.word_positions(_words(spark, d))))
+    return _rounded(M.position_metrics(C.word_positions(_page_words(spark, d))))
 
 
 @query
@@ -524,13 +528,13 @@ def page_metrics_spatial(spark, d):
 
 @query
 def page_metrics_full_join(spark, d):
-    words = _words(spark, d)
+    words = _page_words(spark, d)
     return _rounded(M.join_all(_ngram_metrics(spark, d), M.transition_metrics(C.transitions(words)), M.position_metrics(C.word_positions(words)), _grid_metrics(spark, d)))
 
 
 @query
 def metric_axis_extent(spark, d):
-    return _rounded(D.axis_extent(M.transition_metrics(C.transitions(_words(spark, d))), "transition_entropy"))
+    return _rounded(D.axis_extent(M.transition_metrics(C.transitions(_page_words(spark, d))), "transition_entropy"))
 
 
 @query
