@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.profiles import Profile
 
 
+#: Values that a legend may have.
+LEGEND = 10_000
+
+
 def diff(a: DataFrame, b: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """Keys of either side; for each measure m: m_a, m_b (0 where missing) and m_diff = m_a - m_b."""
     left = a.select(*keys, *(F.col(m).alias(f"{m}_a") for m in measures))
@@ -17,6 +21,24 @@ def diff(a: DataFrame, b: DataFrame, keys: list[str], measures: list[str]) -> Da
     return out.withColumns({f"{m}_diff": F.col(f"{m}_a") - F.col(f"{m}_b") for m in measures})
 
 
+def dense_diff(rows: DataFrame, tokens: DataFrame, token: str, ends: tuple[str, str], measure: str, sides: tuple[str, str]) -> DataFrame:
+    """(*ends, m_a, m_b, m_diff) for all pairs of ``tokens``, the union of both sides' alphabets, which is small and bounded; 0 where missing.
+
+    One aggregate of the pairs has both sides, so ``rows`` (language, *ends, measure) is made once.
+    """
+    pick = lambda x: F.max(F.when(F.col("language") == x, F.col(measure)))
+    both = rows.groupBy(*ends).agg(*(pick(x).alias(f"{measure}_{k}") for x, k in zip(sides, "ab", strict=True)))
+    every = tokens.select(F.col(token).alias(ends[0])).join(F.broadcast(tokens.select(F.col(token).alias(ends[1]))))
+    out = every.join(both, list(ends), "left").fillna(0.0, [f"{measure}_a", f"{measure}_b"])
+    return out.withColumn(f"{measure}_diff", F.col(f"{measure}_a") - F.col(f"{measure}_b"))
+
+
+def carry_selection(before: DataFrame, after: DataFrame, token: str, off: tuple[str, ...]) -> DataFrame:
+    """(token, known, enabled) of the new alphabet: tokens that were there keep their state, new ones are on."""
+    rows = after.join(before.withColumn("known", F.lit(True)), token, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return rows.withColumn("enabled", ~F.col("known") | ~F.col(token).isin(*off))
+
+
 def greatest_difference(d: DataFrame, measure: str, floor: float) -> DataFrame:
     """One row: the greatest absolute difference, ``floor`` if there is none."""
     most = F.max(F.abs(F.col(f"{measure}_diff")))
@@ -52,6 +74,22 @@ def keep_order(b: DataFrame, a_ranked: DataFrame, token: str) -> DataFrame:
     return b.join(known, token, "left").withColumn("rank", F.row_number().over(order)).drop("a_rank")
 
 
+def places(rows: DataFrame, by: str, key: str, name: str = "place", parts: int | None = None) -> DataFrame:
+    """Adds the row's place in its group, from 1, by an unrepeated key; a group may be large.
+
+    Rows are dealt out in ranges of group and key, numbered within a range, and shifted by the counts
+    of the ranges before, of which there is a row for each range and group in it.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, by, key).withColumn("range", F.spark_partition_id())
+    counts = dealt.groupBy("range", by).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("range", F.col(by), before.alias("start"))
+    local = F.row_number().over(Window.partitionBy("range", by).orderBy(key))
+    out = dealt.withColumn("local", local).join(starts, ["range", by])
+    return out.select(*rows.columns, (F.col("local") + F.col("start")).cast("int").alias(name))
+
+
 def axis_extent(rows: DataFrame, value: str, padding: float = 0.05) -> DataFrame:
     """One row (low, high): the range with a padding on both sides."""
     out = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -67,6 +105,8 @@ def nearest_point(rows: DataFrame, x: str, y: str, at: tuple[float, float], radi
 
 
 def intern_colours(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """(value, colour): a number for each value by its first appearance."""
+    """(value, colour): a number for each value by its first appearance; for at most ``LEGEND`` values, as no legend shows more."""
     first = rows.groupBy(value).agg(F.min(order).alias("first"))
+    if first.limit(LEGEND + 1).count() > LEGEND:
+        raise ValueError(f"over {LEGEND} values of {value}")
     return first.withColumn("colour", F.row_number().over(Window.orderBy("first", value)) - 1).drop("first")

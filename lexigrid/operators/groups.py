@@ -115,8 +115,8 @@ def overlaps(pages: DataFrame, groups: tuple[Group, ...], attributes: list[str])
 
 
 def contents(pages: DataFrame, groups: tuple[Group, ...]) -> DataFrame:
-    """(agg, quire, folios, n_pages): what each group holds, by quire."""
-    return membership(pages, groups).groupBy("agg", "quire").agg(F.array_join(F.sort_array(F.collect_list("folio")), ",").alias("folios"), F.count("*").alias("n_pages"))
+    """(agg, quire, folio): what each group holds, a row for each page, as a group may hold a large part of all."""
+    return membership(pages, groups).select("agg", "quire", "folio")
 
 
 def domains(pages: DataFrame, attributes: list[str]) -> DataFrame:

@@ -49,3 +49,10 @@ def grid_metrics(grid: DataFrame, cols: int, rows: int) -> DataFrame:
 def join_all(*tables: DataFrame) -> DataFrame:
     """Full join by folio: pages of any of the tables."""
     return reduce(lambda a, b: a.join(b, "folio", "full"), tables)
+
+
+def join_first(tables: list[DataFrame], attributes: tuple[str, ...]) -> DataFrame:
+    """Full join by folio of tables that carry attributes; those of the first table that has the page count."""
+    named = [t.withColumnsRenamed({a: f"{a}_{k}" for a in attributes}) for k, t in enumerate(tables)]
+    out = join_all(*named).withColumns({a: F.coalesce(*(f"{a}_{k}" for k in range(len(tables)))) for a in attributes})
+    return out.drop(*(f"{a}_{k}" for a in attributes for k in range(len(tables))))

@@ -154,7 +154,7 @@ for _name, _groups in (("group_manifest", R.DOCUMENTS), ("group_subset", R.selec
     add(_name, f"SELECT d.agg, d.description, count(m.folio) AS page_count FROM {_defs(_groups)} LEFT JOIN members m ON m.agg = d.agg GROUP BY ALL", PAGES, MEMBERS)
 _LONG = "\nlong AS (" + " UNION ALL ".join(f"SELECT agg, '{a}' AS attribute, {a} AS value FROM members" for a in ("language", "hand", "illustration")) + ")"
 add("group_overlap_stats", "SELECT agg, attribute, value, count(*) AS pages, round(count(*) / any_value(total), 6) AS share FROM (SELECT *, count(*) OVER (PARTITION BY agg, attribute) AS total FROM long) GROUP BY agg, attribute, value", PAGES, MEMBERS, _LONG)
-add("group_contents", "SELECT agg, quire, array_to_string(list_sort(list(folio)), ',') AS folios, count(*) AS n_pages FROM members GROUP BY ALL", PAGES, MEMBERS)
+add("group_contents", "SELECT agg, quire, folio FROM members", PAGES, MEMBERS)
 add("distinct_domains", "SELECT DISTINCT attribute, value FROM long WHERE value <> ''", PAGES, MEMBERS, _LONG)
 add("metadata_match_rate", "SELECT count(DISTINCT d.doc_id) AS folios, count(DISTINCT l.doc_id) AS matched FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 add("quire_numbers", "SELECT folio, quire, CAST(ascii(quire) - 64 AS INTEGER) AS number FROM pages", PAGES)

@@ -476,8 +476,7 @@ def group_subset(spark, d):
 @query
 def page_order(spark, d):
     pages = _corpus(spark, d).pages.withColumn("number", T.quire_number(F.col("quire")))
-    place = F.row_number().over(Window.partitionBy("number").orderBy("folio"))  # places within a quire; quires by number
-    return pages.select("number", "folio", place.alias("place"))
+    return D.places(pages.select("number", "folio"), "number", "folio")  # places within a quire; quires by number
 
 
 @query
