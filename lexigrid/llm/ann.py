@@ -41,8 +41,6 @@ from .common import Workspace
 STAGES, WORDS, BEAM = 16, 256, 8
 SAMPLE, KMEANS, REFITS = 20_000, 12, 2
 QUERIES, DEPTH = 8192, 400
-#: Codes of a part of the index, which one task scans.
-PART = 500_000
 _SALTS = 32
 #: What rounding may add to a lookup in single precision, or a product in double precision, in proportion to its terms.
 _ROUND, _FINE = 1e-4, 1e-11
@@ -248,8 +246,7 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 10, depth: int = DEPT
             error = np.sqrt(((x.astype(np.float64) - near) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("alone"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near**2).sum(1), pa.float32()), pa.array(error, pa.float32()), b.column("v")], ["i", "alone", "code", "norm", "error", "v"])
 
-    parts = max(8, -(-n // PART))
-    codes = space.put(classes.mapInArrow(run_encode, "i long, alone boolean, code binary, norm float, error float, v array<double>").repartitionByRange(parts, "i").sortWithinPartitions("i"), "codes")
+    codes = space.put(classes.mapInArrow(run_encode, "i long, alone boolean, code binary, norm float, error float, v array<double>"), "codes")
 
     queries = space.put(good.where("asks").groupBy("i").agg(F.min("v").alias("v")), "queries")
     blocks = max(1, -(-queries.count() // QUERIES))
