@@ -9,17 +9,22 @@ network routes the patterns' words to the sources' quotas:
     source -> end      the source's quota
 
 Successive shortest paths send as much as the network holds at the least cost. The network has a
-node for each pattern and source, not for each document, and is solved on the driver.
+node for each pattern and source, not for each document, and is solved on the driver; over
+``PATTERNS`` patterns are an error. With one source a document no route is open to choice, and the
+flow is each source's own quota; it decides where patterns overlap.
 
 A pattern's flow then becomes documents: all of them are taken flow div size times, and the rest is
 filled in a seeded order, by hash of the id, up to the last document that fits; the one that comes
 nearest to what is still missing closes the gap if that helps. The order's sums are taken over
-``BUCKETS`` ranges of the hash first and row by row only in the range where a pattern's rest ends, so
-a source that holds a third of all rows is no hot group.
+``BUCKETS`` ranges of the hash first and row by row only in the range where a pattern's rest ends, and
+what is known of a pattern is broadcast, so a source that holds a third of all rows is no hot group.
 
 Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and share all words; a
 target stops at ``MOST`` times its source's words and the excess is shared by weight among the others.
-Null and empty texts have no words and are never in the way: they are taken with 0 words.
+Null and empty texts have no words and are never in the way: they are taken with 0 words. A very
+long text is one document, taken whole. Rows without an id are drawn by a hash of their text; ties
+of the draw go by id and size. Rows equal in draw, id and size are taken alike. An empty table gives an
+empty result. Columns of ``docs`` whose names are used here are read only where they are named.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ from .common import Workspace
 MOST = 3
 WEIGHTS = (5, 2, 1)
 BUCKETS = 4096
+#: Membership patterns that the driver solves the flow for, and that are broadcast in a few columns; more are refused.
+PATTERNS = 100_000
 #: Seeded order: so many hex digits of a digest, 52 bits.
 _DIGITS = 13
 
@@ -126,11 +133,15 @@ def mix(docs: DataFrame, *, sources: Column | None = None, weights: Sequence[flo
     spark = docs.sparkSession
     space = Workspace(spark, "mixing")
     member = F.array_distinct(sources) if sources is not None else F.array(F.col("source").cast("string"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, _DIGITS), 16, 10).cast("long")
+    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    draw = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}")).cast("binary")), 1, _DIGITS), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("i"), member.alias("sources"), words(F.col(text_col).cast("string")).alias("size"), draw.alias("draw"), F.struct(F.lit(0).alias("_"), *keep).alias("own"))
     rows = space.put(rows.withColumn("bucket", F.shiftright("draw", 4 * _DIGITS - BUCKETS.bit_length() + 1).cast("int")), "rows")
 
-    patterns = {tuple(r.sources): r.size for r in rows.groupBy("sources").agg(F.sum("size").alias("size")).collect()}
+    found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(PATTERNS + 1).collect()
+    if len(found) > PATTERNS:
+        raise ValueError(f"over {PATTERNS} membership patterns")
+    patterns = {tuple(r.sources): r.size for r in found}
     sizes: dict = {}
     for p, n in patterns.items():
         for s in p:
@@ -143,23 +154,24 @@ def mix(docs: DataFrame, *, sources: Column | None = None, weights: Sequence[flo
         plan.append((list(p), sizes.get(p[0], 0) if p else 0, target[p[0]] if p else 0.0, flow // n if n else 1, flow % n if n else 0))
     plan = spark.createDataFrame(plan, "sources array<string>, source_size long, target double, base long, rest long")
     names = F.to_json(F.struct("sources"))  # arrays with nulls, compared by value
-    rows, plan = rows.withColumn("p", names), plan.withColumn("p", names).drop("sources")
+    # a row a pattern: PATTERNS at most
+    rows, plan = rows.withColumn("p", names), F.broadcast(plan.withColumn("p", names).drop("sources"))
 
     sums = rows.groupBy("p", "bucket").agg(F.sum("size").alias("n"))
     upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy("bucket"))).join(plan.select("p", "rest"), "p")
     last = space.put(upto.where("upto > rest").groupBy("p").agg(F.min("bucket").alias("last"), F.min(F.col("upto") - F.col("n")).alias("below")), "last")
-    ends = rows.join(last, "p").where("bucket = last").join(plan.select("p", "rest"), "p")
+    ends = rows.join(F.broadcast(last), "p").where("bucket = last").join(plan.select("p", "rest"), "p")
     order = Window.partitionBy("p").orderBy("draw", "i", "size").rowsBetween(Window.unboundedPreceding, 0)
     ends = space.put(ends.withColumn("sum", F.col("below") + F.sum("size").over(order)).select("i", "p", "size", "draw", "below", "rest", "sum", F.row_number().over(Window.partitionBy("p").orderBy("draw", "i", "size")).alias("k")), "ends")
     # what the prefix leaves open, and the first document that isn't in it
     stop = ends.groupBy("p").agg(F.max(F.when(F.col("sum") <= F.col("rest"), F.col("sum"))).alias("full"), F.min("below").alias("below"), F.max("rest").alias("rest"), F.min(F.when(F.col("sum") > F.col("rest"), F.struct("draw", "i", "size"))).alias("stop"))
     stop = stop.select("p", (F.col("rest") - F.coalesce("full", "below")).alias("gap"), "stop")
-    rows = rows.join(plan, "p", "left").join(stop, "p", "left")
+    rows = rows.join(plan, "p", "left").join(F.broadcast(stop), "p", "left")
     place = F.struct("draw", "i", "size")
     rows = rows.withColumn("extra", F.coalesce((F.col("rest") > 0) & (F.col("stop").isNull() | (place < F.col("stop"))), F.lit(False)))
     off = F.abs(F.col("gap") - F.col("size"))
     closing = rows.where((~F.col("extra")) & (F.col("gap") > 0) & (off < F.col("gap"))).groupBy("p").agg(F.min(F.struct(off.alias("off"), "draw", "i", "size")).alias("c")).select("p", F.col("c.draw").alias("cd"), F.col("c.i").alias("ci"), F.col("c.size").alias("cs"))
-    closing = closing.withColumn("closes", F.lit(True))
+    closing = F.broadcast(closing.withColumn("closes", F.lit(True)))
     rows = rows.join(closing, (rows["p"] == closing["p"]) & (F.col("draw") == F.col("cd")) & F.col("i").eqNullSafe(F.col("ci")) & (F.col("size") == F.col("cs")) & ~F.col("extra"), "left")
     copies = F.col("base") + F.when(F.col("extra") | F.coalesce("closes", F.lit(False)), 1).otherwise(0)
     return rows.select(F.col("i").alias(id_col), *(F.col(f"own.{c}") for c in keep), "sources", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))

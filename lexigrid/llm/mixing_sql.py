@@ -15,7 +15,7 @@ r{k + 1} AS (SELECT source, source_size, total, w, stop OR target > {most} * sou
     return f"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 13) AS BIGINT) AS draw
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':{seed}'), 1, 13) AS BIGINT) AS draw
   FROM documents),
 r0 AS (
   SELECT source, source_size, CAST(sum(source_size) OVER () AS BIGINT) AS total, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, false AS stop
