@@ -18,12 +18,16 @@ are linked; a class is a connected component of links.
    "signatures agree", and full sets confirm the pairs. Documents that larger ones connect form
    crowds, in which most pairs are near misses: a crowd is dealt into blocks of about ``BLOCK``
    shingles, and each pair of blocks counts the intersections of documents of different
-   components exactly and returns only links. No link that banding can find is lost.
+   components exactly and returns links that join components, one for each two that meet. No
+   component that a link of banding can join is left apart.
 
 A pair at exactly 0.8 shares no band with a probability of 5e-6.
 
 Nulls and texts without words have an empty set and link with nothing. Rows that repeat a
-doc_id are treated as one document per distinct text; a null doc_id links with nothing.
+doc_id are treated as one document per distinct text; a null doc_id links with nothing. A very long text
+is one set like any other, in a batch of its own. Of equal candidates the smaller id is confirmed
+first. An empty table gives an empty result. Only the id and the text are read, so other columns clash
+with nothing.
 """
 
 from __future__ import annotations
@@ -203,7 +207,7 @@ def _sets(width: int, shared=None):
 
 
 def _links_of_block(percent: int):
-    """All links between documents of different components in a pair of blocks, by postings of shingles."""
+    """Links that join all components of a pair of blocks that any link joins, by postings of shingles: fewer than there are components."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, own = (table.column(x).to_numpy() for x in ("row_id", "c", "own"))
@@ -218,20 +222,25 @@ def _links_of_block(percent: int):
         # pairs within a component need no test; each other pair has a side outside the largest one
         outside = np.flatnonzero(comp != names[np.argmax(counts)]) if len(names) > 1 else []
         two = own.min() != own.max()
+        # components that a link of this block has joined need no other
+        place = np.searchsorted(names, comp)
+        joined = np.arange(len(names))
         us, vs = [], []
         for x in outside:
             grams = value[off[x] : off[x + 1]]
             lo, n = start[grams], start[grams + 1] - start[grams]
             at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             same = np.bincount(posted[at], minlength=len(ids))
-            hit = (same * 100 >= (size + size[x] - same) * percent) & (comp != comp[x])
+            hit = (same * 100 >= (size + size[x] - same) * percent) & (joined[place] != joined[place[x]])
             if two:
                 hit &= own != own[x]
-            y = np.flatnonzero(hit)
-            us.append(np.full(len(y), ids[x]))
-            vs.append(ids[y])
-        none = np.zeros(0, np.int64)
-        return pa.table({"u": np.concatenate([none, *us]), "v": np.concatenate([none, *vs])})
+            found = np.flatnonzero(hit)
+            _, first = np.unique(joined[place[found]], return_index=True)
+            for y in found[first].tolist():
+                us.append(ids[x])
+                vs.append(ids[y])
+                joined[joined == joined[place[y]]] = joined[place[x]]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
@@ -247,10 +256,11 @@ def components(edges: DataFrame, space: Workspace, name: str = "cc") -> DataFram
     before, k = print_of(edges), 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # minima are written, so that the joins have a plain exchange on either side and a hub's rows can be split
+        low = space.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), f"{name}-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = space.put(large, f"{name}-{k + 1}")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = space.put(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         small = space.put(small, f"{name}-{k + 2}")
         after = print_of(small)
@@ -309,7 +319,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
     stars = buckets.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("row_id").alias("b")), F.struct(F.col("row_id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     likely = stars.join(side("a"), "a").join(side("b"), "b").where(fits("a", "b") & (apart("a", "b") <= most))
-    likely = likely.groupBy("b").agg(F.min_by("a", apart("a", "b")).alias("a"))
+    # written for the same reason
+    likely = space.put(likely.select("a", "b", apart("a", "b").alias("bits")), "likely").groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
     links = space.put(confirmed(likely), "links-0")
     found = space.put(components(links, space, "cc0"), "found-0")
 
