@@ -3,7 +3,8 @@
 ``PrefixHashes`` holds, for a run of code points, the sums of c[i] * base**i up to every place,
 modulo two primes under 2**31. The hash of any span is a difference of two sums times an inverse
 power, so equality of any two spans takes constant time, and a binary search over lengths finds
-the longest common extension of two places.
+the longest common extension of two places, also of many pairs of places at once. The query has it
+for the start of each text and that of its edited text, and that of the next document.
 
 A fingerprint is text: the number of code points, the hash of the whole, a ladder of prefix hashes
 (lengths that grow by a fifth), and a sketch of the hashes of all spans of ``SPAN`` code points
@@ -14,7 +15,9 @@ over the longer length, and the classes of the sketch with the same least hash.
 are alike (1), one empty is not (0).
 
 A null text is empty. Rows are in ascending order of id; a null id comes first, and rows of the
-same id are in the order of their texts.
+same id are in the order of their texts (equal rows change places with no effect). Very long texts are
+hashed whole, by themselves. An empty table gives an empty result. No column but the id and the text is
+read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -69,12 +72,13 @@ class PrefixHashes:
     def equal(self, a: int, b: int, size: int) -> bool:
         return all(self.span(a, size, k) == self.span(b, size, k) for k in range(len(PRIMES)))
 
-    def extension(self, a: int, b: int) -> int:
-        """Length of the longest common extension to the right of two places."""
-        low, high = 0, self.n - max(a, b)
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.equal(a, b, mid) else (low, mid - 1)
+    def extension(self, at: np.ndarray, other: "PrefixHashes", to: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Lengths, up to ``most``, of the longest common extensions to the right of places here and places of another run."""
+        low, high = np.zeros_like(most), most
+        while (low < high).any():
+            mid = (low + high + 1) // 2  # low where a search is over, and that much is equal
+            same = np.logical_and(*(self.span(at, mid, k) == other.span(to, mid, k) for k in range(len(PRIMES))))
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
 
@@ -92,22 +96,26 @@ def _powers(base: int, p: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def fingerprints(texts: list[str]) -> list[str]:
+def hashed(texts: list[str]) -> tuple[PrefixHashes, np.ndarray]:
+    """Hashes of the texts end to end, and the n + 1 offsets."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    off = np.concatenate(([0], np.cumsum(sizes)))
-    hashes = PrefixHashes(points)
+    return PrefixHashes(points), np.cumsum([0, *(len(t) for t in texts)], dtype=np.int64)
+
+
+def fingerprints(hashes: PrefixHashes, off: np.ndarray) -> list[str]:
+    """Of each text of ``hashed``."""
+    sizes, count = np.diff(off), len(off) - 1
     whole = [hashes.span(off[:-1], sizes, k) for k in range(2)]
     steps = np.searchsorted(RUNGS, sizes, side="right")
     at = np.concatenate(([0], np.cumsum(steps)))
-    row = np.repeat(np.arange(len(texts)), steps)
+    row = np.repeat(np.arange(count), steps)
     ladder = hashes.span(off[row], RUNGS[np.arange(at[-1]) - at[row]]).astype(">u4").tobytes().hex()
 
-    cells = np.full(len(texts) * CELLS, np.iinfo(np.int64).max, np.int64)
-    if len(points) >= SPAN:
-        start = np.arange(len(points) - SPAN + 1)
+    cells = np.full(count * CELLS, np.iinfo(np.int64).max, np.int64)
+    if hashes.n >= SPAN:
+        start = np.arange(hashes.n - SPAN + 1)
         value = hashes.span(start, SPAN)
-        row = np.repeat(np.arange(len(texts)), sizes)[: len(start)]
+        row = np.repeat(np.arange(count), sizes)[: len(start)]
         inside = start + SPAN <= off[row + 1]
         start, row = start[inside], row[inside]
         value = value[start]
@@ -165,27 +173,33 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None  # the last row, until the one after it is known
     for whole in batches:
         for batch in slices(whole, "text"):
-            texts = batch.column("text").to_pylist()
-            marks = fingerprints(texts)
-            rows = list(zip(batch.column("i").to_pylist(), texts, marks, batch.column("part").to_pylist(), batch.column("follower").to_pylist(), strict=True))
-            before, after = ([held] if held else []) + rows[:-1], rows if held else rows[1:]
+            rows = list(zip(*(batch.column(x).to_pylist() for x in ("i", "text", "part", "follower")), strict=True))
+            rows = ([held] if held else []) + rows
             held = rows[-1]
-            pairs = [(a, b) for a, b in zip(before, after, strict=True) if a[3] == b[3] and not a[4]]
-            if not pairs:
+            first = [k for k, (a, b) in enumerate(zip(rows, rows[1:])) if a[2] == b[2] and not a[3]]
+            if not first:
                 continue
-            edited = [a[1][: len(a[1]) - len(a[1]) // 2] + b[1][: len(a[1]) // 2] for a, b in pairs]
-            changed = fingerprints(edited)
+            hashes, off = hashed([r[1] for r in rows])
+            marks, sizes = fingerprints(hashes, off), np.diff(off)
+            edited = [rows[k][1][: len(rows[k][1]) - len(rows[k][1]) // 2] + rows[k + 1][1][: len(rows[k][1]) // 2] for k in first]
+            changed_hashes, changed_off = hashed(edited)
+            changed = fingerprints(changed_hashes, changed_off)
+            k = np.array(first)
+            common_edited = hashes.extension(off[k], changed_hashes, changed_off[:-1], np.minimum(sizes[k], np.diff(changed_off)))
+            common_next = hashes.extension(off[k], hashes, off[k + 1], np.minimum(sizes[k], sizes[k + 1]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([a[0] for a, _ in pairs], pa.int64()),
-                    pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
+                    pa.array([rows[k][0] for k in first], pa.int64()),
+                    pa.array(sizes[k]),
                     pa.array(edited, pa.string()),
-                    pa.array([a[2] for a, _ in pairs], pa.string()),
+                    pa.array([marks[k] for k in first], pa.string()),
                     pa.array(changed, pa.string()),
-                    pa.array([likeness(a[2], c) for (a, _), c in zip(pairs, changed, strict=True)], pa.float64()),
-                    pa.array([likeness(a[2], b[2]) for a, b in pairs], pa.float64()),
+                    pa.array([likeness(marks[k], c) for k, c in zip(first, changed, strict=True)], pa.float64()),
+                    pa.array([likeness(marks[k], marks[k + 1]) for k in first], pa.float64()),
+                    pa.array(common_edited),
+                    pa.array(common_next),
                 ],
-                ["i", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                ["i", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_edited", "common_next"],
             )
 
 
@@ -193,7 +207,8 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """Each text's fingerprint, beside that of its edited text and that of the next document.
 
     The edited text has the last floor(n / 2) code points replaced by the next one's first as many.
+    common_edited and common_next are the exact numbers of code points that both begin with.
     """
-    schema = "i long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "i long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
     out = with_successors(docs, id_col, text_col).mapInArrow(_neighbours, schema)
     return out.select(F.when(F.col("i") != -(2**63), F.col("i")).alias(id_col), *out.columns[1:])

@@ -59,6 +59,8 @@ def op7_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint",
         "near_edited",
         "near_next",
+        "common_edited",
+        "common_next",
     )
 
 

@@ -9,7 +9,9 @@ Slots number a shard's records without gaps. They come from counts of small buck
 (by a hash of the record) and row numbers within a bucket, so that no task sees a whole shard.
 
 Law ``key``: the key and the shard count decide. Null keys share a shard. Rows that repeat a key
-go to the same shard and get slots of their own; equal rows are interchangeable.
+go to the same shard and get slots of their own; equal rows are interchangeable. Equal costs fall to the
+lower shard. Null and empty texts have size 1, very long ones count as others do. An empty table gives
+an empty result. No column but the id and the text is read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -1,7 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexigrid.llm import sharding
@@ -10,6 +13,25 @@ from lexigrid.llm.queries import op4_rendezvous_sharding
 from tests.conftest import SF
 
 
+def winner(key, weights, seed=0):
+    """The shard of least cost, from the hash of the record's key, the shard and the seed, one after another."""
+
+    def cost(k):
+        h = 42
+        for raw in (struct.pack("<q", key), struct.pack("<i", k), struct.pack("<i", seed)):
+            h = xxhash.xxh64_intdigest(raw, h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weights[k], k
+
+    return min(map(cost, range(len(weights))))[1]
+
+
+def test_shards_against_a_plain_version(spark):
+    rows = op4_rendezvous_sharding(spark, SF).collect()
+    assert all((r.shard, r.grown_shard) == (winner(r.doc_id, [1.0] * 16), winner(r.doc_id, [1.0] * 17)) for r in rows)
+    rows = sharding.assign(spark.range(500).selectExpr("id as doc_id", "'t' as text"), 3, weights=[1, 2, 5], added=2, seed=9).collect()
+    assert all((r.shard, r.grown_shard) == (winner(r.doc_id, [1, 2, 5], 9), winner(r.doc_id, [1, 2, 5, 2], 9)) for r in rows)
+
+
 def test_query(spark):
     docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     rows = op4_rendezvous_sharding(spark, SF).collect()
