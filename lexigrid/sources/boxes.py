@@ -42,7 +42,12 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Word boxes of the XML files in zip archives; only decompression runs in Python."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    pages = files.mapInPandas(_members, "member string, xml string").select(F.from_xml("xml", SCHEMA, {"mode": "PERMISSIVE"}).alias("page")).where("page is not null")
+    return boxes_of(files.mapInPandas(_members, "member string, xml string"))
+
+
+def boxes_of(pages: DataFrame) -> DataFrame:
+    """Word boxes of pages (xml), one a row."""
+    pages = pages.select(F.from_xml("xml", SCHEMA, {"mode": "PERMISSIVE"}).alias("page")).where("page is not null")
     return _boxes(pages.select("page.*"))
 
 

@@ -14,19 +14,34 @@ OVERRIDE = r"(?i)^#\s*Currier'?s?\s+[Ll]anguage\s+([AB]),?\s*hand\s+(\d+)"
 VARIABLES = {"quire": "Q", "page_in_quire": "P", "illustration": "I", "language": "L", "hand": "H", "bifolio": "B"}
 
 
-def _classified(spark: SparkSession, path: str) -> DataFrame:
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, line) of text files. A file is one row and goes to one task, so large corpora come as many files."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "line"))
+
+
+def classified(lines: DataFrame) -> DataFrame:
     """Non-empty lines with the number of the page they belong to (0: none yet)."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "line")).where("line <> ''")
+    text = lines.where("line <> ''")
     upto = Window.partitionBy("file").orderBy("at")
     return text.withColumn("header", F.col("line").rlike(HEADER)).withColumn("page_idx", F.sum(F.col("header").cast("int")).over(upto))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``pages_of`` the files of ``path``."""
+    return pages_of(classified(scan(spark, path)))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``lines_of`` the files of ``path``."""
+    return lines_of(classified(scan(spark, path)))
+
+
+def pages_of(rows: DataFrame) -> DataFrame:
     """(file, page_idx, folio, quire, page_in_quire, illustration, language, hand, bifolio): strings, "" if missing.
 
     The last comment that names language and hand overrides the header's variables.
     """
-    rows = _classified(spark, path).where("page_idx > 0")
+    rows = rows.where("page_idx > 0")
     variables = F.regexp_extract("line", HEADER, 2)
     last = lambda key: F.coalesce(F.try_element_at(F.regexp_extract_all(variables, F.lit(rf"\${key}=([A-Za-z0-9]+)"), F.lit(1)), F.lit(-1)), F.lit(""))
     heads = rows.where("header").select("file", "page_idx", F.regexp_extract("line", HEADER, 1).alias("folio"), *(last(k).alias(name) for name, k in VARIABLES.items()))
@@ -36,9 +51,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("language", F.coalesce("l", "language")).withColumn("hand", F.coalesce("h", "hand")).drop("l", "h")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def lines_of(rows: DataFrame) -> DataFrame:
     """(file, page_idx, folio, line_idx, line_num, locus_type, para_start, para_end, text) of paragraph loci with text."""
-    rows = _classified(spark, path).where("page_idx > 0")
+    rows = rows.where("page_idx > 0")
     folios = rows.where("header").select("file", "page_idx", F.regexp_extract("line", HEADER, 1).alias("folio"))
     rows = rows.where(~F.col("header") & F.col("line").rlike(LOCUS) & ~F.col("line").startswith("#"))
     part = lambda k: F.regexp_extract("line", LOCUS, k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.operators import counts as C
 from lexigrid.operators import grids as G
-from lexigrid.plans import more_oracle, more_queries  # noqa: F401  they add to the tables
+from lexigrid.plans import more_oracle, more_queries, source_oracle, source_queries  # noqa: F401  they add to the tables
 from lexigrid.plans.oracle import ORACLE_SQL
 from lexigrid.plans.queries import QUERIES
 from lexigrid.sources import corpus
