@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, fingerprint, langid, minhash, mixing, pseudo, sharding, suffix, toxicity
+from .ann_sql import nearest_sql
 from .common import held_out, table
 from .mixing_sql import mixing_sql
+from .sharding_sql import sharding_sql
 from .suffix_sql import suffix_sql
 
 
@@ -105,7 +107,9 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_min_cost_mixing": mixing_sql(),
+    "op4_rendezvous_sharding": sharding_sql(16),
     "op8_suffix_array_dedup": suffix_sql(),
+    "op9_additive_quantisation": nearest_sql(),
     "op2_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w

@@ -27,13 +27,20 @@ from .common import Workspace
 BUCKET_ROWS = 20_000
 
 
+def digest(text: Column) -> Column:
+    """The first 52 bits of md5, which SQL has too."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def _cost(key: Column, shard: int, weight: float, seed: int) -> Column:
+    """(cost, shard): what the shard asks for ``key``."""
+    u = (digest(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{shard}:{seed}"))).cast("double") + 0.5) / float(1 << 52)
+    return F.struct((-F.log(u) / F.lit(float(weight))).alias("cost"), F.lit(shard).alias("shard"))
+
+
 def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
-    """The shard, from 0, that wins ``key`` (an expression of built-in functions)."""
-    draws = []
-    for k, w in enumerate(weights):
-        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(k), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-        draws.append(F.struct((-F.log(u) / F.lit(float(w))).alias("cost"), F.lit(k).alias("shard")))
-    return F.array_min(F.array(*draws))["shard"]
+    """(cost, shard) of the shard, from 0, that wins ``key`` (an expression of built-in functions)."""
+    return F.array_min(F.array(*(_cost(key, k, w, seed) for k, w in enumerate(weights))))
 
 
 def assign(docs: DataFrame, shards: int, *, weights: Sequence[float] | None = None, added: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,9 +51,12 @@ def assign(docs: DataFrame, shards: int, *, weights: Sequence[float] | None = No
     space = Workspace(docs.sparkSession, "sharding")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("i"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("crc"))
-    rows = space.put(rows.withColumn("shard", rendezvous(F.col("i"), weights, seed)).withColumn("grown", rendezvous(F.col("i"), [*weights, added], seed)), "rows")
+    # with one more shard, the winner stays or the new one wins
+    rows = rows.withColumn("won", rendezvous(F.col("i"), weights, seed)).withColumn("grown", F.least("won", _cost(F.col("i"), shards, added, seed))["shard"])
+    rows = space.put(rows.withColumn("shard", F.col("won.shard")).drop("won"), "rows")
     buckets = max(1, -(-rows.count() // (shards * BUCKET_ROWS)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("i", "size", "crc"), F.lit(buckets)).cast("int"))
+    record = F.concat_ws(":", F.coalesce(F.col("i").cast("string"), F.lit("")), "size", "crc")
+    rows = rows.withColumn("bucket", F.pmod(digest(record), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "bucket", before.alias("start"))

@@ -1,10 +1,11 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.llm import ann
 from lexigrid.llm.common import table
-from lexigrid.llm.queries import op9_additive_quantisation
+from lexigrid.llm.queries import ORACLE_SQL, op9_additive_quantisation
 from tests.conftest import SF
 
 
@@ -33,6 +34,13 @@ def test_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_query_against_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    got = op9_additive_quantisation(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(ORACLE_SQL["op9_additive_quantisation"]).fetchall())
+
+
 def test_neighbours_are_exact_with_poor_codebooks(spark, monkeypatch):
     monkeypatch.setattr(ann, "SAMPLE", 300)
     x = np.random.default_rng(4).standard_normal((6000, 32))

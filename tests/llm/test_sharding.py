@@ -1,15 +1,16 @@
+import hashlib
 import math
-import struct
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from lexigrid.llm import sharding
 from lexigrid.llm.common import table
-from lexigrid.llm.queries import op4_rendezvous_sharding
+from lexigrid.llm.queries import ORACLE_SQL, op4_rendezvous_sharding
+from lexigrid.llm.sharding_sql import sharding_sql
 from tests.conftest import SF
 
 
@@ -17,10 +18,8 @@ def winner(key, weights, seed=0):
     """The shard of least cost, from the hash of the record's key, the shard and the seed, one after another."""
 
     def cost(k):
-        h = 42
-        for raw in (struct.pack("<q", key), struct.pack("<i", k), struct.pack("<i", seed)):
-            h = xxhash.xxh64_intdigest(raw, h)
-        return -math.log(((h >> 11) + 0.5) / 2**53) / weights[k], k
+        h = int(hashlib.md5(f"{key}:{k}:{seed}".encode()).hexdigest()[:13], 16)
+        return -math.log((h + 0.5) / 2**52) / weights[k], k
 
     return min(map(cost, range(len(weights))))[1]
 
@@ -45,6 +44,26 @@ def test_query(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def _rows(df):
+    return sorted((tuple(r) for r in df), key=str)
+
+
+def test_query_against_sql(spark, monkeypatch):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert _rows(op4_rendezvous_sharding(spark, SF).collect()) == _rows(con.sql(ORACLE_SQL["op4_rendezvous_sharding"]).fetchall())
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 4)
+    assert _rows(op4_rendezvous_sharding(spark, SF).collect()) == _rows(con.sql(sharding_sql(16, bucket_rows=4)).fetchall())
+
+
+def test_odd_documents_against_sql(spark, odd):
+    con = duckdb.connect()
+    documents = odd.select("doc_id", "text").toPandas()  # noqa: F841  DuckDB reads it by name
+    con.sql("CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM documents")
+    got = sharding.assign(odd, 16).select("doc_id", "size", "text_crc32", F.lit("key"), "shard", "slot", "grown_shard")
+    assert _rows(got.collect()) == _rows(con.sql(sharding_sql(16)).fetchall())
+
+
 def test_weights_and_growth(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
     rows = sharding.assign(ids, 3, weights=[1, 2, 5], added=2).cache()
