@@ -9,13 +9,15 @@ rank leaves the border alone; that is decided by undoing merges at the border, f
 merge on, and kept in a pair table. If all neighbours are compatible, the tokens are those that
 merging by rank gives.
 
-Pieces repeat, so a worker keeps the tokens of those it has met, in a table of bounded size that
+Pieces repeat, so a worker keeps the tokens of those it has met, in a table of bounded bytes that
 starts anew when full.
 
 Decoding: all tokens' bytes lie end to end; an id's offset and length are looked up, and one
 gather makes the bytes of a run of texts.
 
-A null text is empty and has no tokens. A special token's string in a text becomes its id.
+A null text is empty and has no tokens. A special token's string in a text becomes its id. Very long
+texts, and pieces of any length, are encoded whole. Rows that repeat an id are encoded each, and equal
+texts alike; there are no ties, as the tokens of a text are unique. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructType
 
-from .common import holds, only, slices, small_batches
+from .common import Memory, holds, only, slices, small_batches
 
-#: Distinct pieces, and pairs of tokens, that a worker remembers at once.
-PIECES, PAIRS = 200_000, 300_000
+#: Bytes of pieces with their tokens, and pairs of tokens, that a worker remembers at once.
+PIECES, PAIRS = 64 << 20, 300_000
 
 
 def _printable() -> dict[str, int]:
@@ -115,7 +117,7 @@ class Encoder:
             self.matcher.add_word(t.decode("latin-1"), i)
         self.matcher.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Memory(PIECES)
         self.split = Splitter()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
@@ -188,9 +190,8 @@ class Encoder:
         for piece in self.split(text):
             ids = known.get(piece)
             if ids is None:
-                if len(known) >= PIECES:
-                    known.clear()
-                ids = known[piece] = self.piece(piece)
+                ids = self.piece(piece)
+                known.keep(piece, ids)
             out.append(ids)
         return b"".join(out)
 

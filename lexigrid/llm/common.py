@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -117,6 +118,24 @@ def only(name: str) -> None:
         gc.collect()
 
 
+class Memory(dict):
+    """What a worker remembers, in ``most`` bytes: it starts anew when full, and what takes over a thousandth of them isn't kept."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, key: str, value) -> None:
+        size = sys.getsizeof(key) + sys.getsizeof(value) + 100
+        if size * 1000 > self.most:
+            return
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self[key] = value
+        self.held += size
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.ones(max(n, 1), np.uint64)

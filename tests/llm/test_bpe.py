@@ -63,6 +63,21 @@ def test_memory_is_bounded(monkeypatch):
     assert len(encoder.pairs) <= 5
 
 
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 200_000)
+    encoder = bpe.Encoder(VOCABULARY)
+    text = "x" * 5000 + " short" + "".join(f" word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(3000))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert encoder.pieces.held <= 200_000
+    assert 0 < len(encoder.pieces) < 2000
+    assert max(map(len, encoder.pieces)) < 100
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "the", "é", "9", "=", " ", "xqzj"])
+def test_pieces_of_any_length(unit):
+    same(unit * (120_000 // len(unit)))
+
+
 def test_query(spark):
     texts = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
     rows = op6_backtracking_bpe(spark, SF).collect()
