@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
-from .common import Workspace, only, slices
+from .common import Memory, Workspace, only, slices
 from .langid import letter_table
 
 POSITIVES, NEGATIVES = 4000, 8000
@@ -43,8 +43,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 SYMBOLS = 64
 #: Features that a task counts before it hands on what it has.
 COUNTED = 200_000
-#: Words of a worker's memory of tokens.
-REMEMBERED = 150_000
+#: Bytes of a worker's memory of tokens.
+REMEMBERED = 32 << 20
 
 #: Letters that a digit or mark may stand for.
 LOOKS = {
@@ -211,16 +211,14 @@ class Weigher:
     """Weights of a text's tokens; a worker remembers tokens, in a table that starts anew when full."""
 
     def __init__(self, restorer: Restorer, weights: dict[str, float]):
-        self.restorer, self.weights, self.known = restorer, weights, {}
+        self.restorer, self.weights, self.known = restorer, weights, Memory(REMEMBERED)
 
     def token(self, token: str) -> float:
         w = self.known.get(token)
         if w is None:
             words = self.restorer.decode(token) if " " in token else self.restorer.words(token)
             w = max((self.weights.get(f, 0.0) for x in words for f in features(x)), default=0.0)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[token] = w
+            self.known.keep(token, w)
         return w
 
     def vector(self, text: str) -> list[float]:

@@ -90,3 +90,20 @@ def test_restored_text_column(odd, spark):
     model = {"chars": chars, "weights": {}, "center": np.zeros(5), "scale": np.ones(5), "coef": None}
     rows = T.score(odd.select("doc_id", "text"), model, restored=True).where("doc_id = 7").collect()
     assert rows[0].restored == "one two"
+
+
+def test_tokens_of_any_length(restorer):
+    assert restorer.decode("1d10t" * 30_000) == restorer.words("1d10t" * 30_000)
+    assert len("".join(restorer.decode("tr@sh" * 30_000))) == 150_000
+    assert restorer.words("o" * 200_000) == restorer.decode("o" * 200_000)
+    assert restorer.words("a" + "bc" * 60_000) == ["a" + "bc" * 60_000]
+
+
+def test_memory_is_bounded_in_bytes(restorer, monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 200_000)
+    weigher = T.Weigher(restorer, {"word$": 2.0})
+    assert weigher.vector("word " + "x" * 5000)[1] == 2.0
+    assert set(weigher.known) == {"word"}
+    weigher.vector(" ".join(f"plain{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(3000)))
+    assert weigher.known.held <= 200_000
+    assert 0 < len(weigher.known) < 2000
