@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, langid, minhash, mixing, pseudo, sharding, suffix, toxicity
+from . import ann, bpe, exact, fingerprint, langid, minhash, mixing, pseudo, sharding, suffix, toxicity
 from .ann_sql import nearest_sql
 from .common import held_out, table
+from .exact_sql import EXACT_SQL
 from .mixing_sql import mixing_sql
 from .sharding_sql import sharding_sql
 from .suffix_sql import suffix_sql
@@ -85,6 +86,10 @@ def op10_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame
     return pseudo.fit_and_score(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_masked_pseudo_likelihood": op10_masked_pseudo_likelihood,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLE_SQL = {
@@ -110,6 +116,7 @@ ORACLE_SQL = {
     "op4_rendezvous_sharding": sharding_sql(16),
     "op8_suffix_array_dedup": suffix_sql(),
     "op9_additive_quantisation": nearest_sql(),
+    "op11_exact_dedup": EXACT_SQL,
     "op2_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
