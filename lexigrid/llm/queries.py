@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact, fingerprint, langid, minhash, mixing, pseudo, sharding, suffix, toxicity
+from . import ann, audit, bpe, exact, fingerprint, langid, minhash, mixing, pseudo, sharding, suffix, toxicity
 from .ann_sql import nearest_sql
+from .audit_sql import AUDIT_SQL
 from .common import held_out, table
 from .exact_sql import EXACT_SQL
 from .mixing_sql import mixing_sql
@@ -90,6 +91,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +114,7 @@ QUERIES = {
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_masked_pseudo_likelihood": op10_masked_pseudo_likelihood,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_filter_interaction_audit": op12_filter_interaction_audit,
 }
 
 ORACLE_SQL = {
@@ -117,6 +123,7 @@ ORACLE_SQL = {
     "op8_suffix_array_dedup": suffix_sql(),
     "op9_additive_quantisation": nearest_sql(),
     "op11_exact_dedup": EXACT_SQL,
+    "op12_filter_interaction_audit": AUDIT_SQL,
     "op2_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
