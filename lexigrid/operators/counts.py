@@ -38,8 +38,13 @@ def word_counts(words: DataFrame, by: tuple[str, ...], items: Column | None = No
 
 def ngrams(words: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), by: tuple[str, ...] = ("folio",)) -> DataFrame:
     """(*by, n, ngram, cnt) inside words."""
+    return ngrams_of(word_counts(words, by), sizes, by)
+
+
+def ngrams_of(counted: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), by: tuple[str, ...] = ("folio",)) -> DataFrame:
+    """``ngrams`` of ``word_counts``."""
     grams = F.concat(*(_grams(F.col("w"), n) for n in sizes))
-    rows = _each(word_counts(words, by), (*by, "m"), grams, "ngram")
+    rows = _each(counted, (*by, "m"), grams, "ngram")
     return rows.groupBy(*by, "ngram").agg(F.sum("m").alias("cnt")).withColumn("n", F.length("ngram"))
 
 
@@ -82,6 +87,15 @@ def transitions(words: DataFrame, *, by: tuple[str, ...] = ("folio",), word: boo
     ``by`` may be any attributes of pages that lines carry; no table by page is made then. A line's items
     are its words and its borders; they are counted first and parted into pairs of tokens after that.
     """
+    return transitions_of(item_counts(words, by, line=line, para=para, page=page), by, word)
+
+
+def item_counts(words: DataFrame, by: tuple[str, ...] = ("folio",), *, line: bool = True, para: bool = True, page: bool = True) -> DataFrame:
+    """(*by, w, m): ``word_counts`` with the borders of lines, paragraphs and pages as further items.
+
+    All counts of glyphs, pairs and positions can be had from these sums, which can be added up over
+    parts of a corpus.
+    """
     none = F.array().cast("array<string>")
     solid = T.solid(F.col("norm"))
     first, last = F.left(solid, F.lit(1)), F.right(solid, F.lit(1))
@@ -102,6 +116,16 @@ def transitions(words: DataFrame, *, by: tuple[str, ...] = ("folio",), word: boo
         ends = words.groupBy(*dict.fromkeys(("folio", *by))).agg(F.min_by(F.when(full, first), F.when(full, F.col("line_idx"))).alias("first"), F.max_by(last, "line_idx").alias("last"))
         ends = ends.select(*by, F.explode(F.array(F.when(F.col("first") != "", _border(F.lit(T.PAGE_START), F.col("first"))), F.when(F.col("last") != "", _border(F.col("last"), F.lit(T.PAGE_END))))).alias("w")).where("w is not null")
         items = items.unionByName(ends.withColumn("m", F.lit(1).cast("long")))
+    return items
+
+
+def only_words(items: DataFrame) -> DataFrame:
+    """``item_counts`` without borders."""
+    return items.where(~F.startswith("w", F.lit(_MARK)))
+
+
+def transitions_of(items: DataFrame, by: tuple[str, ...] = ("folio",), word: bool = True) -> DataFrame:
+    """``transitions`` of ``item_counts``."""
     w = F.concat(F.lit(T.WORD_START), "w", F.lit(T.WORD_END)) if word else F.col("w")
     struct = lambda a, b: F.struct(a.alias("from_tok"), b.alias("to_tok"))
     inside = F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: struct(F.substring(w, i, F.lit(1)), F.substring(w, i + 1, F.lit(1))))
@@ -123,7 +147,12 @@ def charset(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def word_positions(words: DataFrame, by: tuple[str, ...] = ("folio",), min_length: int = 1) -> DataFrame:
     """(*by, glyph, start, middle, end, only, total): where glyphs stand in words."""
-    rows = word_counts(words, by).where(F.length("w") >= min_length)
+    return positions_of(word_counts(words, by), by, min_length)
+
+
+def positions_of(counted: DataFrame, by: tuple[str, ...] = ("folio",), min_length: int = 1) -> DataFrame:
+    """``word_positions`` of ``word_counts``."""
+    rows = counted.where(F.length("w") >= min_length)
     rows = rows.select(*by, "m", F.length("w").alias("len"), F.posexplode(T.glyphs(F.col("w"))).alias("pos", "glyph"))
     one, at_start, at_end = F.col("len") == 1, F.col("pos") == 0, F.col("pos") == F.col("len") - 1
     count = lambda c, name: F.sum(F.when(c, F.col("m")).otherwise(0)).alias(name)

@@ -67,12 +67,13 @@ def _prose_lines(rows: DataFrame, text: str, carry: tuple[str, ...] = ()) -> Dat
     return rows.select("folio", *carry, "line_idx", (F.col("line_idx") + 1).alias("line_num"), (F.col("line_idx") == 0).alias("para_start"), (F.col("line_idx") == F.col("n") - 1).alias("para_end"), T.part_letters(F.col("line")).alias("text"))
 
 
-def from_documents(docs: DataFrame, labels: DataFrame | None = None) -> Corpus:
+def from_documents(docs: DataFrame, labels: DataFrame | None = None, spread: bool = True) -> Corpus:
     """Each document is a page and a paragraph: language from ``lang``, hand from ``source``.
 
     The quire is the letter of doc_id modulo 20. Labels, if given, make the illustration: ``q`` and ``t``
     with quality and toxicity, "" for documents without labels. Lines carry the attributes, so that counts
-    by these need no join.
+    by these need no join. ``spread`` deals out small tables; it looks at the table's parts, which runs what
+    leads up to them if that isn't a plain scan.
     """
     known = docs.select(F.col("doc_id").alias("folio"), F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("hand"), F.chr(F.pmod("doc_id", F.lit(20)).cast("int") + 65).alias("quire"))
     if labels is None:
@@ -83,7 +84,7 @@ def from_documents(docs: DataFrame, labels: DataFrame | None = None) -> Corpus:
     rows = docs.select(F.col("doc_id").alias("folio"), F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("hand"), F.chr(F.pmod("doc_id", F.lit(20)).cast("int") + 65).alias("quire"), "text")
     if labels is not None:
         rows = rows.join(code, "folio", "left").withColumn("illustration", F.coalesce("illustration", F.lit("")))
-    return Corpus(pages, _prose_lines(rows, "text", ("language", "hand")), _spread(rows))
+    return Corpus(pages, _prose_lines(rows, "text", ("language", "hand")), _spread(rows) if spread else rows)
 
 
 def from_conversations(turns: DataFrame) -> Corpus:

@@ -10,9 +10,11 @@ def test_entry_works_without_the_pipeline(tmp_path):
     for part in (ROOT / "lexigrid").iterdir():
         if part.name != "llm":
             (tmp_path / "lexigrid" / part.name).symlink_to(part)
-    code = "import sys; sys.path.insert(0, '.'); import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
+    (tmp_path / "jobs").symlink_to(ROOT / "jobs")
+    code = "import sys; sys.path.insert(0, '.'); import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(k.startswith('op') for k in q) and sum(k.startswith('job') for k in q) == 2; assert set(e.oracle_sql()) <= set(q)"
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    assert "lexigrid.llm" in said.stderr
 
 
 def test_entry(spark):
