@@ -6,29 +6,17 @@ it stands after the second run.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lexigrid.operators.counts import POSITIONS
 from lexigrid.plans import oracle as O
+from lexigrid.sources.shared import new_folder
 
 from . import page_feed, publish_groups
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="lexigrid-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def job1_page_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _folder(spark, "job1")
+    at = new_folder(spark, "job1")
     for _ in range(2):
         page_feed.run(spark, f"{sf_dir}/documents.parquet", f"{at}/out", f"{at}/checkpoint")
     rows = page_feed.read(spark, f"{at}/out")
@@ -36,7 +24,7 @@ def job1_page_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job2_publish_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _folder(spark, "job2")
+    at = new_folder(spark, "job2")
     for _ in range(2):
         publish_groups.run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet", at)
     rows = publish_groups.read(spark, at)

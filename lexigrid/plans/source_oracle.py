@@ -20,11 +20,11 @@ add(
     "transcription_pages",
     "SELECT 'f' || doc_id || 'r' AS folio, chr(CAST(doc_id % 20 + 65 AS INTEGER)) AS quire, '' AS page_in_quire, '' AS illustration, CASE WHEN doc_id % 3 = 0 THEN 'B' ELSE coalesce(lang, '') END AS language, CASE WHEN doc_id % 3 = 0 THEN '2' ELSE coalesce(source, '') END AS hand, '' AS bifolio FROM documents",
 )
-add(
-    "transcription_lines",
-    "SELECT 'f' || doc_id || 'r' AS folio, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS line_idx, CAST(i AS INTEGER) AS line_num, CASE (i - 1) % 4 WHEN 1 THEN 'Pb' ELSE 'P0' END AS locus_type, (i - 1) % 5 = 0 AS para_start, i = n AS para_end, text FROM loci WHERE (i - 1) % 4 <> 2 AND text <> ''",
-    LOCI,
+_LINES = (
+    "SELECT 'f' || doc_id || 'r' AS folio, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS line_idx, CAST(i AS INTEGER) AS line_num, CASE (i - 1) % 4 WHEN 1 THEN 'Pb' ELSE 'P0' END AS locus_type, (i - 1) % 5 = 0 AS para_start, i = n AS para_end, text FROM loci WHERE (i - 1) % 4 <> 2 AND text <> ''"
 )
+add("transcription_lines", _LINES, LOCI)
+add("transcription_files", _LINES, LOCI)
 add("transcription_find", "SELECT CASE WHEN a.doc_id % 2 = 0 THEN 'f' ELSE '' END || (a.doc_id + 1) || 'r' AS name, 'f' || b.doc_id || 'r' AS folio, chr(CAST(b.doc_id % 20 + 65 AS INTEGER)) AS quire FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1")
 add("xml_word_boxes", "SELECT * FROM boxes", XML)
 add("xml_box_extents", "SELECT folio, CAST(sum(len(text)) AS BIGINT) AS glyphs, round(min(x) + 5.0, 6)::DOUBLE AS min_x, round(max(x + width) - 5.0, 6)::DOUBLE AS max_x, round(max(y) + 10.0, 6)::DOUBLE AS max_y FROM boxes GROUP BY folio", XML)

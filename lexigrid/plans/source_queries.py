@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import counts as C
@@ -10,13 +10,13 @@ from ..operators import grids as G
 from ..sources import boxes as B
 from ..sources import results as X
 from ..sources import transcription as S
+from ..sources.shared import new_folder
 from .queries import LANG, _coarse, _table, _transitions, _words, query
 
 
-def _transcribed(spark, d) -> DataFrame:
-    """(file, at, line): each document as a transcription of one page, with a header, a comment on the
+def _transcription() -> Column:
+    """The lines of each document as a transcription of one page, with a header, a comment on the
     language in some, and loci of several types. Letters of a to z stay, others part words."""
-    docs = _table(spark, d, "documents")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     clean = lambda x: F.regexp_replace(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z]+", ".")
     folio = F.format_string("f%dr", "doc_id")
@@ -28,8 +28,13 @@ def _transcribed(spark, d) -> DataFrame:
         mark = F.when(k % 5 == 0, "*").otherwise("+")
         return F.concat(F.lit("<"), folio, F.lit("."), (k + 1).cast("string"), F.lit(","), mark, kind, F.lit(">"), F.when(k == 0, "<%>").otherwise(""), F.lit("<!a note>"), clean(x), F.when(k == F.size(lines) - 1, "<$>").otherwise(""))
 
-    page = F.concat(F.array(F.lit("# before any page"), F.concat(F.lit("<"), folio, F.lit(">  <! "), variables, F.lit(" >")), F.lit("")), comment, F.transform(lines, locus))
-    return docs.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(page).alias("at", "line"))
+    return F.concat(F.array(F.lit("# before any page"), F.concat(F.lit("<"), folio, F.lit(">  <! "), variables, F.lit(" >")), F.lit("")), comment, F.transform(lines, locus))
+
+
+def _transcribed(spark, d) -> DataFrame:
+    """(file, at, line): a file for each document."""
+    docs = _table(spark, d, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(_transcription()).alias("at", "line"))
 
 
 @query
@@ -42,6 +47,14 @@ def transcription_lines(spark, d):
     return S.lines_of(S.classified(_transcribed(spark, d))).select("folio", "line_idx", "line_num", "locus_type", "para_start", "para_end", "text")
 
 
+@query
+def transcription_files(spark, d):
+    """The same lines from files of many pages each, which are written first and read in blocks."""
+    at = new_folder(spark, "transcription")
+    _table(spark, d, "documents").select(F.array_join(_transcription(), "\n").alias("value")).write.text(at)
+    return S.read_lines(spark, at).select("folio", "line_idx", "line_num", "locus_type", "para_start", "para_end", "text")
+
+
 @query
 def transcription_find(spark, d):
     """Pages by names with and without the leading letter; a name of no page has none."""

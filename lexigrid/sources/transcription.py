@@ -1,4 +1,9 @@
-"""Line-oriented transcriptions: page headers with variables, comments, and loci of text."""
+"""Line-oriented transcriptions: page headers with variables, comments, and loci of text.
+
+A line belongs to the last header before it. Large files are read in many tasks: each reads the lines of a
+block, numbers the headers within it, and adds the headers of the blocks before, of which there is
+a row of counts for each block. No task sees more than a block of a file.
+"""
 
 from __future__ import annotations
 
@@ -10,20 +15,32 @@ from ..functions.text import clean_line
 # The format's line patterns and page variables.
 HEADER = r"^<(f\d+[rv]\d*)>\s*(?:<!\s*(.+?)\s*>)?"
 LOCUS = r"^<(f\d+[rv]\d*\.\d+),([*@+=])([A-Za-z0-9]+)(?:;[A-Z])?>(.*)$"
-OVERRIDE = r"(?i)^#\s*Currier'?s?\s+[Ll]anguage\s+([AB]),?\s*hand\s+(\d+)"
+OVERRIDE = r"(?i)^#\s*currier'?s?\s+language\s+([ab]),?\s*hand\s+(\d+)"
 VARIABLES = {"quire": "Q", "page_in_quire": "P", "illustration": "I", "language": "L", "hand": "H", "bifolio": "B"}
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, line) of text files. A file is one row and goes to one task, so large corpora come as many files."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "line"))
+    """(file, block, at, line) of text files: lines in the order of block, where a task began to read, and at.
+
+    Numbers within a block grow with the place in it, whatever else the task reads.
+    """
+    rows = spark.read.text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
 
 
 def classified(lines: DataFrame) -> DataFrame:
-    """Non-empty lines with the number of the page they belong to (0: none yet)."""
-    text = lines.where("line <> ''")
-    upto = Window.partitionBy("file").orderBy("at")
-    return text.withColumn("header", F.col("line").rlike(HEADER)).withColumn("page_idx", F.sum(F.col("header").cast("int")).over(upto))
+    """Non-empty lines with the number of the page they belong to in their file (0: none yet).
+
+    Lines without blocks are of one each file. What is no header, locus or comment on a page isn't needed and goes.
+    """
+    text = lines if "block" in lines.columns else lines.withColumn("block", F.lit(0).cast("long"))
+    text = text.where(F.col("line").rlike(HEADER) | F.col("line").rlike(LOCUS) | F.col("line").rlike(OVERRIDE)).withColumn("header", F.col("line").rlike(HEADER))
+    counts = text.groupBy("file", "block").agg(F.count_if("header").alias("headers"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", "block", F.coalesce(F.sum("headers").over(before), F.lit(0)).alias("earlier"))
+    upto = Window.partitionBy("file", "block").orderBy("at")
+    rows = text.withColumn("within", F.count_if("header").over(upto)).join(starts, ["file", "block"])
+    return rows.select("file", F.struct("block", "at").alias("at"), "line", "header", (F.col("earlier") + F.col("within")).alias("page_idx"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+import re
 import zipfile
 
 import pytest
@@ -51,6 +53,56 @@ def test_lines(spark, path):
     assert rows[1].text == "shol.cthres.kor"
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read in blocks of 100 bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "100", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def plain(text):
+    """Pages and lines of a file, one line after another."""
+    pages, lines = [], []
+    for line in text.splitlines():
+        if head := re.match(transcription.HEADER, line):
+            said = dict(re.findall(r"\$([A-Z])=([A-Za-z0-9]+)", head[2] or ""))
+            pages.append([head[1], said.get("Q", ""), said.get("L", ""), said.get("H", "")])
+        elif pages and (own := re.match(transcription.OVERRIDE, line)):
+            pages[-1][2:] = [own[1].upper(), own[2]]
+        elif pages and (locus := re.match(transcription.LOCUS, line)) and locus[3].startswith("P") and locus[4].strip():
+            lines.append((len(pages), pages[-1][0], sum(x[0] == len(pages) for x in lines), int(locus[1].split(".")[1]), locus[4].strip()))
+    return sorted(map(tuple, pages)), sorted(lines)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_a_file_in_many_blocks(spark, tmp_path, small_blocks, end):
+    """Pages begin and go on in any block; some blocks have no header, some many, and some are a part of one long line."""
+    rng, texts = random.Random(5), {}
+    for name in ("one.txt", "two.txt"):
+        out = ["# nothing yet", "<f0r.1,@P0>before any page"]
+        for k in range(120):
+            out.append(f"<f{k}r> <! $Q={chr(65 + k % 20)} $L={'AB'[k % 2]} $H={k % 5} >" if k % 7 else f"<f{k}r>")
+            for n in range(rng.choice([0, 0, 1, 3, 20])):
+                out += [f"<f{k}r.{n + 1},{rng.choice('+*@=')}{rng.choice(['P0', 'P0', 'Lf'])}>{'ok.' * rng.choice([0, 1, 5, 150])}", rng.choice(["", "# a note", f"# Currier's language {rng.choice('ABab')}, hand {n}"])]
+        texts[name] = end.join(out) + rng.choice(["", end])
+        (tmp_path / name).write_bytes(texts[name].encode())
+    (tmp_path / "empty.txt").write_text("")
+    lines = transcription.scan(spark, str(tmp_path))
+    assert lines.select("file", "block").distinct().count() > 100 and lines.rdd.getNumPartitions() > 50
+    for name, text in texts.items():
+        pages, rows = plain(text)
+        at = str(tmp_path / name)
+        assert sorted(tuple(r) for r in transcription.read_pages(spark, at).select("folio", "quire", "language", "hand").collect()) == pages
+        assert sorted(tuple(r) for r in transcription.read_lines(spark, at).select("page_idx", "folio", "line_idx", "line_num", "text").collect()) == rows
+    assert transcription.read_pages(spark, str(tmp_path)).count() == 240
+    assert transcription.read_lines(spark, str(tmp_path / "empty.txt")).isEmpty()
+
+
 def test_words(source):
     rows = source.words().orderBy("folio", "line_idx").collect()
     assert [r.norm for r in rows] == ["faCys.ykal.ar,ata2n", "Sol.Tr6s.kor", "ok7dy.C41n"]
