@@ -72,7 +72,9 @@ def tables(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame
                 both(f"grid_{mode}_{name}", G.histogram(placed, f"x_{mode}", f"y_{mode}", cols, rows), ["glyph", "col", "row"], ["n"])
         both("grid_raw", G.raw_text_grid(placed), ["glyph", "col", "row"], ["n"])
     else:
-        found = boxes.read_boxes(spark, args.boxes)
+        pages = boxes.read_pages(spark, args.boxes)
+        out["unreadable"] = boxes.unreadable(pages)
+        found = boxes.boxes_in(pages)
         placed = G.place_boxes(G.glyph_boxes(found, profile), found)
         for mode in ("page", "ms"):
             for name in ("coarse", "fine"):
@@ -97,6 +99,8 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     for name, rows in tables(spark, args).items():
         results.write(rows, f"{args.output}/{args.analysis}/{name}", by="agg" if "agg" in rows.columns and name != "manifest" else None)
+        if name == "unreadable" and (skipped := results.read(spark, f"{args.output}/{args.analysis}/{name}").count()):
+            print(f"warning: {skipped} files can't be read; they are named in {args.output}/{args.analysis}/{name}", file=sys.stderr)
         if args.verbose:
             print(name, results.read(spark, f"{args.output}/{args.analysis}/{name}").agg(F.count("*")).first()[0])
     return 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators.counts import POSITIONS
+from ..sources.boxes import MALFORMED
 from .oracle import AT, BASE, COARSE, G12, PLACED, TRANS, WP, add
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -27,6 +28,13 @@ add("transcription_lines", _LINES, LOCI)
 add("transcription_files", _LINES, LOCI)
 add("transcription_find", "SELECT CASE WHEN a.doc_id % 2 = 0 THEN 'f' ELSE '' END || (a.doc_id + 1) || 'r' AS name, 'f' || b.doc_id || 'r' AS folio, chr(CAST(b.doc_id % 20 + 65 AS INTEGER)) AS quire FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1")
 add("xml_word_boxes", "SELECT * FROM boxes", XML)
+add("archive_word_boxes", "SELECT * FROM boxes", XML)
+add(
+    "xml_unreadable",
+    f"""SELECT folio || '.xml' AS file, count(*) AS words, '' AS error FROM boxes JOIN documents ON folio = 'f' || doc_id || 'r' WHERE doc_id % 7 > 2 GROUP BY ALL
+UNION ALL SELECT 'f' || doc_id || 'r.xml', 0, '{MALFORMED}' FROM documents WHERE doc_id % 7 <= 2""",
+    XML,
+)
 add("xml_box_extents", "SELECT folio, CAST(sum(len(text)) AS BIGINT) AS glyphs, round(min(x) + 5.0, 6)::DOUBLE AS min_x, round(max(x + width) - 5.0, 6)::DOUBLE AS max_x, round(max(y) + 10.0, 6)::DOUBLE AS max_y FROM boxes GROUP BY folio", XML)
 # borders of words are one character long, as glyphs are
 add("transitions_nested_and_back", "SELECT * FROM bylang WHERE length(from_tok) = 1 AND length(to_tok) = 1", BASE, TRANS)

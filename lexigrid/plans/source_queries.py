@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import counts as C
 from ..operators import grids as G
+from ..sources import archives as A
 from ..sources import boxes as B
 from ..sources import results as X
 from ..sources import transcription as S
@@ -64,14 +65,37 @@ def transcription_find(spark, d):
     return S.find_pages(names, pages)
 
 
+def _xml() -> Column:
+    """A page of XML for each document; letters of a to z make its words."""
+    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z]+"), lambda w: w != "")
+    element = lambda w, k: F.format_string('<word index="%d" x="%d" y="%d" width="%d" height="20"> %s </word>', k, k % 10 * 100, F.floor(k / 10) * 30, F.length(w) * 10, w)
+    return F.concat(F.format_string('<folio name="f%dr" wordCount="%d" width="1000">', "doc_id", F.size(words)), F.array_join(F.transform(words, element), ""), F.lit("</folio>"))
+
+
 @query
 def xml_word_boxes(spark, d):
     """Word boxes of XML pages, one for each document; pages without words have none."""
-    docs = _table(spark, d, "documents")
-    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z]+"), lambda w: w != "")
-    element = lambda w, k: F.format_string('<word index="%d" x="%d" y="%d" width="%d" height="20"> %s </word>', k, k % 10 * 100, F.floor(k / 10) * 30, F.length(w) * 10, w)
-    xml = F.concat(F.format_string('<folio name="f%dr" wordCount="%d" width="1000">', "doc_id", F.size(words)), F.array_join(F.transform(words, element), ""), F.lit("</folio>"))
-    return B.boxes_of(docs.select(xml.alias("xml")))
+    return B.boxes_of(_table(spark, d, "documents").select(_xml().alias("xml")))
+
+
+@query
+def archive_word_boxes(spark, d):
+    """The same from zip archives, which are written first and read by member."""
+    at = new_folder(spark, "archives")
+    A.register(spark)
+    _table(spark, d, "documents").select(F.format_string("pages/f%dr.xml", "doc_id").alias("member"), _xml().alias("xml")).write.format(A.NAME).mode("append").save(at)
+    return B.boxes_in(B.parsed(B.archive_pages(spark, at)))
+
+
+@query
+def xml_unreadable(spark, d):
+    """Pages that break off, have a width that is no number, or hold no XML at all are named; the others' words are counted."""
+    k = F.col("doc_id") % 7
+    xml = F.when(k == 0, F.expr("left(x, length(x) - 3)")).when(k == 1, F.replace("x", F.lit('width="1000"'), F.lit('width="wide"'))).when(k == 2, F.lit("no page")).otherwise(F.col("x"))
+    pages = _table(spark, d, "documents").select("doc_id", _xml().alias("x")).select(F.format_string("f%dr.xml", "doc_id").alias("file"), F.lit(None).cast("string").alias("member"), xml.alias("xml"), F.lit(None).cast("string").alias("error"))
+    rows = B.parsed(pages)
+    words = B.boxes_in(rows).groupBy(F.concat("folio", F.lit(".xml")).alias("file")).agg(F.count("*").alias("words"))
+    return words.withColumn("error", F.lit("")).unionByName(B.unreadable(rows).select("file", F.lit(0).cast("long").alias("words"), "error"))
 
 
 @query

@@ -1,60 +1,105 @@
-"""Word boxes of page images: XML files of a folder, or of a zip archive."""
+"""Word boxes of page images: XML files of a folder, or of zip archives.
+
+Pages are a table first, with what can't be read named in it: (file, member, xml, error). A page that isn't
+well-formed, or has a value that is no number where one belongs, gives no boxes, nor does a file that can't be
+decoded; ``unreadable`` lists them, and ``counted`` counts them while boxes are made.
+"""
 
 from __future__ import annotations
 
 import io
 import posixpath
-import warnings
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from . import archives
+
 # The elements' attributes; a page of one word must still be a list.
 SCHEMA = "_name string, _width int, _height int, _wordCount int, word array<struct<_index int, _x int, _y int, _width int, _height int, _VALUE string>>"
+MALFORMED = "not well-formed, or a value of another kind"
 
 
-def _boxes(pages: DataFrame) -> DataFrame:
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rows = pages.where(F.size("word") > 0).select(F.coalesce("_name", F.lit("")).alias("folio"), zero("_width").alias("page_width"), zero("_height").alias("page_height"), F.explode("word").alias("w"))
-    return rows.select("folio", "page_width", "page_height", zero("w._index").alias("word_idx"), zero("w._x").alias("x"), zero("w._y").alias("y"), zero("w._width").alias("width"), zero("w._height").alias("height"), F.coalesce(F.trim("w._VALUE"), F.lit("")).alias("text"))
+def folder_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The ``*.xml`` files of a folder; those of no bytes are passed over by Spark."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
+    xml = F.col("content").cast("string")
+    valid = F.is_valid_utf8(xml)
+    return files.select(F.col("path").alias("file"), F.lit(None).cast("string").alias("member"), F.when(valid, xml).alias("xml"), F.when(~valid, F.lit("not UTF-8")).alias("error"))
 
 
-def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Word boxes of all ``*.xml`` files; what can't be parsed is left out, and so are pages without words."""
-    pages = spark.read.format("xml").option("rowTag", "folio").option("mode", "DROPMALFORMED").schema(SCHEMA).load(f"{path.rstrip('/')}/*.xml")
-    return _boxes(pages)
+def archive_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The XML members of an archive, or of the archives of a folder."""
+    archives.register(spark)
+    return spark.read.format(archives.NAME).load(path)
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for content in batch["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for name in sorted(n for n in archive.namelist() if n.endswith(".xml") and not n.startswith("__MACOSX") and not posixpath.basename(n).startswith(".")):
-                    try:
-                        yield pd.DataFrame({"member": [name], "xml": [archive.read(name).decode("utf-8")]})
-                    except (UnicodeDecodeError, zipfile.BadZipFile) as error:
-                        warnings.warn(f"{name}: {error}", stacklevel=2)
+        for file, content in zip(batch["path"], batch["content"], strict=True):
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+            except zipfile.BadZipFile as error:
+                yield pd.DataFrame({"file": [file], "member": [None], "xml": [None], "error": [str(error)]})
+                continue
+            for name in sorted(n for n in archive.namelist() if archives.wanted(n, ".xml")):
+                xml = error = None
+                try:
+                    xml = archive.read(name).decode("utf-8")
+                except (UnicodeDecodeError, zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"file": [file], "member": [name], "xml": [xml], "error": [error]})
+
+
+def whole_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``archive_pages`` of paths that only Spark can open: an archive is one row and goes to one task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return files.mapInPandas(_members, archives.SCHEMA)
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """``pages`` with their content (page), and an error where there is none."""
+    page = F.from_xml("xml", SCHEMA + ", _malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    rows = pages.withColumn("page", page)
+    return rows.withColumn("error", F.coalesce("error", F.when(F.col("page._malformed").isNotNull(), F.lit(MALFORMED)))).drop("xml")
+
 
+def unreadable(rows: DataFrame) -> DataFrame:
+    """(file, member, error) of ``parsed`` pages."""
+    return rows.where("error is not null").select("file", "member", "error")
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Word boxes of the XML files in zip archives; only decompression runs in Python."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return boxes_of(files.mapInPandas(_members, "member string, xml string"))
+
+def counted(rows: DataFrame, seen: Observation) -> DataFrame:
+    """``parsed`` pages; ``seen`` gets their number (pages) and how many can't be read (skipped) from the first action over them."""
+    return rows.observe(seen, F.count(F.lit(1)).alias("pages"), F.count("error").alias("skipped"))
+
+
+def boxes_in(rows: DataFrame) -> DataFrame:
+    """Word boxes of ``parsed`` pages; pages without words have none."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    pages = rows.where("error is null and page is not null").select("page.*").where(F.size("word") > 0)
+    words = pages.select(F.coalesce("_name", F.lit("")).alias("folio"), zero("_width").alias("page_width"), zero("_height").alias("page_height"), F.explode("word").alias("w"))
+    return words.select("folio", "page_width", "page_height", zero("w._index").alias("word_idx"), zero("w._x").alias("x"), zero("w._y").alias("y"), zero("w._width").alias("width"), zero("w._height").alias("height"), F.coalesce(F.trim("w._VALUE"), F.lit("")).alias("text"))
 
 
 def boxes_of(pages: DataFrame) -> DataFrame:
     """Word boxes of pages (xml), one a row."""
-    pages = pages.select(F.from_xml("xml", SCHEMA, {"mode": "PERMISSIVE"}).alias("page")).where("page is not null")
-    return _boxes(pages.select("page.*"))
+    return boxes_in(parsed(pages.withColumn("error", F.lit(None).cast("string"))))
 
 
-def read_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """An archive by its name's end, else a folder; other file names are an error."""
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed pages of an archive, by its name's end, else of a folder; other file names are an error."""
     if path.lower().endswith(".zip"):
-        return read_archive(spark, path)
+        return parsed(archive_pages(spark, path))
     if posixpath.splitext(path.rstrip("/"))[1]:
         raise ValueError(f"neither a zip archive nor a folder: {path}")
-    return read_folder(spark, path)
+    return parsed(folder_pages(spark, path))
+
+
+def read_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """Word boxes of ``read_pages``."""
+    return boxes_in(read_pages(spark, path))

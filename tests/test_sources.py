@@ -1,8 +1,11 @@
 import random
 import re
+import shutil
 import zipfile
+from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lexigrid import cli
@@ -172,6 +175,80 @@ def test_boxes(spark, folder, name):
     assert {r.row for r in raw} == {17}
 
 
+@pytest.fixture(scope="module")
+def broken(tmp_path_factory):
+    """A folder and an archive with the same pages: good, without words, cut off, no number, no XML, empty, not UTF-8."""
+    at = tmp_path_factory.mktemp("broken")
+    pages = {"a": PAGE, "b": '<folio name="b"></folio>', "c": PAGE[:-20], "d": PAGE.replace('"1090"', '"wide"'), "e": "no page", "f": "", "g": b"<folio name='\xff'/>", "h": PAGE.replace("f1r", "h1r")}
+    with zipfile.ZipFile(at / "pages.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, page in pages.items():
+            page = page if isinstance(page, bytes) else page.encode()
+            (at / f"{name}.xml").write_bytes(page)
+            z.writestr(f"x/{name}.xml", page)
+        z.writestr("x/.hidden.xml", "junk")
+        z.writestr("x/readme.txt", "junk")
+        z.writestr("x/z.xml", PAGE * 50)
+    raw = bytearray((at / "pages.zip").read_bytes())
+    begin = raw.index(b"x/z.xml") + len("x/z.xml")
+    raw[begin + 2 : begin + 20] = bytes(18)  # z can't be unpacked
+    (at / "pages.zip").write_bytes(raw)
+    return at
+
+
+def test_pages_that_cannot_be_read_are_named(spark, broken):
+    # Spark's readers pass over files of no bytes
+    for path, bad, n in ((str(broken), "cdeg", 7), (str(broken / "pages.zip"), "cdefgz", 9)):
+        seen = Observation("pages")
+        rows = boxes.counted(boxes.read_pages(spark, path), seen)
+        assert sorted(r.folio for r in boxes.boxes_in(rows).collect()) == ["f1r", "h1r"]
+        assert seen.get == {"pages": n, "skipped": len(bad)}
+        named = boxes.unreadable(boxes.read_pages(spark, path)).collect()
+        assert sorted((r.member or r.file)[-5] for r in named) == list(bad)
+        assert all(r.error for r in named)
+
+
+def test_archives_by_member(spark, broken, tmp_path):
+    shutil.copy(broken / "pages.zip", tmp_path / "one.zip")
+    with zipfile.ZipFile(tmp_path / "two.ZIP", "w") as z:
+        for k in range(40):
+            z.writestr(f"{k}.xml", PAGE.replace("f1r", f"f{k}v"))
+    (tmp_path / "three.zip").write_text("no archive")
+    boxes.archives.register(spark)
+    rows = spark.read.format("zip_members").option("partBytes", 3 * len(PAGE)).load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() > 13
+    by = {r.file.rsplit("/", 1)[1]: (r.n, r.bad) for r in rows.groupBy("file").agg(F.count("*").alias("n"), F.count("error").alias("bad")).collect()}
+    assert by == {"one.zip": (9, 2), "two.ZIP": (40, 0), "three.zip": (1, 1)}
+    assert rows.where("member is null").first().error
+    # the same by way of Spark's reader
+    name = lambda df: sorted((r.file.rsplit("/", 1)[1], r.member or "", r.xml or "", bool(r.error)) for r in df.collect())
+    assert name(boxes.whole_archives(spark, f"{tmp_path}/*.zip")) == name(rows.where("file not like '%ZIP'"))
+    assert name(spark.read.format("zip_members").load(f"file:{tmp_path}/one.zip")) == name(rows.where("file like '%one.zip'"))
+
+
+def test_archives_written_and_read(spark, tmp_path):
+    at = str(tmp_path / "out")
+    boxes.archives.register(spark)
+    pages = spark.range(30).selectExpr("concat('p/', id, '.xml') as member", "concat('<folio name=\"é', id, '\"/>') as xml").repartition(4)
+    pages.write.format("zip_members").mode("append").save(at)
+    read = lambda: sorted((r.member, r.xml) for r in spark.read.format("zip_members").load(at).collect())
+    once = sorted((r.member, r.xml) for r in pages.collect())
+    assert read() == once and len(list(Path(at).glob("*.zip"))) == 4
+    pages.write.format("zip_members").mode("append").save(at)
+    assert read() == sorted(once * 2)
+    pages.write.format("zip_members").mode("overwrite").save(at)
+    assert read() == once
+    broke = pages.select("member", F.when(F.col("member") == "p/7.xml", F.raise_error(F.lit("lost"))).otherwise(F.col("xml")).alias("xml"))
+    with pytest.raises(Exception, match="lost"):
+        broke.write.format("zip_members").mode("append").save(at)
+    assert read() == once
+
+
+def test_command_line_names_unreadable_files(spark, path, broken, tmp_path, capsys):
+    assert cli.main(["physpagepos", "--input", path, "--boxes", str(broken), "--output", str(tmp_path)]) == 0
+    assert "4 files can't be read" in capsys.readouterr().err
+    assert spark.read.parquet(str(tmp_path / "physpagepos/unreadable")).count() == 4
+
+
 def test_boxes_of_another_kind(spark):
     with pytest.raises(ValueError, match="neither"):
         boxes.read_boxes(spark, "/nowhere/boxes.csv")
