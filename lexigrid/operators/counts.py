@@ -26,14 +26,14 @@ def _each(rows: DataFrame, by: tuple[str, ...], array: Column, name: str) -> Dat
     return rows.select(*by, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
-def word_counts(words: DataFrame, by: tuple[str, ...], items: Column | None = None) -> DataFrame:
+def word_counts(words: DataFrame, by: tuple[str, ...], items: Column | None = None, summed: bool = True) -> DataFrame:
     """(*by, w, m): how often each word (or item) occurs, so that what follows works on distinct words.
 
-    By page there is little to gain, and a stream aggregates once, so there each occurrence stays a row
-    with m = 1.
+    By page there is little to gain, and a stream aggregates once, so there, and where they aren't to be
+    ``summed``, each occurrence stays a row with m = 1.
     """
     rows = _each(words, by, F.col("words") if items is None else items, "w")
-    return rows.withColumn("m", F.lit(1).cast("long")) if "folio" in by or words.isStreaming else rows.groupBy(*by, "w").agg(F.count("*").alias("m"))
+    return rows.withColumn("m", F.lit(1).cast("long")) if "folio" in by or words.isStreaming or not summed else rows.groupBy(*by, "w").agg(F.count("*").alias("m"))
 
 
 def ngrams(words: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), by: tuple[str, ...] = ("folio",)) -> DataFrame:
@@ -76,7 +76,8 @@ def dense_bigrams(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
 _MARK = "\x01"
 
 
-def _border(a: Column, b: Column) -> Column:
+def border(a: Column, b: Column) -> Column:
+    """An item that stands for a transition at a border."""
     return F.concat(F.lit(_MARK), a, F.lit(_MARK), b)
 
 
@@ -90,7 +91,7 @@ def transitions(words: DataFrame, *, by: tuple[str, ...] = ("folio",), word: boo
     return transitions_of(item_counts(words, by, line=line, para=para, page=page), by, word)
 
 
-def item_counts(words: DataFrame, by: tuple[str, ...] = ("folio",), *, line: bool = True, para: bool = True, page: bool = True) -> DataFrame:
+def item_counts(words: DataFrame, by: tuple[str, ...] = ("folio",), *, line: bool = True, para: bool = True, page: bool = True, summed: bool = True) -> DataFrame:
     """(*by, w, m): ``word_counts`` with the borders of lines, paragraphs and pages as further items.
 
     All counts of glyphs, pairs and positions can be had from these sums, which can be added up over
@@ -103,18 +104,18 @@ def item_counts(words: DataFrame, by: tuple[str, ...] = ("folio",), *, line: boo
     when = lambda c, *x: F.when(c, F.array(*x)).otherwise(none)
     parts = [F.col("words")]
     if line:
-        parts.append(when(full, _border(F.lit(T.LINE_START), first), _border(last, F.lit(T.LINE_END))))
+        parts.append(when(full, border(F.lit(T.LINE_START), first), border(last, F.lit(T.LINE_END))))
     if para:
-        parts.append(when(full & F.col("para_start"), _border(F.lit(T.PARA_START), first)))
-        parts.append(when(full & F.col("para_end"), _border(last, F.lit(T.PARA_END))))
+        parts.append(when(full & F.col("para_start"), border(F.lit(T.PARA_START), first)))
+        parts.append(when(full & F.col("para_end"), border(last, F.lit(T.PARA_END))))
     known = "page_first" in words.columns
     if page and known:
-        parts.append(when((F.col("line_idx") == 0) & (F.col("page_first") != ""), _border(F.lit(T.PAGE_START), F.col("page_first"))))
-        parts.append(when((F.col("line_idx") == 0) & (F.col("page_last") != ""), _border(F.col("page_last"), F.lit(T.PAGE_END))))
-    items = word_counts(words, by, F.concat(*parts) if len(parts) > 1 else parts[0])
+        parts.append(when((F.col("line_idx") == 0) & (F.col("page_first") != ""), border(F.lit(T.PAGE_START), F.col("page_first"))))
+        parts.append(when((F.col("line_idx") == 0) & (F.col("page_last") != ""), border(F.col("page_last"), F.lit(T.PAGE_END))))
+    items = word_counts(words, by, F.concat(*parts) if len(parts) > 1 else parts[0], summed)
     if page and not known:
         ends = words.groupBy(*dict.fromkeys(("folio", *by))).agg(F.min_by(F.when(full, first), F.when(full, F.col("line_idx"))).alias("first"), F.max_by(last, "line_idx").alias("last"))
-        ends = ends.select(*by, F.explode(F.array(F.when(F.col("first") != "", _border(F.lit(T.PAGE_START), F.col("first"))), F.when(F.col("last") != "", _border(F.col("last"), F.lit(T.PAGE_END))))).alias("w")).where("w is not null")
+        ends = ends.select(*by, F.explode(F.array(F.when(F.col("first") != "", border(F.lit(T.PAGE_START), F.col("first"))), F.when(F.col("last") != "", border(F.col("last"), F.lit(T.PAGE_END))))).alias("w")).where("w is not null")
         items = items.unionByName(ends.withColumn("m", F.lit(1).cast("long")))
     return items
 
