@@ -131,6 +131,22 @@ def folio_base(folio: Column, sides: str = "suffix") -> Column:
     return F.regexp_replace(folio, r"[rv]\d*$" if sides == "suffix" else r"[rv]+$", "")
 
 
+def folio_number(folio: Column) -> Column:
+    """The number of a page's leaf: its digits, 0 without any."""
+    digits = F.regexp_replace(folio_base(folio), "[^0-9]", "")
+    return F.coalesce(F.try_to_number(digits, F.lit("9" * 18)), F.lit(0)).cast("long")
+
+
+def in_locale(name: Column) -> Column:
+    """Sorts as people read: letters of both cases together, the small one first."""
+    return F.collate(name, "UNICODE")
+
+
+def natural_key(folio: Column) -> Column:
+    """Sorts pages by the number of their leaf, then by name: f2r, f2v, f10r, f85r1, f85r2."""
+    return F.struct(folio_number(folio).alias("number"), in_locale(folio).alias("name"))
+
+
 def join_lines(text: Column, order: Column, by: str = " ") -> Column:
     """Aggregate: the lines of a group in order, joined."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("order"), text.alias("text")))), lambda s: s["text"]), by)

@@ -21,6 +21,13 @@ def diff(a: DataFrame, b: DataFrame, keys: list[str], measures: list[str]) -> Da
     return out.withColumns({f"{m}_diff": F.col(f"{m}_a") - F.col(f"{m}_b") for m in measures})
 
 
+def diff_of(rows: DataFrame, side: str, sides: tuple[str, str], keys: list[str], measures: list[str]) -> DataFrame:
+    """``diff`` of the rows of two values of column ``side``, each with unrepeated keys, in one aggregate: ``rows`` is made once."""
+    pick = lambda m, x: F.coalesce(F.max(F.when(F.col(side) == x, F.col(m))), F.lit(0))
+    both = rows.where(F.col(side).isin(*sides)).groupBy(*keys).agg(*(pick(m, x).alias(f"{m}_{k}") for m in measures for x, k in zip(sides, "ab", strict=True)))
+    return both.withColumns({f"{m}_diff": F.col(f"{m}_a") - F.col(f"{m}_b") for m in measures})
+
+
 def dense_diff(rows: DataFrame, tokens: DataFrame, token: str, ends: tuple[str, str], measure: str, sides: tuple[str, str]) -> DataFrame:
     """(*ends, m_a, m_b, m_diff) for all pairs of ``tokens``, the union of both sides' alphabets, which is small and bounded; 0 where missing.
 
@@ -84,9 +91,10 @@ def places(rows: DataFrame, by: str, key: str, name: str = "place", parts: int |
     dealt = rows.repartitionByRange(parts, by, key).withColumn("range", F.spark_partition_id())
     counts = dealt.groupBy("range", by).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("range", F.col(by), before.alias("start"))
+    starts = counts.select(F.col("range").alias("in_range"), F.col(by).alias("of"), before.alias("start"))
     local = F.row_number().over(Window.partitionBy("range", by).orderBy(key))
-    out = dealt.withColumn("local", local).join(starts, ["range", by])
+    # a null is a group as any other
+    out = dealt.withColumn("local", local).join(starts, (F.col("range") == F.col("in_range")) & F.col(by).eqNullSafe(F.col("of")))
     return out.select(*rows.columns, (F.col("local") + F.col("start")).cast("int").alias(name))
 
 
@@ -104,6 +112,22 @@ def nearest_point(rows: DataFrame, x: str, y: str, at: tuple[float, float], radi
     return near.agg(F.min(F.struct("distance", key)).alias("p")).where("p is not null").select(f"p.{key}", "p.distance")
 
 
+def near_places(points: DataFrame, places: DataFrame, radius: int, key: str, place: str) -> DataFrame:
+    """For each place the closest point within the radius, ties to the smaller key: (place, key, squared).
+
+    Both have whole-numbered x and y. Points fall into cells of the radius' size, and a place looks into its
+    own cell and the eight around it, so the join is one by cells.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius)
+    around = F.sequence(F.lit(-1), F.lit(1))
+    wide = places.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+    looks = wide.select(F.col(place), F.col("x").alias("px"), F.col("y").alias("py"), (cell("x") + F.col("dx")).alias("cx"), (cell("y") + F.col("dy")).alias("cy"))
+    rows = points.select(key, "x", "y", cell("x").alias("cx"), cell("y").alias("cy")).join(looks, ["cx", "cy"])
+    squared = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
+    near = rows.select(place, key, squared.alias("squared")).where(F.col("squared") <= radius * radius)
+    return near.groupBy(place).agg(F.min(F.struct("squared", key)).alias("p")).select(place, f"p.{key}", "p.squared")
+
+
 def intern_colours(rows: DataFrame, value: str, order: str) -> DataFrame:
     """(value, colour): a number for each value by its first appearance; for at most ``LEGEND`` values, as no legend shows more."""
     first = rows.groupBy(value).agg(F.min(order).alias("first"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quire_number
@@ -50,6 +50,9 @@ MANUSCRIPT = (
     Group("quire_20", "Quire 20", {"quire": 20}),
 )
 
+# Sections by their code.
+ILLUSTRATIONS = {"T": "Text only", "H": "Herbal", "Z": "Zodiac", "B": "Biological", "P": "Pharmaceutical", "A": "Astronomical", "C": "Cosmological", "S": "Stars"}
+
 #: The same kinds of groups for documents; the last is always empty.
 DOCUMENTS = (
     Group("all", "All documents"),
@@ -70,6 +73,11 @@ def select(groups: tuple[Group, ...], names: list[str] | None) -> tuple[Group, .
     return groups if not names else tuple(g for g in groups if g.name in set(names))
 
 
+def display_order(groups: tuple[Group, ...]) -> tuple[Group, ...]:
+    """As viewers list them: groups by one attribute or none in their own order, then those by several."""
+    return tuple(sorted(groups, key=lambda g: len(g.where) > 1))
+
+
 def members(groups: tuple[Group, ...]) -> Column:
     return F.array_compact(F.array(*(F.when(g.matches(), F.lit(g.name)) for g in groups)))
 
@@ -106,12 +114,21 @@ def manifest(pages: DataFrame, groups: tuple[Group, ...]) -> DataFrame:
     return definitions(pages.sparkSession, groups).join(found, "agg", "left").select("agg", "description", F.coalesce("page_count", F.lit(0)).cast("long").alias("page_count"))
 
 
-def overlaps(pages: DataFrame, groups: tuple[Group, ...], attributes: list[str]) -> DataFrame:
-    """(agg, attribute, value, pages, share): pages of a group by each attribute's values."""
-    long = membership(pages, groups).select("agg", F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in attributes))).alias("x")).select("agg", "x.*")
-    counts = long.groupBy("agg", "attribute", "value").agg(F.count("*").alias("pages"))
-    total = long.groupBy("agg", "attribute").agg(F.count("*").alias("total"))
-    return counts.join(total, ["agg", "attribute"]).select("agg", "attribute", "value", "pages", F.round(F.col("pages") / F.col("total"), 6).alias("share"))
+def overlaps(pages: DataFrame, groups: tuple[Group, ...], names: list[str]) -> DataFrame:
+    """(agg, attribute, value, pages, share): pages of a group by each attribute's values.
+
+    Pages are counted by all their attributes once; groups and grouping sets work on these counts.
+    """
+    combinations = pages.groupBy(*dict.fromkeys((*attributes(groups), *names))).agg(F.count("*").alias("n"))
+    rows = combinations.select(F.explode(members(groups)).alias("agg"), *names, "n")
+    sets = rows.groupingSets([[F.col("agg"), F.col(a)] for a in names], "agg", *names).agg(F.sum("n").alias("pages"), F.grouping_id().alias("set"))
+    # an attribute's bit is 0 in its own set alone
+    every = (1 << len(names)) - 1
+    own = {a: every ^ (1 << (len(names) - 1 - k)) for k, a in enumerate(names)}
+    which = lambda of: F.coalesce(*(F.when(F.col("set") == v, of(a)) for a, v in own.items()))
+    rows = sets.select("agg", which(F.lit).alias("attribute"), which(F.col).alias("value"), "pages")
+    total = F.sum("pages").over(Window.partitionBy("agg", "attribute"))
+    return rows.select("agg", "attribute", "value", "pages", F.round(F.col("pages") / total, 6).alias("share"))
 
 
 def contents(pages: DataFrame, groups: tuple[Group, ...]) -> DataFrame:

@@ -48,14 +48,10 @@ def pagepos_grouped_rollup(spark, d):
 # differences
 
 
-def _sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(rows.where(F.col("language") == x).select(*columns) for x in ("en", "de"))
-
-
 @query
 def unigram_diff(spark, d):
     rows = C.frequencies(C.ngrams(_words(spark, d).where("language in ('en', 'de')"), (1,), LANG), LANG)
-    out = D.beyond(D.diff(*_sides(rows, "ngram", "freq"), ["ngram"], ["freq"]), "freq", 1e-4)
+    out = D.beyond(D.diff_of(rows, *Q.SIDES, ["ngram"], ["freq"]), "freq", 1e-4)
     return out.select(F.col("ngram").alias("glyph"), *(_r(f"freq_{x}") for x in ("a", "b", "diff")))
 
 

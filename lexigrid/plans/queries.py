@@ -20,6 +20,8 @@ from ..sources import corpus as K
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LANG = ("language",)
 GLYPH = ("language", "glyph")
+#: The two sides that differences compare.
+SIDES = ("language", ("en", "de"))
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -104,8 +106,7 @@ def bigram_matrix_dense(spark, d):
 @query
 def ngram_diff_topk(spark, d):
     rows = C.frequencies(C.ngrams(_words(spark, d).where("language in ('en', 'de')"), (3,), LANG), LANG, 5)
-    side = lambda x: rows.where(F.col("language") == x).select("ngram", "freq")
-    out = D.beyond(D.diff(side("en"), side("de"), ["ngram"], ["freq"]), "freq", 1e-5)
+    out = D.beyond(D.diff_of(rows, *SIDES, ["ngram"], ["freq"]), "freq", 1e-5)
     out = out.select("ngram", *(_r(f"freq_{x}") for x in ("a", "b", "diff")))
     return C.top(out.withColumn("one", F.lit(1)), ("one",), F.desc(F.abs("freq_diff")), "ngram", 20).drop("one")
 
@@ -178,16 +179,14 @@ def markov_grouped_rollup(spark, d):
 @query
 def markov_diff(spark, d):
     rows = C.probabilities(_transitions(spark, d, word=True, line=True, para=True, page=True).where("language in ('en', 'de')"), LANG)
-    side = lambda x: rows.where(F.col("language") == x).select("from_tok", "to_tok", "n", "prob")
-    out = D.diff(side("en"), side("de"), ["from_tok", "to_tok"], ["n", "prob"])
+    out = D.diff_of(rows, *SIDES, ["from_tok", "to_tok"], ["n", "prob"])
     return out.select("from_tok", "to_tok", "n_a", "n_b", "n_diff", *(_r(f"prob_{x}") for x in ("a", "b", "diff")))
 
 
 @query
 def markov_max_abs_diff(spark, d):
     rows = C.probabilities(_transitions(spark, d, word=True, line=True, para=True, page=True).where("language in ('en', 'de')"), LANG)
-    side = lambda x: rows.where(F.col("language") == x).select("from_tok", "to_tok", "prob")
-    return D.greatest_difference(D.diff(side("en"), side("de"), ["from_tok", "to_tok"], ["prob"]), "prob", 0.3).select(_r("max_abs_diff"))
+    return D.greatest_difference(D.diff_of(rows, *SIDES, ["from_tok", "to_tok"], ["prob"]), "prob", 0.3).select(_r("max_abs_diff"))
 
 
 @query
@@ -252,8 +251,7 @@ def wordpos_order_position(spark, d):
 def wordpos_diff(spark, d):
     rows = C.position_ratios(C.word_positions(_words(spark, d).where("language in ('en', 'de')"), LANG))
     names = [f"{p}_ratio" for p in C.POSITIONS]
-    side = lambda x: rows.where(F.col("language") == x).select("glyph", *names)
-    out = D.tendency(D.diff(side("en"), side("de"), ["glyph"], names), "start_ratio", 0.001)
+    out = D.tendency(D.diff_of(rows, *SIDES, ["glyph"], names), "start_ratio", 0.001)
     return out.select("glyph", *(_r(f"{m}_diff") for m in names), "tendency")
 
 
@@ -272,8 +270,7 @@ def wordpos_compare_order(spark, d):
 @query
 def wordpos_diff_order(spark, d):
     rows = _start_scores(spark, d)
-    side = lambda x: rows.where(F.col("language") == x).select("glyph", "score")
-    return D.order_of(D.diff(side("en"), side("de"), ["glyph"], ["score"]).select("glyph", _r("score_a"), _r("score_diff")), [], "score_a", "glyph")
+    return D.order_of(D.diff_of(rows, *SIDES, ["glyph"], ["score"]).select("glyph", _r("score_a"), _r("score_diff")), [], "score_a", "glyph")
 
 
 @query
@@ -362,8 +359,7 @@ def pagepos_dense_grid(spark, d):
 @query
 def pagepos_diff(spark, d):
     rows = G.shares(_coarse(spark, d).where("glyph = 'o' and language in ('en', 'de')"), GLYPH)
-    side = lambda x: rows.where(F.col("language") == x).select("col", "row", "share")
-    return D.diff(side("en"), side("de"), ["col", "row"], ["share"]).select("col", "row", *(_r(f"share_{x}") for x in ("a", "b", "diff")))
+    return D.diff_of(rows, *SIDES, ["col", "row"], ["share"]).select("col", "row", *(_r(f"share_{x}") for x in ("a", "b", "diff")))
 
 
 @query
@@ -375,8 +371,7 @@ def pagepos_blur(spark, d):
 @query
 def pagepos_blur_diff(spark, d):
     rows = G.shares(_coarse(spark, d).where("language in ('en', 'de')"), GLYPH)
-    side = lambda x: rows.where(F.col("language") == x).select("glyph", "col", "row", "share")
-    diff = D.diff(side("en"), side("de"), ["glyph", "col", "row"], ["share"])
+    diff = D.diff_of(rows, *SIDES, ["glyph", "col", "row"], ["share"])
     rows = G.scaled_to_most(G.blur(diff, *G.TEXT_GRIDS["coarse"], ("glyph",), "share_diff"), ("glyph",), "share_diff")
     return rows.select("glyph", "col", "row", F.round("scaled", 4).alias("scaled"))
 

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.operators import counts as C
 from lexigrid.operators import grids as G
-from lexigrid.plans import more_oracle, more_queries, source_oracle, source_queries  # noqa: F401  they add to the tables
+from lexigrid.plans import further_oracle, further_queries, more_oracle, more_queries, source_oracle, source_queries  # noqa: F401  they add to the tables
 from lexigrid.plans.oracle import ORACLE_SQL
 from lexigrid.plans.queries import QUERIES
 from lexigrid.sources import corpus
@@ -72,7 +73,32 @@ def test_invariants(words):
     assert total(grid, "n") == n_glyphs
 
 
+def executed(spark, name):
+    """The physical plan as it is laid out before it runs."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_filters_reach_the_scan(spark):
-    plan = QUERIES["ngram_diff_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(lang" in plan.replace("Or(", "In(") or "lang" in plan
-    assert "n_chars" not in plan
+    """Rows of other languages are left out by the scan, and no column is read that isn't needed."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = corpus.from_documents(docs, spread=False).words().where("language = 'en'")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"(?:DataFilters|PartitionFilters): \[[^\]]*lang", plan)
+    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["markov_diff", "ngram_diff_topk", "wordpos_diff", "pagepos_diff", "pagepos_blur_diff", "unigram_diff", "markov_max_abs_diff"])
+def test_both_sides_of_a_difference_come_from_one_scan(spark, name):
+    plan = executed(spark, name)
+    assert plan.count("FileScan parquet") == 1
+    assert not re.search(r"ReadSchema: struct<[^>]*n_chars", plan)
+
+
+def test_overlaps_scan_each_table_once(spark):
+    plan = executed(spark, "group_overlap_stats")
+    assert plan.count("FileScan parquet") == 2
+    assert "Expand" in plan
