@@ -11,15 +11,17 @@ conditional probability is that of its group times its class's counted share of
 A document's pseudo-log-likelihood is the sum of the conditional log-probabilities of its tokens,
 each with its neighbours on both sides given.
 
-Training sees every window of the corpus, as often as it occurs. Each scan task is a replica that goes
-through its texts from the shared start; the replicas' parameters are averaged by pieces, weighed by
-windows, without a task or driver that holds more than one network. There are ``ROUNDS`` rounds and
-each text is in one of them, by its hash; a corpus of under ``FEW`` tokens is in all rounds, ``EPOCHS`` times.
+Training sees every window of the corpus, as often as it occurs, once (``epochs`` times). Each row is in one
+of ``ROUNDS`` rounds, and of one of the round's replicas, by a hash of the row: there is one for each ``SHARE``
+tokens, and it goes through its texts in the order of their hashes, from the shared start. So neither files nor
+tasks decide what a replica sees, and copies of one text are dealt out as other texts are. The replicas'
+parameters are averaged by pieces, weighed by windows, ``FAN`` of them at a time; no task or driver holds more
+than one network and one sum.
 
 What reaches the driver or is broadcast: ``KNOWN`` tokens with counts, a 2-byte count a class, one network.
 
 Null and empty texts have no tokens, pll 0 and a null mean; a very long text is taken in pieces.
-Equal texts have equal scores, whatever their ids; rows that repeat an id are scored each. Tokens of equal
+Equal texts have equal scores (to rounding), whatever their ids; rows that repeat an id are scored each. Tokens of equal
 frequency are ordered by hash. An empty corpus gives the untrained network and an empty result.
 """
 
@@ -40,11 +42,13 @@ SIDE, HIDDEN, GROUP, GROUPS = 3, 16, 96, 31
 KNOWN = GROUP * GROUPS
 #: Classes of rare tokens as inputs, and as outputs; classes of a page that one row holds.
 INPUTS, CLASSES, PAGE = 1024, 1 << 22, 4096
-ROUNDS, EPOCHS, BATCH, RATE = 4, 3, 1 << 14, 0.15
-FEW = 2_000_000
-#: Distinct tokens that a counting worker holds, and pieces that a network is averaged by.
-HELD, PIECES = 1_000_000, 32
+ROUNDS, BATCH, RATE = 4, 1 << 14, 0.15
+#: Tokens that a replica goes through in a round.
+SHARE = 2_000_000
+#: Distinct tokens that a counting worker holds, pieces that a network is averaged by, and networks that are averaged at a time.
+HELD, PIECES, FAN = 1_000_000, 32, 64
 OUTSIDE = 0
+PIECE_SCHEMA = "replica long, piece long, weight double, net binary"
 
 _WIDE = 2 * SIDE * HIDDEN
 _POWER = PowerTable(0x9FB21C651E98DF25, "pseudo")
@@ -323,15 +327,33 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted sums of pieces; a task holds one sum for each of its pieces."""
-    sums: dict[int, list] = {}
+    """Weighted means of pieces by group, which come one after another; a task holds one sum."""
+    at, weight, total = None, 0.0, None
+
+    def mean() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]]), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["replica", "piece", "weight", "net"])
+
     for batch in batches:
-        for piece, weight, values in zip(*(batch.column(x).to_pylist() for x in ("piece", "weight", "net")), strict=True):
-            own = sums.setdefault(piece, [0.0, 0.0])
-            own[0] += weight
-            own[1] = own[1] + weight * np.frombuffer(values, np.float32).astype(np.float64)
-    for piece, (weight, total) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["piece", "net"])
+        for group, piece, own, values in zip(*(batch.column(x) for x in ("group", "piece", "weight", "net")), strict=True):
+            if at != (group.as_py(), piece.as_py()):
+                if at is not None:
+                    yield mean()
+                at, weight, total = (group.as_py(), piece.as_py()), 0.0, 0.0
+            weight += own.as_py()
+            total = total + own.as_py() * np.frombuffer(values.as_buffer(), np.float32).astype(np.float64)
+    if at is not None:
+        yield mean()
+
+
+def averaged(pieces: DataFrame, replicas: int) -> DataFrame:
+    """(replica, piece, weight, net) of a single replica: the means over all, in layers, each in a fixed order."""
+    while True:
+        groups = -(-replicas // FAN)
+        dealt = pieces.withColumn("group", F.floor(F.col("replica") / FAN)).repartition(PIECES * groups, "group", "piece").sortWithinPartitions("group", "piece", "replica")
+        pieces = dealt.select("group", "piece", "weight", "net").mapInArrow(_average, PIECE_SCHEMA)
+        if groups == 1:
+            return pieces
+        replicas = groups
 
 
 _READ: dict[int, Vocabulary] = {}
@@ -354,36 +376,53 @@ class _Shared:
         self.id = hash((vocabulary.known.tobytes(), vocabulary.rare))
 
 
-def train(docs: DataFrame, space: Workspace, *, seed: int = 3) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    """The vocabulary and the network of ``docs`` (text)."""
+def train(docs: DataFrame, space: Workspace, *, seed: int = 3, epochs: int = 1) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+    """The vocabulary and the network of ``docs`` (text, and further columns that tell rows apart)."""
     spark = docs.sparkSession
-    vocabulary, size = vocabulary_of(docs, space)
+    vocabulary, size = vocabulary_of(docs.select("text"), space)
     shared = _Shared(spark, vocabulary)
     net = fresh(len(vocabulary.known), seed)
+    replicas = max(1, -(-size // (ROUNDS * SHARE)))
+    row = F.xxhash64(*docs.columns)
+    rows = docs.select("text", row.alias("row"), F.pmod(row, F.lit(ROUNDS * replicas)).alias("part"))
     for k in range(ROUNDS if size else 0):
         start = spark.sparkContext.broadcast(pickle.dumps(net))
-        rate, epochs = RATE * 0.6**k, EPOCHS if size < FEW else 1
-        texts = docs if size < FEW else docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k)
+        rate = RATE * 0.6**k
+        texts = rows.where(F.col("part") % ROUNDS == k).select("text", "row", F.floor(F.col("part") / ROUNDS).alias("replica"))
 
-        def run(batches: Iterator[pa.RecordBatch], start=start, rate=rate, epochs=epochs) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
             only("pseudo")
-            words, network, seen = _own(shared), Network(pickle.loads(start.value), rate), 0
+            words, replica, network, seen = _own(shared), None, None, 0
+
+            def pieces() -> Iterator[pa.RecordBatch]:
+                for piece, part in enumerate(np.array_split(_flat(network.net), PIECES)):
+                    yield pa.RecordBatch.from_arrays([pa.array([replica]), pa.array([piece]), pa.array([float(seen)]), pa.array([part.tobytes()], pa.binary())], ["replica", "piece", "weight", "net"])
+
             for whole in batches:
-                for batch in slices(whole, "text"):
-                    h, sizes = hashes(*byte_column(batch.column("text")))
-                    laid = lay_out(h, sizes, words)
-                    seen += len(h)
-                    for _ in range(epochs):
-                        for stretch in network.stretches(*laid):
-                            network.train(*stretch)
+                own = whole.column("replica").to_numpy()
+                cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    if low == high:
+                        continue
+                    if own[low] != replica:
+                        if seen:
+                            yield from pieces()
+                        replica, network, seen = int(own[low]), Network(pickle.loads(start.value), rate), 0
+                    for batch in slices(whole.slice(low, high - low), "text"):
+                        h, sizes = hashes(*byte_column(batch.column("text")))
+                        laid = lay_out(h, sizes, words)
+                        seen += len(h)
+                        for _ in range(epochs):
+                            for stretch in network.stretches(*laid):
+                                network.train(*stretch)
             if seen:
-                for piece, part in enumerate(np.array_split(_flat(network.net), PIECES)):
-                    yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([float(seen)]), pa.array([part.tobytes()], pa.binary())], ["piece", "weight", "net"])
+                yield from pieces()
 
-        pieces = texts.mapInArrow(run, "piece long, weight double, net binary").repartition(PIECES, "piece").mapInArrow(_average, "piece long, net binary").collect()
+        dealt = texts.repartition(replicas, "replica").sortWithinPartitions("replica", "row", "text").select("text", "replica")
+        found = averaged(dealt.mapInArrow(run, PIECE_SCHEMA), replicas).collect()
         start.unpersist()
-        if pieces:
-            net = _shaped(np.concatenate([np.frombuffer(p.net, np.float32) for p in sorted(pieces, key=lambda p: p.piece)]), net)
+        if found:
+            net = _shaped(np.concatenate([np.frombuffer(p.net, np.float32) for p in sorted(found, key=lambda p: p.piece)]), net)
     return vocabulary, net
 
 
@@ -412,7 +451,9 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: dict[str, np.ndarray], *
     return out.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
 
 
-def fit_and_score(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fit_and_score(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), epochs: int = 1) -> DataFrame:
+    """``score`` of ``docs`` by a model of themselves. The columns ``keep`` tell copies of a text apart when they are dealt out, and are no input of the model."""
     space = Workspace(docs.sparkSession, "pseudo")
-    model = train(docs.select(F.col(text_col).cast("string").alias("text")), space)
+    own = [F.col(c).alias(f"k{k}") for k, c in enumerate(keep) if c != text_col]
+    model = train(docs.select(F.col(text_col).cast("string").alias("text"), *own), space, epochs=epochs)
     return score(docs.select(*keep, text_col), *model, text_col=text_col)

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrid.llm import pseudo as L
 from lexigrid.llm.common import Workspace, table
@@ -19,9 +20,13 @@ def name(token):
     return int(L.hashes(np.frombuffer(token, np.uint8), np.array([0, len(token)]))[0][0])
 
 
+#: A single pass is the rule at any size; what these small tables can teach shows after some more.
+EPOCHS = 12
+
+
 @pytest.fixture(scope="module")
 def model(spark):
-    return L.train(table(spark, SF, "documents").select("text"), Workspace(spark, "t"))
+    return L.train(table(spark, SF, "documents").select("text", "doc_id"), Workspace(spark, "t"), epochs=EPOCHS)
 
 
 def direct(text, words, net):
@@ -133,7 +138,7 @@ def test_windows_weigh_by_their_full_counts(spark):
     # after "the" comes "b" nine times as often as "c"
     texts = [" ".join(f"the {'c' if k % 10 == 0 else 'b'} . . . ." for k in range(200))] * 30
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    words, net = L.train(docs.select("text"), Workspace(spark, "t"))
+    words, net = L.train(docs, Workspace(spark, "t"), epochs=EPOCHS)
     given = spark.createDataFrame([(1, ". . . . the b . . . ."), (2, ". . . . the c . . . .")], "doc_id long, text string")
     a, b = (r.pll for r in sorted(L.score(given, words, net).collect()))
     assert np.exp(a - b) == pytest.approx(9, rel=0.35)
@@ -145,17 +150,67 @@ def test_a_window_spans_words(spark):
     texts = [" ".join(f"{a} ooo {b} eee" for a, b in (("up", "ba") if rng.random() < 0.5 else ("on", "ka") for _ in range(40))) for _ in range(60)]
     swapped = [t.replace("ba", "?").replace("ka", "ba").replace("?", "ka") for t in texts[:10]]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    model = L.train(docs.select("text"), Workspace(spark, "t"))
+    model = L.train(docs, Workspace(spark, "t"), epochs=EPOCHS)
     both = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:10] + swapped)], "doc_id long, text string")
     got = {r.doc_id: r.mean_pll for r in L.score(both, *model).collect()}
     assert all(got[k] - got[k + 10] > 0.1 for k in range(10))
 
 
+def scores(docs, **more):
+    return {r.doc_id: r.mean_pll for r in L.fit_and_score(docs.select("doc_id", "text"), **more).collect()}
+
+
+def test_files_and_tasks_do_not_decide_scores(spark, monkeypatch):
+    """One split or six, in another order: the same replicas see the same texts in the same order."""
+    monkeypatch.setattr(L, "SHARE", 5000)
+    docs = table(spark, SF, "documents")
+    one, six = scores(docs.coalesce(1)), scores(docs.orderBy(F.desc("n_chars")).repartition(6))
+    assert one.keys() == six.keys()
+    assert max(abs(one[k] - six[k]) for k in one if one[k] is not None) < 1e-3
+
+
+@pytest.mark.parametrize("share", [300, 5000])
+def test_many_replicas_are_averaged_in_layers(spark, monkeypatch, share):
+    """One rule at any size: more tokens make more replicas, and their means come from layers of a few."""
+    monkeypatch.setattr(L, "SHARE", share)
+    monkeypatch.setattr(L, "FAN", 3)
+    docs = table(spark, SF, "documents")
+    words, net = L.train(docs.select("text", "doc_id"), Workspace(spark, "t"))
+    rows = docs.where("n_chars between 300 and 3000").select("doc_id", "text")
+    trained = {r.doc_id: r.mean_pll for r in L.score(rows, words, net).collect()}
+    fresh = {r.doc_id: r.mean_pll for r in L.score(rows, words, L.fresh(len(words.known))).collect()}
+    assert all(trained[k] > fresh[k] for k in trained)
+
+
+def test_layers_give_the_weighted_mean(spark, monkeypatch):
+    monkeypatch.setattr(L, "FAN", 3)
+    rng = np.random.default_rng(2)
+    nets, weights = rng.standard_normal((20, 6)).astype(np.float32), rng.integers(1, 99, 20).astype(float)
+    rows = [(k, j, w, part.tobytes()) for k, (n, w) in enumerate(zip(nets, weights)) for j, part in enumerate(np.array_split(n, 2))]
+    rng.shuffle(rows)
+    pieces = spark.createDataFrame([(int(a), int(b), float(c), bytearray(d)) for a, b, c, d in rows], L.PIECE_SCHEMA).repartition(5)
+    got = sorted(L.averaged(pieces, 20).collect(), key=lambda r: r.piece)
+    assert [r.piece for r in got] == [0, 1] and {r.weight for r in got} == {weights.sum()}
+    assert np.allclose(np.concatenate([np.frombuffer(r.net, np.float32) for r in got]), np.average(nets, axis=0, weights=weights), atol=1e-5)
+
+
+def test_copies_of_a_text_are_dealt_out(spark, prose, monkeypatch):
+    """A third of all rows have one text; no replica gets all of them."""
+    monkeypatch.setattr(L, "SHARE", 1000)
+    hot = prose(1, 60)
+    docs = spark.createDataFrame([(k, hot if k % 3 == 0 else prose(k + 2, 60)) for k in range(600)], "doc_id long, text string")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(36))
+    most = docs.where(F.col("text") == hot).groupBy(part.alias("p")).count().agg(F.max("count")).first()[0]
+    assert most < 30
+    got = scores(docs)
+    assert len({round(got[k], 5) for k in range(0, 600, 3)}) == 1
+
+
 def test_rare_tokens_have_their_share(spark, prose, monkeypatch):
     monkeypatch.setattr(L, "KNOWN", 20)
     odd = " ".join(f"w{k}" for k in range(300))
     docs = spark.createDataFrame([(1, prose(7, 800)), (2, odd), (3, "q " * 300), (4, "w1 w2 zzz")], "doc_id long, text string")
-    got = {r.doc_id: r for r in L.fit_and_score(docs).collect()}
+    got = {r.doc_id: r for r in L.fit_and_score(docs, epochs=EPOCHS).collect()}
     assert got[2].mean_pll < got[1].mean_pll < got[3].mean_pll
     assert (got[2].n_once, got[3].n_once, got[4].n_once) == (298, 0, 1)
 
