@@ -8,9 +8,9 @@ network routes the patterns' words to the sources' quotas:
     pattern -> source  for each source of the pattern
     source -> end      the source's quota
 
-Successive shortest paths send as much as the network holds at the least cost. The network has a
-node for each pattern and source, not for each document, and is solved on the driver; over
-``PATTERNS`` patterns are an error. With one source a document no route is open to choice, and the
+The flow is as great as the network holds, at the least cost: potentials from shortest paths, then blocking
+flows over the edges of least cost, as costs are few. The network has a node for each pattern and source,
+not for each document, and is solved on the driver; over ``PATTERNS`` patterns are an error. With one source a document no route is open to choice, and the
 flow is each source's own quota; it decides where patterns overlap.
 
 A pattern's flow then becomes documents: all of them are taken flow div size times, and the rest is
@@ -23,7 +23,7 @@ Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and s
 target stops at ``MOST`` times its source's words and the excess is shared by weight among the others.
 Null and empty texts have no words and are never in the way: they are taken with 0 words. A very
 long text is one document, taken whole. Rows without an id are drawn by a hash of their text; ties
-of the draw go by id and size. Rows equal in draw, id and size are taken alike. An empty table gives an
+of the draw go by id and size. Rows equal in draw, id and size are taken one by one, any of them first. An empty table gives an
 empty result. Columns of ``docs`` whose names are used here are read only where they are named.
 """
 
@@ -75,10 +75,11 @@ def min_cost_flow(edges: list[tuple[int, int, int, int]], nodes: int, start: int
         to.append(b), room.append(cap), cost.append(c)
         out[b].append(len(to))
         to.append(a), room.append(0), cost.append(-c)
-    potential = [0] * nodes
-    while True:
-        far, via = {start: 0}, {}
-        heap, done = [(0, start)], set()
+    potential, level, arc = [0] * nodes, [0] * nodes, [0] * nodes
+
+    def distances() -> bool:
+        """Potentials from least costs; whether the end can be reached."""
+        far, heap, done = {start: 0}, [(0, start)], set()
         while heap:
             d, a = heapq.heappop(heap)
             if a in done:
@@ -89,21 +90,58 @@ def min_cost_flow(edges: list[tuple[int, int, int, int]], nodes: int, start: int
                 if room[e] and b not in done:
                     new = d + cost[e] + potential[a] - potential[b]
                     if new < far.get(b, new + 1):
-                        far[b], via[b] = new, e
+                        far[b] = new
                         heapq.heappush(heap, (new, b))
         if end not in done:
-            return [room[2 * k + 1] for k in range(len(edges))]
-        last = far[end]
+            return False
         for a in range(nodes):
-            potential[a] += min(far.get(a, last), last)
-        path, a = [], end
-        while a != start:
-            path.append(via[a])
-            a = to[via[a] ^ 1]
-        most = min(room[e] for e in path)
-        for e in path:
-            room[e] -= most
-            room[e ^ 1] += most
+            potential[a] += min(far.get(a, far[end]), far[end])
+        return True
+
+    def open_(e: int, a: int) -> bool:
+        return room[e] > 0 and cost[e] + potential[a] == potential[to[e]]
+
+    def levels() -> bool:
+        level[:] = [-1] * nodes
+        level[start], queue = 0, [start]
+        for a in queue:
+            for e in out[a]:
+                if level[to[e]] < 0 and open_(e, a):
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        return level[end] >= 0
+
+    def push() -> None:
+        """A blocking flow over the edges of least cost that lead one level on."""
+        arc[:] = [0] * nodes
+        path, a = [], start
+        while True:
+            if a == end:
+                most = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= most
+                    room[e ^ 1] += most
+                path = path[: next(k for k, e in enumerate(path) if not room[e])]
+                a = to[path[-1]] if path else start
+            while arc[a] < len(out[a]):
+                e = out[a][arc[a]]
+                if level[to[e]] == level[a] + 1 and open_(e, a):
+                    break
+                arc[a] += 1
+            else:
+                if not path:
+                    return
+                level[a] = -1
+                a = to[path.pop() ^ 1]
+                arc[a] += 1
+                continue
+            path.append(e)
+            a = to[e]
+
+    while distances():
+        while levels():
+            push()
+    return [room[2 * k + 1] for k in range(len(edges))]
 
 
 def route(patterns: dict[tuple, int], quota: dict, most: int = MOST) -> dict[tuple, dict]:
@@ -136,7 +174,8 @@ def mix(docs: DataFrame, *, sources: Column | None = None, weights: Sequence[flo
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
     draw = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}")).cast("binary")), 1, _DIGITS), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("i"), member.alias("sources"), words(F.col(text_col).cast("string")).alias("size"), draw.alias("draw"), F.struct(F.lit(0).alias("_"), *keep).alias("own"))
-    rows = space.put(rows.withColumn("bucket", F.shiftright("draw", 4 * _DIGITS - BUCKETS.bit_length() + 1).cast("int")), "rows")
+    # numbered, so that equal rows can be told apart
+    rows = space.put(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.shiftright("draw", 4 * _DIGITS - BUCKETS.bit_length() + 1).cast("int")), "rows")
 
     found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(PATTERNS + 1).collect()
     if len(found) > PATTERNS:
@@ -161,17 +200,17 @@ def mix(docs: DataFrame, *, sources: Column | None = None, weights: Sequence[flo
     upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy("bucket"))).join(plan.select("p", "rest"), "p")
     last = space.put(upto.where("upto > rest").groupBy("p").agg(F.min("bucket").alias("last"), F.min(F.col("upto") - F.col("n")).alias("below")), "last")
     ends = rows.join(F.broadcast(last), "p").where("bucket = last").join(plan.select("p", "rest"), "p")
-    order = Window.partitionBy("p").orderBy("draw", "i", "size").rowsBetween(Window.unboundedPreceding, 0)
-    ends = space.put(ends.withColumn("sum", F.col("below") + F.sum("size").over(order)).select("i", "p", "size", "draw", "below", "rest", "sum", F.row_number().over(Window.partitionBy("p").orderBy("draw", "i", "size")).alias("k")), "ends")
+    order = Window.partitionBy("p").orderBy("draw", "i", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    ends = space.put(ends.withColumn("sum", F.col("below") + F.sum("size").over(order)).select("i", "p", "size", "draw", "row", "below", "rest", "sum"), "ends")
     # what the prefix leaves open, and the first document that isn't in it
-    stop = ends.groupBy("p").agg(F.max(F.when(F.col("sum") <= F.col("rest"), F.col("sum"))).alias("full"), F.min("below").alias("below"), F.max("rest").alias("rest"), F.min(F.when(F.col("sum") > F.col("rest"), F.struct("draw", "i", "size"))).alias("stop"))
+    stop = ends.groupBy("p").agg(F.max(F.when(F.col("sum") <= F.col("rest"), F.col("sum"))).alias("full"), F.min("below").alias("below"), F.max("rest").alias("rest"), F.min(F.when(F.col("sum") > F.col("rest"), F.struct("draw", "i", "size", "row"))).alias("stop"))
     stop = stop.select("p", (F.col("rest") - F.coalesce("full", "below")).alias("gap"), "stop")
     rows = rows.join(plan, "p", "left").join(F.broadcast(stop), "p", "left")
-    place = F.struct("draw", "i", "size")
+    place = F.struct("draw", "i", "size", "row")
     rows = rows.withColumn("extra", F.coalesce((F.col("rest") > 0) & (F.col("stop").isNull() | (place < F.col("stop"))), F.lit(False)))
     off = F.abs(F.col("gap") - F.col("size"))
-    closing = rows.where((~F.col("extra")) & (F.col("gap") > 0) & (off < F.col("gap"))).groupBy("p").agg(F.min(F.struct(off.alias("off"), "draw", "i", "size")).alias("c")).select("p", F.col("c.draw").alias("cd"), F.col("c.i").alias("ci"), F.col("c.size").alias("cs"))
+    closing = rows.where((~F.col("extra")) & (F.col("gap") > 0) & (off < F.col("gap"))).groupBy("p").agg(F.min(F.struct(off.alias("off"), "draw", "i", "size", "row")).alias("c")).select(F.col("p").alias("cp"), F.col("c.row").alias("cr"))
     closing = F.broadcast(closing.withColumn("closes", F.lit(True)))
-    rows = rows.join(closing, (rows["p"] == closing["p"]) & (F.col("draw") == F.col("cd")) & F.col("i").eqNullSafe(F.col("ci")) & (F.col("size") == F.col("cs")) & ~F.col("extra"), "left")
+    rows = rows.join(closing, (F.col("p") == F.col("cp")) & (F.col("row") == F.col("cr")), "left")
     copies = F.col("base") + F.when(F.col("extra") | F.coalesce("closes", F.lit(False)), 1).otherwise(0)
     return rows.select(F.col("i").alias(id_col), *(F.col(f"own.{c}") for c in keep), "sources", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
