@@ -20,8 +20,9 @@ only save work, the less the farther vectors are from their approximations. Code
 vectors over the table's largest component, divided in double precision, and squares that leave the
 range of doubles are scaled first, so that huge and tiny vectors are told apart as well.
 
-Null vectors, zero vectors and those with null or non-finite components take no part, nor do
-those of another than the commonest length (the smaller one of equals). Ties go to the smaller id.
+Null vectors, zero vectors and those with null or non-finite components take no part. There is no distance
+between vectors of different lengths, so each length that a query has (``LENGTHS`` at most, more are refused)
+is a table with an index of its own. Ties go to the smaller id.
 Equal rows are one. Where an id has several vectors, each is a candidate, the least is the query, and
 none is a neighbour of its own id. An empty table gives an empty result; a text or other column beside
 the id and the vector, of whatever name or length, isn't read.
@@ -42,6 +43,8 @@ STAGES, WORDS, BEAM = 16, 256, 8
 SAMPLE, KMEANS, REFITS = 20_000, 12, 2
 QUERIES, DEPTH = 8192, 400
 _SALTS = 32
+#: Lengths of vectors that have an index, one after another.
+LENGTHS = 1000
 #: What rounding may add to a lookup in single precision, or a product in double precision, in proportion to its terms.
 _ROUND, _FINE = 1e-4, 1e-11
 
@@ -211,13 +214,20 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 10, depth: int = DEPT
     spark = rows.sparkSession
     space = Workspace(spark, "ann")
     good = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks")).where(usable(F.col("v")))
-    sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").head(1)
-    schema = f"query_id long, rank int, {id_col} long, score double"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dim = sizes[0].dim
-    good = space.put(good.where(F.size("v") == dim), "good")
+    good = space.put(good.withColumn("dim", F.size("v")), "good")
+    lengths = [r.dim for r in good.where("asks").select("dim").distinct().orderBy("dim").limit(LENGTHS + 1).collect()]
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"vectors of over {LENGTHS} lengths")
+    out = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
+    for dim in lengths:
+        found = _nearest_of(Workspace(spark, "ann"), good.where(F.col("dim") == dim).select("i", "v", "asks"), dim, k, depth, id_col, seed)
+        out = found if len(lengths) == 1 else out.unionByName(found)
+    return out
+
 
+def _nearest_of(space: Workspace, good: DataFrame, dim: int, k: int, depth: int, id_col: str, seed: int) -> DataFrame:
+    """``nearest`` of usable vectors (i, v, asks) of one length, one of which asks at least."""
+    spark = space.spark
     # classes of equal vectors: the least ids of each, found in salted groups first
     alike = Window.partitionBy("v", "salt").orderBy("i")
     few = good.select("v", "i").distinct().withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(_SALTS))).withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k + 1)
@@ -280,8 +290,6 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 10, depth: int = DEPT
         space.put(part.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("query_id", "class"), f"near-{block}")
         names.append(f"{space.root}/near-{block}")
         shared.unpersist()
-    if not names:
-        return spark.createDataFrame([], schema)
     near = spark.read.parquet(*names).distinct()
     # classes that share a least id, as ids repeat, all come back here with their own distances
     pairs = near.join(members.select("class", "i", F.col("v").alias("w")), "class").where("i <> query_id").join(queries.select(F.col("i").alias("query_id"), "v"), "query_id")

@@ -9,12 +9,10 @@ WITH lists AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings W
 good AS (
   SELECT vec_id, v, len(v) AS dim FROM lists
   WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
-common AS (SELECT dim FROM good GROUP BY dim ORDER BY count(*) DESC, dim LIMIT 1),
-usable AS (SELECT vec_id, v FROM good JOIN common USING (dim)),
 pairs AS (
   SELECT DISTINCT q.vec_id AS query_id, c.vec_id,
     sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda s, x: s + x, CAST(0 AS DOUBLE))) AS score
-  FROM usable q JOIN usable c ON q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id),
+  FROM good q JOIN good c ON q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id AND c.dim = q.dim),
 places AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM places WHERE rank <= {k}
 """

@@ -114,6 +114,27 @@ def test_vectors_that_take_no_part(spark):
     assert [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in got] == [(0, 1, 8, 0.5), (0, 2, 7, round(2**0.5, 6))]
 
 
+def test_each_length_has_neighbours_of_its_own(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(k, rng.standard_normal(3 if k % 4 else 2 if k % 8 else 7).tolist()) for k in range(400)] + [(4000, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, (F.col("vec_id") % 20 == 0) | (F.col("vec_id") % 50 == 1)).collect()
+    for q, v in rows:
+        if q % 20 and q % 50 != 1:
+            continue
+        alike = [(i, np.array(w)) for i, w in rows if len(w) == len(v) and i != q]
+        want = sorted((float(np.sqrt(((w - np.array(v)) ** 2).sum())), i) for i, w in alike)[:10]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for _, i in want]
+    con = duckdb.connect()
+    embeddings = df.where("vec_id % 100 = 0 or vec_id < 300").toPandas()  # noqa: F841  DuckDB reads it by name
+    con.sql("CREATE TABLE embeddings AS SELECT * FROM embeddings")
+    near = ann.nearest(df.where("vec_id % 100 = 0 or vec_id < 300"), F.col("vec_id") % 100 == 0).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in sorted(near)] == [x[:3] for x in sorted(con.sql(ORACLE_SQL["op9_additive_quantisation"]).fetchall())]
+    monkeypatch.setattr(ann, "LENGTHS", 1)
+    with pytest.raises(ValueError, match="lengths"):
+        ann.nearest(df, F.col("vec_id") % 20 == 0)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     got = ann.nearest(df, F.lit(True))
