@@ -61,7 +61,7 @@ _SOFT = frozenset("!|(<+^")
 _EDGES = ".,;:?\"'()[]{}…«»“”„‘’-"
 _RUN = re.compile(r"(.)\1\1")
 _TAIL = re.compile(r"([^\w\s])\1\1+$|^([^\w\s])\2\2+|[#&%*~]+$|^[#&%*~]+")
-_SPACED = re.compile(r"(?<!\S)[\"'(\[]?\S(?:\s{1,3}\S){2,}[.,;:!?\"')\]]*(?!\S)")
+_SPACED = re.compile(r"(?<!\S)[\"'(\[]?\S(?:\s+\S){2,}[.,;:!?\"')\]]*(?!\S)")
 
 
 def _symbol(c: str) -> int:

@@ -16,7 +16,7 @@ def restorer(spark):
 
 @pytest.mark.parametrize(
     ("hidden", "plain"),
-    [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("i d i o t", "idiot"), ("stuuuupid", "stupid"), ("$tup1d", "stupid"), ("M0R0N", "moron"), ("l0ser", "loser"), ("tr@sh", "trash"), ("y o u m o r o n", "you moron"), ("p4th3tic", "pathetic"), ("s_c_u_m", "scum"), ("cl0wn!!!", "clown"), ("end.the", "end the"), ("The, river?", "the river"), ("thoner$$$", "thoner")],
+    [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("i d i o t", "idiot"), ("i    d \t\n  i   o\n\n\n\n\nt", "idiot"), ("stuuuupid", "stupid"), ("$tup1d", "stupid"), ("M0R0N", "moron"), ("l0ser", "loser"), ("tr@sh", "trash"), ("y o u m o r o n", "you moron"), ("p4th3tic", "pathetic"), ("s_c_u_m", "scum"), ("cl0wn!!!", "clown"), ("end.the", "end the"), ("The, river?", "the river"), ("thoner$$$", "thoner")],
 )
 def test_restores(restorer, hidden, plain):
     assert T.restore(hidden, restorer) == plain
