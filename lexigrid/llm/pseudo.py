@@ -388,7 +388,7 @@ def train(docs: DataFrame, space: Workspace, *, seed: int = 3, epochs: int = 1)
     for k in range(ROUNDS if size else 0):
         start = spark.sparkContext.broadcast(pickle.dumps(net))
         rate = RATE * 0.6**k
-        texts = rows.where(F.col("part") % ROUNDS == k).select("text", "row", F.floor(F.col("part") / ROUNDS).alias("replica"))
+        texts = rows.where(F.col("part") % ROUNDS == k).select("text", "row", F.floor(F.col("part") / ROUNDS).cast("int").alias("replica"))
 
         def run(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
             only("pseudo")
@@ -418,7 +418,7 @@ def train(docs: DataFrame, space: Workspace, *, seed: int = 3, epochs: int = 1)
             if seen:
                 yield from pieces()
 
-        dealt = texts.repartition(replicas, "replica").sortWithinPartitions("replica", "row", "text").select("text", "replica")
+        dealt = texts.repartitionById(replicas, F.col("replica")).sortWithinPartitions("replica", "row", "text").select("text", "replica")
         found = averaged(dealt.mapInArrow(run, PIECE_SCHEMA), replicas).collect()
         start.unpersist()
         if found:
