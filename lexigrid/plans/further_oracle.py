@@ -42,6 +42,7 @@ add(
     "SELECT x.* EXCLUDE (k1, k2, k3, k4), coalesce(k1, k2, k3, k4) AS known_from, src.language FROM (SELECT * FROM s1 FULL JOIN s2 USING (folio) FULL JOIN s3 USING (folio) FULL JOIN s4 USING (folio)) x JOIN src USING (folio)",
     BASE, PG, NM, TRANS, TM, AT, PM, PLACED, SM, *(f"\ns{k} AS (SELECT *, '{name}' AS k{k} FROM {m} WHERE folio % {n} = 0)" for k, (m, name, n) in enumerate(_tables, 1)),
 )
+add("page_metrics_joined", O.ORACLE_SQL["page_metrics_full_join"])
 add("box_glyphs_by_label", "SELECT quality, toxic, count(*) AS pages, CAST(sum(n) AS BIGINT) AS glyphs FROM (SELECT folio, count(*) AS n FROM pix GROUP BY folio) JOIN labels ON doc_id = folio GROUP BY ALL", BASE, BOXES)
 add(
     "cell_pixels",

@@ -121,6 +121,13 @@ def page_metrics_first_table(spark, d):
     return _rounded(Q.M.join_first(named, ("language", "known_from")))
 
 
+@query
+def page_metrics_joined(spark, d):
+    """All metrics of a page, each kind from its own counts, joined."""
+    words = Q._page_words(spark, d)
+    return _rounded(Q.M.join_all(Q._ngram_metrics(spark, d), Q.M.transition_metrics(C.transitions(words)), Q.M.position_metrics(C.word_positions(words)), Q._grid_metrics(spark, d)))
+
+
 @query
 def box_glyphs_by_label(spark, d):
     """Glyphs with pixel positions by labels; pages without labels are in no group."""

@@ -522,8 +522,8 @@ def page_metrics_spatial(spark, d):
 
 @query
 def page_metrics_full_join(spark, d):
-    words = _page_words(spark, d)
-    return _rounded(M.join_all(_ngram_metrics(spark, d), M.transition_metrics(C.transitions(words)), M.position_metrics(C.word_positions(words)), _grid_metrics(spark, d)))
+    """All metrics of the pages that have any, from one explode of their text."""
+    return _rounded(M.page_metrics(_words(spark, d), *G.TEXT_GRIDS["coarse"]))
 
 
 @query

@@ -102,3 +102,9 @@ def test_overlaps_scan_each_table_once(spark):
     plan = executed(spark, "group_overlap_stats")
     assert plan.count("FileScan parquet") == 2
     assert "Expand" in plan
+
+
+def test_page_metrics_read_each_text_once(spark):
+    plan = executed(spark, "page_metrics_full_join")
+    assert plan.count("FileScan parquet") == 1
+    assert plan.count("Exchange hashpartitioning(folio") <= 2
