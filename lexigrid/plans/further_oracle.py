@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.profiles import EVA_DISTINCT
 from ..operators import groups as R
 from . import oracle as O
-from .more_oracle import _JOINED
+from .more_oracle import _JOINED, LDENSE, LINES, LPROF
 from .oracle import AT, BASE, BOXES, G1, MEMBERS, NM, PAGES, PG, PLACED, PM, PROFILE, SM, TM, TRANS, _q, add
 
 _glyph = f"from_tok NOT IN {O._border} AND to_tok NOT IN {O._border}"
@@ -15,6 +15,18 @@ _wide = ", ".join(f"CAST(coalesce(sum(n) FILTER (to_tok = '{c}'), 0) AS BIGINT)
 add("markov_matrix_wide", f"SELECT language, from_tok, {_wide} FROM bylang WHERE {_glyph} GROUP BY ALL", BASE, TRANS)
 add("markov_matrix_wide_and_back", f"SELECT * FROM bylang WHERE {_glyph}", BASE, TRANS)
 add("groups_written_and_read", f"SELECT agg, from_tok, to_tok, CAST(sum(n) AS BIGINT) AS n FROM trans {_JOINED}", BASE, TRANS, PAGES, MEMBERS)
+add("pages_written_and_read", "SELECT p.folio, quire, illustration, language, hand, coalesce(total, 0) AS total, coalesce(kinds, 0) AS kinds FROM pages p LEFT JOIN (SELECT folio, CAST(sum(n) AS BIGINT) AS total, count(*) AS kinds FROM trans GROUP BY folio) USING (folio)", BASE, TRANS, PAGES)
+add("ratio_profiles_nested_and_back", "SELECT language, glyph, length, pos, round(ratio, 6) AS ratio FROM dense WHERE ratio <> 0", BASE, LINES, LPROF, LDENSE)
+_transcribed = """SELECT 'f' || doc_id || 'r' AS folio, CASE WHEN doc_id % 3 = 0 THEN 'B' ELSE coalesce(lang, '') END AS language, '' AS hand,
+  array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: (i - 1) % 4 <> 2), lambda i: regexp_replace(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+', '.', 'g')), chr(10)) AS body
+FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)"""
+add(
+    "command_line_ngrams",
+    """SELECT agg, page_count, n, ngram, cnt, round(cnt / sum(cnt) OVER (PARTITION BY agg, n), 6) AS freq FROM (
+  SELECT 'all' AS agg, n, ngram, CAST(sum(cnt) AS BIGINT) AS cnt FROM grams GROUP BY ALL UNION ALL SELECT 'language_b', n, ngram, cnt FROM grams WHERE language = 'B')
+JOIN (SELECT 'all' AS agg, count(*) AS page_count FROM src UNION ALL SELECT 'language_b', count(*) FROM src WHERE language = 'B') USING (agg)""",
+    O._base(_transcribed), O.G123,
+)
 _shown = "(VALUES " + ", ".join(f"({_q(g.name)}, {k})" for k, g in enumerate(sorted(R.DOCUMENTS, key=lambda g: len(g.where) > 1), 1)) + ") AS d(agg, place)"
 add("groups_in_display_order", f"SELECT d.agg, d.place, count(m.folio) AS page_count FROM {_shown} LEFT JOIN members m ON m.agg = d.agg GROUP BY ALL", PAGES, MEMBERS)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import cli
 from ..functions import scale as S
 from ..functions import text as T
 from ..functions.profiles import EVA_DISTINCT
@@ -19,6 +20,7 @@ from ..streaming import pages as P
 from . import queries as Q
 from .more_queries import ATTRIBUTES
 from .queries import LANG, _corpus, _rounded, _table, _transitions, _words, query
+from .source_queries import transcription_page
 
 TOKENS = tuple(EVA_DISTINCT.order)
 
@@ -57,6 +59,39 @@ def groups_written_and_read(spark, d):
     return X.long_transitions(X.read(spark, at, "json", "agg string, transitions map<string, bigint>"), "agg")
 
 
+@query
+def pages_written_and_read(spark, d):
+    """Each page with its attributes and transitions as JSON, and what a reader finds there."""
+    corpus = _corpus(spark, d, labels=True)
+    counts = C.transitions(corpus.by_page().words(), by=("folio",))
+    at = new_folder(spark, "pages")
+    X.write(X.nested_transitions(counts, "folio").join(corpus.pages, "folio", "right"), at, "json")
+    schema = "folio bigint, quire string, illustration string, language string, hand string, transitions map<string, bigint>"
+    pages = X.read(spark, at, "json", schema)
+    known = pages.select("folio", "quire", "illustration", "language", "hand")
+    found = X.long_transitions(pages, "folio").groupBy("folio").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    return known.join(found, "folio", "left").fillna(0, ["total", "kinds"])
+
+
+@query
+def ratio_profiles_nested_and_back(spark, d):
+    rows = C.dense_profile(C.length_profile(_words(spark, d), "line", 12, LANG), 12, LANG)
+    return X.long_profile(X.nested_profile(rows, "language"), ["language"], "ratio").withColumn("ratio", F.round("ratio", 6))
+
+
+@query
+def command_line_ngrams(spark, d):
+    """What the command line makes of a transcription of all documents, for two of its groups."""
+    at = new_folder(spark, "command-line")
+    _table(spark, d, "documents").select(F.array_join(transcription_page(), "\n").alias("value")).write.text(f"{at}/in")
+    args = cli.parser().parse_args(["ngram", "--input", f"{at}/in", "--output", f"{at}/out", "--aggregations", "all", "language_b", "--min-count", "1"])
+    for name, rows in cli.tables(spark, args).items():
+        if name in ("frequencies", "manifest"):
+            X.write(rows, f"{at}/out/{name}")
+    rows = spark.read.parquet(f"{at}/out/frequencies").join(spark.read.parquet(f"{at}/out/manifest"), "agg")
+    return rows.select("agg", "page_count", "n", "ngram", "cnt", F.round("freq", 6).alias("freq"))
+
+
 @query
 def groups_in_display_order(spark, d):
     shown = {g.name: k for k, g in enumerate(R.display_order(R.DOCUMENTS), 1)}

@@ -15,7 +15,7 @@ from ..sources.shared import new_folder
 from .queries import LANG, _coarse, _table, _transitions, _words, query
 
 
-def _transcription() -> Column:
+def transcription_page() -> Column:
     """The lines of each document as a transcription of one page, with a header, a comment on the
     language in some, and loci of several types. Letters of a to z stay, others part words."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
@@ -35,7 +35,7 @@ def _transcription() -> Column:
 def _transcribed(spark, d) -> DataFrame:
     """(file, at, line): a file for each document."""
     docs = _table(spark, d, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(_transcription()).alias("at", "line"))
+    return docs.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(transcription_page()).alias("at", "line"))
 
 
 @query
@@ -52,7 +52,7 @@ def transcription_lines(spark, d):
 def transcription_files(spark, d):
     """The same lines from files of many pages each, which are written first and read in blocks."""
     at = new_folder(spark, "transcription")
-    _table(spark, d, "documents").select(F.array_join(_transcription(), "\n").alias("value")).write.text(at)
+    _table(spark, d, "documents").select(F.array_join(transcription_page(), "\n").alias("value")).write.text(at)
     return S.read_lines(spark, at).select("folio", "line_idx", "line_num", "locus_type", "para_start", "para_end", "text")
 
 
