@@ -7,6 +7,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +38,23 @@ def small_batches(spark: SparkSession, most: int = 2000, size: int = 2 << 20) ->
             spark.conf.set(key, str(value))
 
 
+_SCRATCH: list[list[Workspace]] = []
+
+
 class Workspace:
     """Tables that one operator call writes to the shared folder to cut its lineage.
 
     A table written here survives lost executors, unlike cached blocks. ``drop`` removes
-    those that no later plan reads.
+    those that no later plan reads. Results are lazy and read what is left, so that stays, unless the
+    operator is called inside ``scratch``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if _SCRATCH:
+            _SCRATCH[-1].append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
@@ -57,13 +64,25 @@ class Workspace:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Without names: all of it."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What operators called inside have written to the shared folder is removed at the end; their results must have been written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for space in _SCRATCH.pop():
+            space.drop()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
