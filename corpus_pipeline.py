@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm import bpe, minhash, mixing, suffix, toxicity
-from lexigrid.llm.common import DOCUMENT_COLUMNS, Workspace, held_out, table
+from lexigrid.llm.common import DOCUMENT_COLUMNS, Workspace, held_out, scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,9 +80,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; of what came before, only the last stage's result is left there."""
     space = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = space.put(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = space.put(stage(spark, docs, sf_dir), name)
+        if before:
+            space.drop(before)
+        before = name
     return docs
