@@ -1,3 +1,4 @@
+import os
 import re
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from lexigrid.llm.common import Workspace, table
+from lexigrid.llm.common import Workspace, shared_dir, table
 from lexigrid.llm.suffix import _borders as borders
 from tests.llm.test_minhash import brute as near_groups
 from tests.llm.test_suffix import brute as repeats
@@ -111,7 +112,10 @@ def test_cuts_inside_characters():
 
 
 def test_run(spark, stages):
+    there = set(os.listdir(shared_dir(spark)))
     got, want = P.run(spark, SF), stages[-1]
+    (left,) = set(os.listdir(shared_dir(spark))) - there
+    assert os.listdir(f"{shared_dir(spark)}/{left}") == ["bpe"]
     assert got.count() == want.count()
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert P.ORACLE_SQL is None
