@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Stands before the two tokens of a border's item, and between them; no glyph is one.
+_MARK = "\x01"
+
+
 def _grams(word: Column, n: int) -> Column:
     size = F.length(word) - (n - 1)
     return F.when(size >= 1, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
@@ -61,19 +65,33 @@ def top(counts: DataFrame, by: tuple[str, ...], measure: Column, token: str, k:
     return counts.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def dense_bigrams(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """(*by, a, b, cnt, freq) for all pairs of glyphs that occur in a group; the alphabet is small and bounded."""
-    letters = counts.where("n = 1").select(*by, "ngram").distinct()
-    square = letters.withColumnRenamed("ngram", "a").join(letters.withColumnRenamed("ngram", "b"), list(by))
-    pairs = counts.where("n = 2").select(*by, F.substring("ngram", 1, 1).alias("a"), F.substring("ngram", 2, 1).alias("b"), "cnt")
-    total = pairs.groupBy(*by).agg(F.sum("cnt").alias("total"))
-    out = square.join(pairs, [*by, "a", "b"], "left").join(total, list(by), "left")
-    cnt = F.coalesce("cnt", F.lit(0)).cast("long")
-    return out.select(*by, "a", "b", cnt.alias("cnt"), F.coalesce(cnt / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)).alias("freq"))
+def _square(rows: DataFrame, by: tuple[str, ...], tokens: Column, pair: Column, value: Column, ends: tuple[str, str]) -> DataFrame:
+    """(*by, *ends, value, total) for all pairs of a group's tokens, 0 where missing.
 
+    A group is one row with its tokens and counts, as alphabets are small and bounded: one aggregate
+    gives both, so ``rows`` is made once.
+    """
+    known = F.sort_array(F.collect_set(tokens)).alias("tokens")
+    counts = F.map_from_entries(F.collect_list(F.when(pair.isNotNull(), F.struct(pair, value)))).alias("counts")
+    wide = rows.groupBy(*by).agg(known, counts, F.sum(F.when(pair.isNotNull(), value)).alias("total"))
+    a, b = ends
+    wide = wide.withColumn(a, F.explode("tokens")).withColumn(b, F.explode("tokens"))
+    return wide.select(*by, a, b, F.coalesce(F.try_element_at("counts", F.concat(a, F.lit(_MARK), b)), F.lit(0)).cast("long").alias("value"), "total")
 
-#: Stands before the two tokens of a border's item, and between them; no glyph is one.
-_MARK = "\x01"
+
+def dense_bigrams(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, a, b, cnt, freq) for all pairs of glyphs that occur in a group."""
+    one, two = F.when(F.col("n") == 1, F.col("ngram")), F.when(F.col("n") == 2, F.concat(F.substring("ngram", 1, 1), F.lit(_MARK), F.substring("ngram", 2, 1)))
+    out = _square(counts.where("n <= 2"), by, one, two, F.col("cnt"), ("a", "b"))
+    return out.select(*by, "a", "b", F.col("value").alias("cnt"), F.coalesce(F.col("value") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)).alias("freq"))
+
+
+def dense_transitions(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, from_tok, to_tok, n) for all pairs of tokens that occur on either end in a group."""
+    ends = counts.select(*by, "from_tok", "to_tok", "n", F.explode(F.array("from_tok", "to_tok")).alias("tok"))
+    pair = F.when(F.col("tok") == F.col("from_tok"), F.concat("from_tok", F.lit(_MARK), "to_tok"))
+    out = _square(ends.distinct(), by, F.col("tok"), pair, F.col("n"), ("a", "b"))
+    return out.select(*by, F.col("a").alias("from_tok"), F.col("b").alias("to_tok"), F.col("value").alias("n"))
 
 
 def border(a: Column, b: Column) -> Column:

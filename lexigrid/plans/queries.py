@@ -204,10 +204,7 @@ def conversation_transitions(spark, d):
 
 @query
 def markov_matrix_dense(spark, d):
-    rows = _transitions(spark, d, word=True, line=True, para=True, page=True)
-    tokens = C.charset(rows, LANG).select("language", "tok")
-    square = tokens.withColumnRenamed("tok", "from_tok").join(tokens.withColumnRenamed("tok", "to_tok"), "language")
-    return square.join(rows, ["language", "from_tok", "to_tok"], "left").fillna(0, ["n"])
+    return C.dense_transitions(_transitions(spark, d, word=True, line=True, para=True, page=True), LANG)
 
 
 @query

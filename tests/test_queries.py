@@ -91,8 +91,8 @@ def test_filters_reach_the_scan(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string>" in plan
 
 
-@pytest.mark.parametrize("name", ["markov_diff", "ngram_diff_topk", "wordpos_diff", "pagepos_diff", "pagepos_blur_diff", "unigram_diff", "markov_max_abs_diff"])
-def test_both_sides_of_a_difference_come_from_one_scan(spark, name):
+@pytest.mark.parametrize("name", ["markov_diff", "ngram_diff_topk", "wordpos_diff", "pagepos_diff", "pagepos_blur_diff", "unigram_diff", "markov_max_abs_diff", "bigram_matrix_dense", "markov_matrix_dense"])
+def test_texts_are_read_once(spark, name):
     plan = executed(spark, name)
     assert plan.count("FileScan parquet") == 1
     assert not re.search(r"ReadSchema: struct<[^>]*n_chars", plan)
