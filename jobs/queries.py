@@ -7,6 +7,7 @@ it stands after the second run.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexigrid.operators.counts import POSITIONS
 from lexigrid.plans import oracle as O
@@ -20,7 +21,7 @@ def job1_page_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         page_feed.run(spark, f"{sf_dir}/documents.parquet", f"{at}/out", f"{at}/checkpoint")
     rows = page_feed.read(spark, f"{at}/out")
-    return rows.withColumn("share", rows["share"].cast("decimal(12,6)").cast("double"))
+    return rows.withColumn("share", F.round("share", 6))
 
 
 def job2_publish_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def job2_publish_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         publish_groups.run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet", at)
     rows = publish_groups.read(spark, at)
-    return rows.withColumn("share", rows["share"].cast("decimal(12,6)").cast("double"))
+    return rows.withColumn("share", F.round("share", 6))
 
 
 QUERIES = {"job1_page_feed": job1_page_feed, "job2_publish_groups": job2_publish_groups}

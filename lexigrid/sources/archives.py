@@ -6,8 +6,8 @@ folders, and the usual object stores); what only Spark can open is read by ``box
 
 A member that can't be read is a row with an error instead of its text, and so is an archive that is none.
 
-Writing makes an archive of each task's rows (member, xml) under a name of its own; what tries that failed
-have left is removed when the write ends.
+Writing makes an archive of each task's rows (member, xml) under a name of its own that readers pass over; those
+of the tasks that count get their final names when all are done, so tries that failed leave nothing to read.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Part]:
         files, at = opened(self.path)
         if files.get_file_info(at).type == fs.FileType.Directory:
-            names = sorted(f.path for f in files.get_file_info(fs.FileSelector(at)) if f.path.lower().endswith(".zip"))
+            names = sorted(f.path for f in files.get_file_info(fs.FileSelector(at)) if f.path.lower().endswith(".zip") and not posixpath.basename(f.path).startswith(("_", ".")))
             names = [f"{self.path.rstrip('/')}/{posixpath.basename(n)}" for n in names]
         else:
             names = [self.path]
@@ -123,7 +123,7 @@ class _Writer(DataSourceWriter):
         out = None
         for row in rows:
             if archive is None:
-                out = files.open_output_stream(f"{at}/{name}")
+                out = files.open_output_stream(f"{at}/_{name}")
                 archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
             # a fixed time, so that equal rows make equal archives
             archive.writestr(zipfile.ZipInfo(row["member"], (1980, 1, 1, 0, 0, 0)), (row["xml"] or "").encode())
@@ -133,18 +133,24 @@ class _Writer(DataSourceWriter):
         out.close()
         return Written(name)
 
-    def _remove(self, keep: set[str], own: bool) -> None:
+    def _remove(self, begin: str) -> None:
         files, at = opened(self.path)
         for f in files.get_file_info(fs.FileSelector(at, allow_not_found=True)):
-            name = posixpath.basename(f.path)
-            if name.endswith(".zip") and name not in keep and (name.startswith(f"part-{self.run}-") or not own):
+            if posixpath.basename(f.path).startswith(begin) and f.path.endswith(".zip"):
                 files.delete_file(f.path)
 
     def commit(self, messages: list[Written | None]) -> None:
-        self._remove({m.name for m in messages if m and m.name}, own=not self.overwrite)
+        files, at = opened(self.path)
+        if self.overwrite:
+            self._remove("part-")
+        for m in messages:
+            if m and m.name:
+                files.move(f"{at}/_{m.name}", f"{at}/{m.name}")
+        self._remove(f"_part-{self.run}-")
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._remove(set(), own=True)
+        # a task that still runs may leave a file of this run after this, which no reader sees
+        self._remove(f"_part-{self.run}-")
 
 
 def register(spark: SparkSession) -> None:

@@ -74,7 +74,8 @@ def test_invariants(words):
 
 
 def executed(spark, name):
-    """The physical plan as it is laid out before it runs."""
+    """The physical plan as it is laid out before it runs, without what other tests have cached."""
+    spark.catalog.clearCache()
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
@@ -85,6 +86,7 @@ def executed(spark, name):
 
 def test_filters_reach_the_scan(spark):
     """Rows of other languages are left out by the scan, and no column is read that isn't needed."""
+    spark.catalog.clearCache()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = corpus.from_documents(docs, spread=False).words().where("language = 'en'")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"(?:DataFilters|PartitionFilters): \[[^\]]*lang", plan)
