@@ -124,7 +124,7 @@ class _Writer(DataSourceWriter):
         for row in rows:
             if archive is None:
                 out = files.open_output_stream(f"{at}/_{name}")
-                archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
             # a fixed time, so that equal rows make equal archives
             archive.writestr(zipfile.ZipInfo(row["member"], (1980, 1, 1, 0, 0, 0)), (row["xml"] or "").encode())
         if archive is None:

@@ -286,3 +286,21 @@ def test_command_line(spark, path, folder, tmp_path, analysis):
 
 def test_command_line_without_input(spark, tmp_path):
     assert cli.main(["markov", "--input", str(tmp_path / "none.txt"), "--output", str(tmp_path)]) == 1
+
+
+def test_plain_pages_are_parsed_as_others(spark):
+    """Pages that are parsed in batches have the content that Spark's parser gives them, and it alone decides on others."""
+    word = lambda k, x, more="": f'<word index="{k}" x="-7"{more}>{x}</word>'
+    plain = [f'<folio name="f{k}r" width="9">{body}</folio>\n' for k, body in enumerate(("", word(0, " ab\n") + "\n" + word(1, "é>"), word(2, "007", ' height="007"') * 2))]
+    odd = [f'<folio name="g{k}r">{body}</folio>' for k, body in enumerate((word(0, "a&amp;b"), word(0, "a") + word(1, "b", ' y="1"'), word(0, "x<i>y</i>"), word(0, "]]>"), word(0, "a", ' x="1"'), word("1.5", "a"), word("99999999999", "a"), word(0, "<!-- no -->a"), "text" + word(0, "a"), word(0, "\x01"), "<word>a</word>", word(0, "")))]
+    odd += ["", "no page", plain[1][:-5], plain[1] + "<folio/>", "<?xml version='1.0'?>" + plain[2], plain[2].replace("folio", "page"), plain[2].replace('"9"', "'9'")]
+    assert all(map(boxes.plain_page, plain))
+    rows = spark.createDataFrame([(x, None) for x in (*plain, *odd, None)], "xml string, error string")
+    general = F.from_xml("xml", boxes.SCHEMA + ", _malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    wide = rows.select(F.explode_outer(F.array(general)).alias("p")).cache()
+    bad = sorted(wide.where("p._malformed is not null").select("p._malformed").toPandas()["_malformed"])
+    pages = wide.select(F.when(F.col("p._malformed").isNull(), F.col("p")).alias("page"), F.lit(None).cast("string").alias("error"))
+    got, want = boxes.boxes_in(boxes.parsed(rows)), boxes.boxes_in(pages.select("error", F.struct(*(F.col(f"page.{c}").alias(c) for c in ("_name", "_width", "_height", "_wordCount", "word"))).alias("page")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert boxes.parsed(rows).where("error is not null").count() == len(bad) > 5
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
