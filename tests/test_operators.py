@@ -128,3 +128,11 @@ def test_catalogue_preloads(spark, published):
     assert set(found.kept) == {("counts", "a"), ("counts", "b")}
     assert found.preload("counts", ["a"]) == 1
     found.clear()
+
+
+def test_places_of_many_rows(spark):
+    """Borders of ranges are sampled where a table is large; all rows keep their places, whatever columns are used."""
+    ids = spark.range(0, 60000, numPartitions=6).selectExpr("concat('q', id % 20) as quire", "id as page", "named_struct('a', id, 'b', concat('f', id)) as key")
+    got = D.places(ids, "quire", "key", parts=12).select("quire", "page", "place")
+    assert got.count() == 60000
+    assert got.where("place <> page div 20 + 1 or quire <> concat('q', page % 20)").isEmpty()
