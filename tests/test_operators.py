@@ -5,11 +5,17 @@ import shutil
 import time
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
+from lexigrid.functions.profiles import EVA_DISTINCT
 from lexigrid.operators import compare as D
+from lexigrid.operators import counts as C
+from lexigrid.operators import grids as G
 from lexigrid.operators import groups as R
+from lexigrid.operators import pages as P
+from lexigrid.sources import corpus
 from lexigrid.sources import results as X
 
 
@@ -136,3 +142,38 @@ def test_places_of_many_rows(spark):
     got = D.places(ids, "quire", "key", parts=12).select("quire", "page", "place")
     assert got.count() == 60000
     assert got.where("place <> page div 20 + 1 or quire <> concat('q', page % 20)").isEmpty()
+
+
+def test_near_places_in_a_crowd(spark):
+    """Many points close to many places: the closest is found without looking at all of them."""
+    points = spark.range(4000, numPartitions=4).selectExpr("id", "500000 + pmod(hash(id), 3000) as x", "500000 + pmod(hash(id, 1), 3000) as y")
+    spots = spark.range(400).selectExpr("id as spot", "500000 + pmod(hash(id, 2), 3000) as x", "500000 + pmod(hash(id, 3), 3000) as y").unionByName(spark.range(1).selectExpr("-1L as spot", "440000 as x", "501000 as y"))
+    near = D.near_places(points, spots, 100000, "id", "spot")
+    p, s = points.toPandas().astype("int64"), spots.toPandas().astype("int64")
+    best = lambda r: min(zip((p.x - r.x) ** 2 + (p.y - r.y) ** 2, p.id, strict=True))
+    assert sorted((r.spot, r.squared, r.id) for r in near.collect()) == sorted((r.spot, *best(r)) for r in s.itertuples())
+    # what the join makes, before the closest are picked, is far from all 1.6 million pairs
+    seen = Observation()
+    wide = D.pairs_near(points, spots, 100000, "id", "spot").observe(seen, F.count(F.lit(1)).alias("n"))
+    wide.write.format("noop").mode("overwrite").save()
+    assert 401 <= seen.get["n"] < 100000
+
+
+def test_page_items_are_the_counts_of_lines(spark):
+    """Counts within a page are those of its exploded lines, for null, empty and repeated pages too."""
+    texts = ["The quick cheese\n\nis it in iiii? Shoo", None, "", "\n", "one\n", "\ntwo words\n12 - ", "a", "a b\nckh cthee " * 30, "again\nand again"]
+    docs = spark.createDataFrame([(min(k, 7), x, "en", "s") for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    source = corpus.from_documents(docs)
+    items = P.page_items(source.normalised(), EVA_DISTINCT, 5, 10).cache()
+    words = source.words()
+    of = lambda kind, *c: sorted(map(tuple, items.where(F.col("kind") == kind).select("folio", *c).collect()))
+    rows = lambda df, *c: sorted(map(tuple, df.select("folio", *c).collect()))
+    assert of(P.PAIR, "a", "b", "n") == rows(C.transitions(words), "from_tok", "to_tok", "n")
+    assert of(P.GLYPH, "a", "n0", "n1", "n2", "n3", "n") == rows(C.word_positions(words), "glyph", *C.POSITIONS, "total")
+    near = C.length_profile(words, "word", 9).groupBy("folio").agg(F.sum("n").alias("n"))
+    assert of(P.NEAR, "n") == rows(near, "n")
+    assert of(P.TRIGRAMS, "n") == rows(C.ngrams(words, (3,)).groupBy("folio").agg(F.sum("cnt").alias("n")), "n")
+    once = docs.where("text not like 'again%'")  # cells of a repeated page are by each of its rows
+    lines, grid = corpus.from_documents(once).words(), P.page_items(corpus.from_documents(once).normalised(), EVA_DISTINCT, 5, 10)
+    cells = G.total_grid(G.histogram(G.place(lines, False), "x_page", "y_page", 5, 10), ("folio",))
+    assert sorted(map(tuple, grid.where("kind = 'g'").selectExpr("folio", "int(a)", "int(b)", "n").collect())) == rows(cells, "col", "row", "n")
