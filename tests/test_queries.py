@@ -110,3 +110,9 @@ def test_page_metrics_read_each_text_once(spark):
     plan = executed(spark, "page_metrics_full_join")
     assert plan.count("FileScan parquet") == 1
     assert plan.count("Exchange hashpartitioning(folio") <= 2
+
+
+@pytest.mark.parametrize("name", ["cell_pixels", "physpos_grid_manuscript", "physpos_raw_grid", "physpos_interpolate"])
+def test_boxes_wait_for_no_other_rows(spark, name):
+    """Words find their places in their own line: no task sorts lines or words of many pages."""
+    assert "Window" not in executed(spark, name)
