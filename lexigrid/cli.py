@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ def tables(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame
     source = corpus.from_transcription(spark, args.input)
     groups = R.select(R.MANUSCRIPT, args.aggregations)
     words = source.words(profile)
+    # lines know their page's groups, so what groups need is counted without a row for each page and item
+    marked = words.join(source.pages.select("file", "page_idx", R.marks(groups)), ["file", "page_idx"])
     out: dict[str, DataFrame] = {}
 
     def both(name: str, counts: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
@@ -51,19 +54,24 @@ def tables(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame
         out[name] = rolled = R.roll_up(counts, source.pages, groups, keys, measures)
         return rolled
 
+    def counted(name: str, count: Callable[[DataFrame, tuple[str, ...]], DataFrame], keys: list[str], measures: list[str]) -> DataFrame:
+        out[f"pages_{name}"] = count(words, ("folio",))
+        out[name] = rolled = R.roll_up_marks(count(marked, (R.MARKS,)), groups, keys, measures)
+        return rolled
+
     if args.analysis == "markov":
-        rolled = both("transitions", C.transitions(words, word=args.word, line=args.line, para=args.para, page=args.page), ["from_tok", "to_tok"], ["n"])
+        rolled = counted("transitions", lambda rows, by: C.transitions(rows, by=by, word=args.word, line=args.line, para=args.para, page=args.page), ["from_tok", "to_tok"], ["n"])
         out["probabilities"] = C.probabilities(rolled, ("agg",))
     elif args.analysis == "ngram":
-        rolled = both("ngrams", C.ngrams(words), ["n", "ngram"], ["cnt"])
+        rolled = counted("ngrams", lambda rows, by: C.ngrams(rows, by=by), ["n", "ngram"], ["cnt"])
         out["frequencies"] = C.frequencies(rolled, ("agg",), args.min_count)
         out["bigram_matrix"] = C.dense_bigrams(rolled, ("agg",))
     elif args.analysis == "wordpos":
-        rolled = both("positions", C.word_positions(words, min_length=args.min_word_length), ["glyph"], [*C.POSITIONS, "total"])
+        rolled = counted("positions", lambda rows, by: C.word_positions(rows, by, args.min_word_length), ["glyph"], [*C.POSITIONS, "total"])
         out["ratios"] = C.position_ratios(rolled)
     elif args.analysis == "charpos":
         for scope, most in (("word", args.max_word_length), ("line", args.max_line_length)):
-            rolled = both(f"{scope}_profile", C.length_profile(words, scope, most), ["glyph", "length", "pos"], ["n"])
+            rolled = counted(f"{scope}_profile", lambda rows, by, scope=scope, most=most: C.length_profile(rows, scope, most, by), ["glyph", "length", "pos"], ["n"])
             out[f"{scope}_ratios"] = C.dense_profile(rolled, most, ("agg",))
     elif args.analysis == "pagepos":
         placed = G.place(words)

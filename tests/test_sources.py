@@ -284,6 +284,19 @@ def test_command_line(spark, path, folder, tmp_path, analysis):
     assert spark.read.parquet(str(tmp_path / analysis / "manifest")).count() == 2
 
 
+@pytest.mark.parametrize("analysis", ["markov", "ngram", "wordpos", "charpos"])
+def test_groups_of_the_command_line_are_counted_without_pages(spark, path, source, tmp_path, analysis):
+    """Groups' counts are those of their pages, and come from counts by kinds of pages."""
+    out = cli.tables(spark, cli.parser().parse_args([analysis, "--input", path, "--output", str(tmp_path)]))
+    for name in (n for n in out if f"pages_{n}" in out):
+        measures = [c for c, kind in out[name].dtypes if kind == "bigint" and c != "n"] or ["n"]
+        keys = [c for c in out[name].columns if c not in ("agg", *measures)]
+        rolled = R.roll_up(out[f"pages_{name}"], source.pages, R.MANUSCRIPT, keys, measures).select(out[name].columns)
+        assert not rolled.isEmpty() and rolled.exceptAll(out[name]).isEmpty() and out[name].exceptAll(rolled).isEmpty()
+        counting = [x for x in out[name]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x and (" sum(" in x or " count(" in x)]
+        assert counting and not any("folio" in x.split("], [")[0] and "min_by" not in x and "max_by" not in x for x in counting if "ngram" in x or "glyph" in x or "from_tok" in x)
+
+
 def test_command_line_without_input(spark, tmp_path):
     assert cli.main(["markov", "--input", str(tmp_path / "none.txt"), "--output", str(tmp_path)]) == 1
 
