@@ -35,7 +35,7 @@ from lexigrid.sources import corpus, results
 
 log = logging.getLogger("jobs.publish_groups")
 CONFIG = Path(__file__).with_suffix(".toml")
-GROUP = ("agg",)
+GROUP, MARKS = ("agg",), (R.MARKS,)
 
 
 def settings(path: str | Path = CONFIG) -> dict:
@@ -65,13 +65,17 @@ def run(spark: SparkSession, documents: str, labels: str, out: str, config: dict
     log.info("read %d documents from %s and %d labels from %s", docs.count(), documents, known.count(), labels)
     source = corpus.from_documents(docs, known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), spread=False)
     items = _write(C.item_counts(source.words(PROFILES[config["profile"]]), by), f"{out}/items")
-    words = C.only_words(items)
-
-    grams = R.roll_up_attributes(C.ngrams_of(words, tuple(config["sizes"]), by), groups, ["n", "ngram"], ["cnt"])
-    pairs = R.roll_up_attributes(C.transitions_of(items, by), groups, ["from_tok", "to_tok"], ["n"])
-    places = R.roll_up_attributes(C.positions_of(words, by), groups, ["glyph"], [*C.POSITIONS, "total"])
-    tables = {"ngrams": C.frequencies(grams, GROUP, config["min_count"]), "transitions": C.probabilities(pairs, GROUP), "positions": C.position_ratios(places)}
-    made = {name: _write(rows, f"{out}/{name}", by="agg") for name, rows in tables.items()}
+    # an item once for each kind of pages that the groups tell apart, which are few, and not for all values of attributes
+    marked = items.groupBy(R.marks(groups), "w").agg(F.sum("m").alias("m")).persist()
+    try:
+        words = C.only_words(marked)
+        grams = R.roll_up_marks(C.ngrams_of(words, tuple(config["sizes"]), MARKS), groups, ["n", "ngram"], ["cnt"])
+        pairs = R.roll_up_marks(C.transitions_of(marked, MARKS), groups, ["from_tok", "to_tok"], ["n"])
+        places = R.roll_up_marks(C.positions_of(words, MARKS), groups, ["glyph"], [*C.POSITIONS, "total"])
+        tables = {"ngrams": C.frequencies(grams, GROUP, config["min_count"]), "transitions": C.probabilities(pairs, GROUP), "positions": C.position_ratios(places)}
+        made = {name: _write(rows, f"{out}/{name}", by="agg") for name, rows in tables.items()}
+    finally:
+        marked.unpersist()
     viewer = results.nested_transitions(made["transitions"], "agg").join(results.nested_positions(made["positions"], "agg"), "agg", "full")
     _write(viewer, f"{out}/viewer", "json", "agg")
 

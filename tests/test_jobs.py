@@ -172,6 +172,20 @@ def test_groups_again_and_after_other_settings(spark, tmp_path):
     assert bag(publish_groups.read(spark, out)) == first
 
 
+def test_items_are_parted_once_for_each_kind_of_pages(spark, tmp_path, monkeypatch):
+    """Quires that no group tells apart don't multiply the items from which n-grams, transitions and positions come."""
+    seen = {}
+    for name in ("ngrams_of", "transitions_of", "positions_of"):
+        monkeypatch.setattr(publish_groups.C, name, lambda rows, *args, of=getattr(publish_groups.C, name), name=name: seen.update({name: rows.count()}) or of(rows, *args))
+    docs = [(k, "one two two", "en", "src1", 0) for k in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels")
+    publish_groups.run(spark, f"{tmp_path}/documents", f"{tmp_path}/labels", f"{tmp_path}/out")
+    # quire 13 and the other 19; two words, and eight borders less those that are alike
+    assert seen["ngrams_of"] == seen["positions_of"] == 4 and seen["transitions_of"] <= 20
+    assert spark.read.parquet(f"{tmp_path}/out/ngrams").where("agg = 'all' and ngram = 'o'").first().cnt == 120
+
+
 def test_what_viewers_read(spark, tmp_path):
     out = str(tmp_path / "out")
     publish_groups.run(spark, f"{SF}/documents.parquet", f"{SF}/labels.parquet", out)
