@@ -1,7 +1,9 @@
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 from lexigrid.operators import counts as C
 from lexigrid.operators.counts import ngrams
+from lexigrid.plans import further_queries
 from lexigrid.sources import corpus
 from lexigrid.streaming.counters import running_ngrams
 from lexigrid.streaming.pages import prepared, running_items
@@ -70,3 +72,13 @@ def test_lines_behind_the_watermark_are_dropped(spark, tmp_path):
     once = run_feed(spark, tmp_path / "a", batches)
     again = run_feed(spark, tmp_path / "b", batches, extra=[[("p", 3, 3, "much too late")]])
     assert once.exceptAll(again).isEmpty() and again.exceptAll(once).isEmpty()
+
+
+def test_batches_follow_the_size_of_the_feed(spark):
+    """A feed of many small files is one batch, and one that closes the pages."""
+    at = Path(spark.conf.get("spark.checkpoint.dir"))
+    known = set(at.glob("feed-*"))
+    rows = further_queries.feed_transitions(spark, SF)
+    (new,) = set(at.glob("feed-*")) - known
+    assert len(list(new.glob("lines/*.parquet"))) > 4 and len(list(new.glob("state/commits/[0-9]*"))) <= 2
+    assert rows.where("from_tok = '^^^^'").agg({"n": "sum"}).first()[0] > 0
