@@ -14,6 +14,7 @@ from lexigrid.operators import compare as D
 from lexigrid.operators import counts as C
 from lexigrid.operators import grids as G
 from lexigrid.operators import groups as R
+from lexigrid.operators import metrics as M
 from lexigrid.operators import pages as P
 from lexigrid.sources import corpus
 from lexigrid.sources import results as X
@@ -177,3 +178,19 @@ def test_page_items_are_the_counts_of_lines(spark):
     lines, grid = corpus.from_documents(once).words(), P.page_items(corpus.from_documents(once).normalised(), EVA_DISTINCT, 5, 10)
     cells = G.total_grid(G.histogram(G.place(lines, False), "x_page", "y_page", 5, 10), ("folio",))
     assert sorted(map(tuple, grid.where("kind = 'g'").selectExpr("folio", "int(a)", "int(b)", "n").collect())) == rows(cells, "col", "row", "n")
+
+
+def test_page_sums_give_the_metrics_of_items(spark):
+    """A row a page, with the metrics that its items' tables give, for pages without pairs, trigrams or glyphs too."""
+    texts = ["The quick cheese\n\nis it in iiii? Shoo", None, "", "12 - ", "a", "a b a", "on no", "a b\nckh cthee " * 30, "again\nand again"]
+    docs = spark.createDataFrame([(min(k, 7), x, "en", "s") for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    source = corpus.from_documents(docs)
+    items = P.page_items(source.normalised(), EVA_DISTINCT, 5, 10).cache()
+    of = lambda kind: items.where(F.col("kind") == kind)
+    grid = of(P.CELL).select("folio", F.col("a").cast("int").alias("col"), F.col("b").cast("int").alias("row"), "n")
+    positions = of(P.GLYPH).select("folio", F.col("a").alias("glyph"), F.col("n").alias("total"), *(F.col(f"n{k}").alias(p) for k, p in enumerate(C.POSITIONS)))
+    tables = [M.ngram_metrics(C.ngrams(source.words())), M.transition_metrics(of(P.PAIR)), M.position_metrics(positions), M.grid_metrics(grid, 5, 10)]
+    got = M.page_metrics(P.page_sums(source.normalised(), EVA_DISTINCT, 5, 10), 5, 10)
+    want = M.join_all(*tables).select(got.columns)
+    shown = lambda df: sorted(tuple(v if v is None else round(v, 9) + 0 for v in r) for r in df.collect())
+    assert len(shown(got)) == 5 and shown(got) == shown(want)

@@ -116,3 +116,11 @@ def test_page_metrics_read_each_text_once(spark):
 def test_boxes_wait_for_no_other_rows(spark, name):
     """Words find their places in their own line: no task sorts lines or words of many pages."""
     assert "Window" not in executed(spark, name)
+
+
+@pytest.mark.parametrize("name", ["page_metrics_entropy", "page_metrics_transition", "page_metrics_full_join", "metric_axis_extent"])
+def test_metrics_of_a_page_make_no_row_for_an_item(spark, name):
+    """What is counted within a page is summed there: the one exchange by page is that of its text."""
+    plan = executed(spark, name)
+    assert "kind#" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert ("Aggregate" in plan) == (name == "metric_axis_extent")
