@@ -15,8 +15,10 @@ import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -74,16 +76,16 @@ _NAMES = re.compile(r' (\w+)="([^"]*)"')
 
 
 @lru_cache(100)
-def _words(order: tuple[str, ...]) -> re.Pattern:
-    """Words with text, whose attributes have this order."""
-    numbers = "".join(f' {n}="(-?[0-9]{{1,9}})"' for n in order)
-    return re.compile(rf"<word{numbers}>([^<&\]\x00-\x08\x0b-\x1f\ufffe\uffff]*)</word>")
+def _word(order: tuple[str, ...]) -> str:
+    """What stands before the end of a word with text, whose attributes have this order; a pattern of Arrow's."""
+    numbers = "".join(f' {n}="(?P<{n}>-?[0-9]{{1,9}})"' for n in order)
+    return rf"^[ \t\r\n]*<word{numbers}>(?P<VALUE>[^<&\]\x00-\x08\x0b-\x1f\x{{fffe}}\x{{ffff}}]*)$"
 
 
-def plain_page(xml: str) -> tuple[dict, tuple[str, ...], list[str]] | None:
-    """A page's attributes, the order of those of its words, and what ``re.split`` parts the words into.
+def plain_page(xml: str) -> tuple[dict, tuple[str, ...], str] | None:
+    """A page's attributes, the order of those of its words, and what stands between its head and its tail.
 
-    None if it is anything but a folio of words that have text and attributes of one order, written plainly.
+    None if head, tail or the first word are anything but plainly written; ``_plain`` looks at the words.
     """
     head, tail = _HEAD.match(xml), _TAIL.search(xml, max(0, len(xml) - 100))
     if not head or not tail or tail.start() < head.end():
@@ -92,37 +94,64 @@ def plain_page(xml: str) -> tuple[dict, tuple[str, ...], list[str]] | None:
     order = tuple(n for n, _ in _NAMES.findall(xml, head.end(), first + 1)) if first > 0 else ()
     if len(dict(own)) < len(own) or len(set(order)) < len(order) or not set(order) <= set(_WORD) or bool(order) != (first > 0):
         return None
-    parts = _words(order).split(xml[head.end() : tail.start()]) if order else [xml[head.end() : tail.start()]]
-    return None if "".join(parts[:: len(order) + 2]).strip(" \t\r\n") else (dict(own), order, parts)
+    body = xml[head.end() : tail.start()]
+    return None if not order and body.strip(" \t\r\n") else (dict(own), order, body)
+
+
+def _runs(pages: list[tuple | None]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    """Pages that follow one another and whose words have attributes of one order; those without words go with any."""
+    at, order = 0, ()
+    for k, page in enumerate(pages):
+        own = page[1] if page else ()
+        if own and order and own != order:
+            yield at, k, order
+            at = k
+        order = own or order
+    if pages:
+        yield at, len(pages), order
 
 
 def _plain(kept: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the content of a ``plain_page`` (plain) and leaves the XML of other pages only."""
+    """Adds the content of plain pages (plain), which are folios of words that have text and attributes of one order, and
+    leaves the XML of other pages only."""
     whole = pa.int32()
     element = pa.struct([*((f"_{n}", whole) for n in _WORD), ("_VALUE", pa.string())])
     kind = pa.struct([("_name", pa.string()), *((f"_{n}", whole) for n in _PAGE), ("word", pa.list_(element))])
 
+    def words_of(bodies: list[str], order: tuple[str, ...]) -> tuple[pa.StructArray, np.ndarray, np.ndarray]:
+        """The words of plain bodies, their number in each of these, and which bodies aren't plain."""
+        parts = pc.split_pattern(pa.array(bodies, pa.string()), "</word>")
+        ends = parts.offsets.to_numpy()[1:] - 1  # what follows a body's last word
+        parts, rest = parts.values, np.zeros(len(parts.values), bool)
+        rest[ends] = True
+        found = pc.extract_regex(parts, _word(order))
+        blank = pc.equal(pc.ascii_trim(parts, " \t\r\n"), "").to_numpy(zero_copy_only=False)
+        wrong = np.where(rest, ~blank, found.is_null().to_numpy(zero_copy_only=False))
+        of = np.repeat(np.arange(len(bodies)), np.diff(ends, prepend=-1))
+        odd = np.bincount(of[wrong], minlength=len(bodies)) > 0
+        use = ~rest & ~odd[of]
+        found = found.filter(pa.array(use))
+        numbers = [found.field(n).cast(whole) if n in order else pa.nulls(len(found), whole) for n in _WORD]
+        words = pa.StructArray.from_arrays([*numbers, pc.ascii_trim(found.field("VALUE"), _SPACE)], fields=list(element))
+        return words, np.bincount(of[use], minlength=len(bodies)), odd
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # the words of a page take more room than its XML
-                rows = batch.slice(at, 64)
-                xml = rows.column("xml").to_pylist()
-                pages = [x and plain_page(x) for x in xml]
-                fields, ends = {n: [] for n in (*_WORD, "_VALUE")}, [0]
-                for page in pages:
-                    _, order, parts = page or ({}, (), [""])
-                    step, n = len(order) + 2, (len(parts) - 1) // (len(order) + 2)
-                    ends.append(ends[-1] + n)
-                    if n:
-                        for name, values in fields.items():
-                            values += [None] * n if name not in (*order, "_VALUE") else parts[1 + (order.index(name) if name in order else len(order)) :: step]
-                texts = [v.strip(_SPACE) for v in fields.pop("_VALUE")]
-                each = pa.StructArray.from_arrays([*(pa.array(v, pa.string()).cast(whole) for v in fields.values()), pa.array(texts, pa.string())], fields=list(element))
-                lists = pa.ListArray.from_arrays(pa.array(ends, whole), each)
-                own = lambda name: pa.array([p[0].get(name) if p else None for p in pages], pa.string())  # noqa: B023, E731
-                found = pa.StructArray.from_arrays([own("name"), *(own(n).cast(whole) for n in _PAGE), lists], fields=list(kind), mask=pa.array([not p for p in pages]))
-                left = pa.array([None if p else x for p, x in zip(pages, xml, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*(left if c == "xml" else rows.column(c) for c in kept), found], [*kept, "plain"])
+                part = batch.slice(at, 64)
+                xmls = part.column("xml").to_pylist()
+                heads = [x and plain_page(x) for x in xmls]
+                for begin, end, order in _runs(heads):
+                    rows, xml, pages = part.slice(begin, end - begin), xmls[begin:end], heads[begin:end]
+                    each, n = pa.array([], element), np.zeros(len(pages), int)
+                    if order:
+                        each, n, odd = words_of([p[2] if p else "" for p in pages], order)
+                        pages = [None if wrong else p for p, wrong in zip(pages, odd, strict=True)]
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), whole), each)
+                    own = lambda name: pa.array([p[0].get(name) if p else None for p in pages], pa.string())  # noqa: B023, E731
+                    found = pa.StructArray.from_arrays([own("name"), *(own(n).cast(whole) for n in _PAGE), lists], fields=list(kind), mask=pa.array([not p for p in pages]))
+                    left = pa.array([None if p else x for p, x in zip(pages, xml, strict=True)], pa.string())
+                    yield pa.RecordBatch.from_arrays([*(left if c == "xml" else rows.column(c) for c in kept), found], [*kept, "plain"])
 
     return run
 
@@ -159,6 +188,16 @@ def boxes_in(rows: DataFrame) -> DataFrame:
     return words.select("folio", "page_width", "page_height", zero("w._index").alias("word_idx"), zero("w._x").alias("x"), zero("w._y").alias("y"), zero("w._width").alias("width"), zero("w._height").alias("height"), F.coalesce(F.trim("w._VALUE"), F.lit("")).alias("text"))
 
 
+def counts_in(rows: DataFrame) -> DataFrame:
+    """(file, member, folio, words, error) of ``parsed`` pages in one pass: the number of their word boxes, or the error instead.
+
+    Pages without words, and those that were null, have none of both and no row.
+    """
+    n = F.size("page.word")
+    counts = rows.select("file", "member", F.coalesce("page._name", F.lit("")).alias("folio"), F.when(F.col("error").isNull() & (n > 0), n).cast("long").alias("words"), "error")
+    return counts.where("words is not null or error is not null")
+
+
 def boxes_of(pages: DataFrame) -> DataFrame:
     """Word boxes of pages (xml), one a row."""
     return boxes_in(parsed(pages.withColumn("error", F.lit(None).cast("string"))))

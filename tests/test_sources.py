@@ -12,8 +12,11 @@ from lexigrid import cli
 from lexigrid.operators import counts as C
 from lexigrid.operators import grids as G
 from lexigrid.operators import groups as R
+from lexigrid.plans import source_queries
 from lexigrid.sources import boxes, corpus, results, transcription
 
+from .conftest import SF
+
 TEXT = """# header comment before any page (ignored)
 <f1r>  <! $Q=A $P=A $I=H $L=A $H=1 >
 <f1r.1,@P0>  <%>fachys.ykal.ar,ataiin
@@ -317,3 +320,38 @@ def test_plain_pages_are_parsed_as_others(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert boxes.parsed(rows).where("error is not null").count() == len(bad) > 5
     assert got._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+
+
+def test_plain_words_of_other_orders_and_pages_between(spark):
+    """Pages of several orders of attributes, without words, broken off, or with something between words, in one batch."""
+    word = lambda k, names: "<word" + "".join(f' {n}="{k}"' for n in names) + f">w{k} </word>"
+    kinds = [("index", "x"), ("x", "index"), ("index",), ("height", "width", "y", "x", "index")]
+    pages = [f'<folio name="p{k}">{between}{word(k, kinds[k % 4])}{between}{word(k + 1, kinds[k % 4 if k % 11 else 0])}\n</folio>' for k in range(150) for between in [("", " ", "<!-- -->", "text")[k % 7 % 4]]]
+    pages[20:20], pages[90:90] = ['<folio name="e"> </folio>', pages[3][:-4], "", pages[5][:60]], [None, '<folio name="e2"></folio>']
+    rows = spark.createDataFrame([(f"f{k}", None, x, None) for k, x in enumerate(pages)], "file string, member string, xml string, error string").coalesce(1)
+    general = F.from_xml("xml", boxes.SCHEMA + ", _malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    wide = rows.select("file", F.explode_outer(F.array(general)).alias("p")).cache()
+    bad = {r.file for r in wide.where("p._malformed is not null").collect()}
+    right = wide.select(F.when(F.col("p._malformed").isNull(), F.col("p")).alias("page"), F.lit(None).cast("string").alias("error"))
+    want = boxes.boxes_in(right.select("error", F.struct(*(F.col(f"page.{c}").alias(c) for c in ("_name", "_width", "_height", "_wordCount", "word"))).alias("page")))
+    found = boxes.parsed(rows).cache()
+    assert sorted(map(tuple, boxes.boxes_in(found).collect())) == sorted(map(tuple, want.collect()))
+    counts = boxes.counts_in(found).collect()
+    assert {r.file for r in counts if r.error} == bad and len(bad) >= 3
+    assert sorted((r.folio, r.words) for r in counts if not r.error) == sorted((r.folio, r["count"]) for r in want.groupBy("folio").count().collect())
+
+
+def test_pages_are_parsed_once_for_words_and_errors(spark):
+    plan = source_queries.xml_unreadable(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_extents_of_glyphs_without_a_row_for_each(spark):
+    rows = [("a", 100, 50, 0, 3, 4, 30, 9, "daiin"), ("a", 100, 50, 1, 40, 4, -7, 9, "o!l"), ("a", 100, 50, 2, 0, 0, 5, 5, "!"), ("b", 9, 9, 0, 1, 2, 0, 3, "k")]
+    words = spark.createDataFrame(rows, "folio string, page_width int, page_height int, word_idx int, x int, y int, width int, height int, text string")
+    ends = lambda low, high: (F.min(low), F.max(high), F.min("y"), F.max("y"))
+    every = G.glyph_boxes(words).groupBy("folio").agg(F.count("*"), *ends("x", "x"))
+    some = G.glyph_extents(words).groupBy("folio").agg(F.sum("glyphs"), *ends("min_x", "max_x"))
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect()))
+    plan = source_queries.xml_box_extents(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 0
