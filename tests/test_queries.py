@@ -12,7 +12,7 @@ from lexigrid.operators import counts as C
 from lexigrid.operators import grids as G
 from lexigrid.plans import further_oracle, further_queries, more_oracle, more_queries, source_oracle, source_queries  # noqa: F401  they add to the tables
 from lexigrid.plans.oracle import ORACLE_SQL
-from lexigrid.plans.queries import QUERIES
+from lexigrid.plans.queries import QUERIES, document_boxes
 from lexigrid.sources import corpus
 
 from .conftest import SF
@@ -124,3 +124,26 @@ def test_metrics_of_a_page_make_no_row_for_an_item(spark, name):
     plan = executed(spark, name)
     assert "kind#" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert ("Aggregate" in plan) == (name == "metric_axis_extent")
+
+
+@pytest.mark.parametrize("name", ["physpos_grid_manuscript", "physpos_raw_grid"])
+def test_sizes_of_pages_take_no_row_for_a_box(spark, name):
+    """Words and their glyphs are exploded for the grid alone, not for the largest page's size as well."""
+    plan = executed(spark, name)
+    assert plan.count("Generate posexplode") == 3 and "aggregate(" not in plan
+
+
+def test_words_of_long_lines_find_their_places(spark):
+    """What is kept of a line grows with its length, not with the words before each of its words."""
+    words = [["ab"[: 1 + k % 2] * (1 + k % 3) for k in range(n)] for n in (20000, 0, 1, 5)]
+    rows = [(1, "en", k, 9, 9, w) for k, w in enumerate([*words, None])]
+    lines = spark.createDataFrame(rows, "folio int, language string, line_idx int, boxes_width int, boxes_height int, words array<string>")
+    boxes = document_boxes(lines)
+    want = []
+    for line, ws in enumerate(words):
+        at = 0
+        for k, w in enumerate(ws):
+            want.append((line * 100000 + k, at * 12, line * 40, len(w) * 12, w))
+            at += len(w) + 1
+    assert sorted(map(tuple, boxes.select("word_idx", "x", "y", "width", "text").collect())) == want
+    assert "aggregate(" not in boxes._jdf.queryExecution().optimizedPlan().toString()
