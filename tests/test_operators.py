@@ -4,6 +4,7 @@ import random
 import shutil
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -194,3 +195,22 @@ def test_page_sums_give_the_metrics_of_items(spark):
     want = M.join_all(*tables).select(got.columns)
     shown = lambda df: sorted(tuple(v if v is None else round(v, 9) + 0 for v in r) for r in df.collect())
     assert len(shown(got)) == 5 and shown(got) == shown(want)
+
+
+@pytest.mark.parametrize("chars, pages", [(1, 1), (40, 200), (1 << 18, 3), (1 << 18, 200)])
+def test_pages_are_counted_many_at_once(monkeypatch, chars, pages):
+    """Where one call ends and the next begins changes nothing, also within the rows of one page; few calls count many pages."""
+    monkeypatch.setattr(P, "CHARS", chars)
+    monkeypatch.setattr(P, "PAGES", pages)
+    calls, count = [], P._pages
+    monkeypatch.setattr(P, "_pages", lambda *args: calls.append(1) or count(*args))
+    run = P._counter(EVA_DISTINCT, 5, 10, P._items(EVA_DISTINCT, 5, 10, pa.int64()))
+    ids = [1, 2, 2, 2, 3, 4, *range(5, 105)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(["Ca.to\nk", "to", None, "ao.k1", "", "\n.t\n", *["Co.ta\nokok"] * 100])], ["folio", "all"])
+    found = [r for x in run(batch.slice(k, 50) for k in (0, 50, 100)) for r in x.to_pylist()]
+    of = lambda folio, kind: {(r["a"], r["b"]): r["n"] for r in found if (r["folio"], r["kind"]) == (folio, kind)}
+    assert of(2, P.PAIR) == {("t", "o"): 1, ("a", "o"): 1, ("k", "1"): 1, ("o", "$"): 2, ("1", "$"): 1} | {(s, c): n for s in ("^^", "^^^", "^^^^") for c, n in (("t", 1), ("a", 1))} | {("^", c): 1 for c in "tak"} | {(c, e): 1 for e in ("$$", "$$$", "$$$$") for c in "o1"}
+    assert of(1, P.CELL) == {("0", "0"): 1, ("1", "0"): 1, ("2", "0"): 1, ("3", "0"): 1, ("0", "9"): 1}
+    assert of(4, P.PAIR) == {("t", "$"): 1, ("^", "t"): 1, ("^^", "t"): 1, ("t", "$$"): 1, ("^^^^", "t"): 1} and not of(3, P.PAIR)
+    assert all(of(k, P.TRIGRAMS) == {("", ""): 2} and of(k, P.NEAR) == {("", ""): 8} for k in range(5, 105))
+    assert (len(calls) <= 4) == (chars > 40 and pages > 3)

@@ -126,6 +126,13 @@ def test_metrics_of_a_page_make_no_row_for_an_item(spark, name):
     assert ("Aggregate" in plan) == (name == "metric_axis_extent")
 
 
+@pytest.mark.parametrize("name", ["page_metrics_transition", "charpos_total_chars"])
+def test_texts_are_dealt_out_before_they_are_normalised(spark, name):
+    """Every core normalises and counts, also where one task reads the whole table, and parts aren't merged by their bytes."""
+    above, below = re.split(r"Exchange hashpartitioning\(folio[^)]*\), REPARTITION_BY_NUM", executed(spark, name))
+    assert "regexp_replace" in above and "regexp_replace" not in below and below.count("Exchange") == 0
+
+
 @pytest.mark.parametrize("name", ["physpos_grid_manuscript", "physpos_raw_grid"])
 def test_sizes_of_pages_take_no_row_for_a_box(spark, name):
     """Words and their glyphs are exploded for the grid alone, not for the largest page's size as well."""
