@@ -126,7 +126,7 @@ def test_metrics_of_a_page_make_no_row_for_an_item(spark, name):
     assert ("Aggregate" in plan) == (name == "metric_axis_extent")
 
 
-@pytest.mark.parametrize("name", ["page_metrics_transition", "charpos_total_chars"])
+@pytest.mark.parametrize("name", ["page_metrics_transition", "metric_axis_extent", "charpos_total_chars"])
 def test_texts_are_dealt_out_before_they_are_normalised(spark, name):
     """Every core normalises and counts, also where one task reads the whole table, and parts aren't merged by their bytes."""
     above, below = re.split(r"Exchange hashpartitioning\(folio[^)]*\), REPARTITION_BY_NUM", executed(spark, name))
