@@ -6,8 +6,9 @@ folders, and the usual object stores); what only Spark can open is read by ``box
 
 A member that can't be read is a row with an error instead of its text, and so is an archive that is none.
 
-Writing makes an archive of each task's rows (member, xml) under a name of its own that readers pass over; those
-of the tasks that count get their final names when all are done, so tries that failed leave nothing to read.
+Writing makes an archive of each task's rows (member, xml), each member deflated, under a name of its own that readers
+pass over; those of the tasks that count get their final names when all are done, so tries that failed leave nothing to
+read. ``write`` holds the batches small in which pages, many times the size of their texts, get to the tasks.
 """
 
 from __future__ import annotations
@@ -20,15 +21,20 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 NAME = "zip_members"
 SCHEMA = "file string, member string, xml string, error string"
 #: Bytes of members, unpacked, that a task is planned for.
 PART_BYTES = 64 << 20
+#: Bytes of members, unpacked, that are handed over at a time.
+BATCH_BYTES = 4 << 20
+#: Of zlib, for what is written.
+LEVEL = 1
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -40,6 +46,11 @@ def wanted(member: str, suffix: str) -> bool:
     return member.endswith(suffix) and not member.startswith("__MACOSX") and not posixpath.basename(member).startswith(".")
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of SCHEMA."""
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["file", "member", "xml", "error"])
+
+
 @dataclass
 class Part(InputPartition):
     file: str
@@ -93,17 +104,26 @@ class _Reader(DataSourceReader):
         if part:
             yield Part(name, tuple(part))
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         if partition.error is not None:
-            yield partition.file, None, None, partition.error
+            yield _batch([(partition.file, None, None, partition.error)])
             return
         files, at = opened(partition.file)
+        rows, size = [], 0
         with files.open_input_file(at) as raw, zipfile.ZipFile(raw) as archive:
             for member in partition.members:
+                size += len(member)
                 try:
-                    yield partition.file, member, archive.read(member).decode("utf-8"), None
+                    content = archive.read(member)
+                    rows.append((partition.file, member, content.decode("utf-8"), None))
+                    size += len(content)
                 except (UnicodeDecodeError, zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as error:
-                    yield partition.file, member, None, f"{type(error).__name__}: {error}"
+                    rows.append((partition.file, member, None, f"{type(error).__name__}: {error}"))
+                if size >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
 
 @dataclass
@@ -111,22 +131,22 @@ class Written(WriterCommitMessage):
     name: str | None
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.run = path, overwrite, uuid.uuid4().hex
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         archive = None
         files, at = opened(self.path)
         files.create_dir(at, recursive=True)
         name = f"part-{self.run}-{uuid.uuid4().hex}.zip"
         out = None
-        for row in rows:
+        for member, xml in ((m, x) for batch in batches for m, x in zip(batch.column("member"), batch.column("xml"), strict=True)):
             if archive is None:
                 out = files.open_output_stream(f"{at}/_{name}")
-                archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
-            # a fixed time, so that equal rows make equal archives
-            archive.writestr(zipfile.ZipInfo(row["member"], (1980, 1, 1, 0, 0, 0)), (row["xml"] or "").encode())
+                archive = zipfile.ZipFile(out, "w")
+            # a fixed time, so that equal rows make equal archives; a ZipInfo has a compression of its own, which is none
+            archive.writestr(zipfile.ZipInfo(member.as_py(), (1980, 1, 1, 0, 0, 0)), xml.as_buffer() or b"", zipfile.ZIP_DEFLATED, LEVEL)
         if archive is None:
             return Written(None)
         archive.close()
@@ -155,3 +175,16 @@ class _Writer(DataSourceWriter):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ZipMembers)
+
+
+def write(pages: DataFrame, path: str) -> None:
+    """Archives of pages (member, xml) in a folder, which other archives may be in."""
+    spark, key = pages.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    register(spark)
+    before = spark.conf.get(key)
+    if not 0 < int(before.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        pages.write.format(NAME).mode("append").save(path)
+    finally:
+        spark.conf.set(key, before)

@@ -246,6 +246,31 @@ def test_archives_written_and_read(spark, tmp_path):
     assert read() == once
 
 
+def test_written_archives_are_compressed(spark, tmp_path):
+    at = str(tmp_path / "out")
+    boxes.archives.register(spark)
+    page = PAGE.replace("</folio>", "") + "".join(f'<word index="{k}" x="{k}" y="{k * 7}" width="50" height="20"> daiin </word>' for k in range(500)) + "</folio>"
+    pages = spark.createDataFrame([(f"p/{k}.xml", page) for k in range(20)], "member string, xml string").repartition(2)
+    pages.write.format("zip_members").mode("append").save(at)
+    members = [m for f in Path(at).glob("*.zip") for m in zipfile.ZipFile(f).infolist()]
+    assert len(members) == 20
+    assert all(m.compress_type == zipfile.ZIP_DEFLATED and m.compress_size * 4 < m.file_size == len(page) for m in members)
+    assert sum(f.stat().st_size for f in Path(at).iterdir()) * 4 < 20 * len(page)
+
+
+def test_archives_in_small_batches(spark, tmp_path):
+    at, key = str(tmp_path / "out"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    pages = spark.range(0, 12, 1, 1).selectExpr("concat(id, '.xml') as member", "repeat(cast(id % 10 as string), 1000000) as xml")
+    boxes.archives.write(pages, at)
+    assert spark.conf.get(key) == before
+    reader = boxes.archives.ZipMembers({"path": at}).reader(None)
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(batches) > 2 and max(b.nbytes for b in batches) < boxes.archives.BATCH_BYTES + 1_100_000
+    read = [(r["member"], r["xml"], r["error"]) for b in batches for r in b.to_pylist()]
+    assert sorted(read) == sorted((r.member, r.xml, None) for r in pages.collect())
+
+
 def test_command_line_names_unreadable_files(spark, path, broken, tmp_path, capsys):
     assert cli.main(["physpagepos", "--input", path, "--boxes", str(broken), "--output", str(tmp_path)]) == 0
     assert "4 files can't be read" in capsys.readouterr().err
