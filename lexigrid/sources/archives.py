@@ -28,7 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 NAME = "zip_members"
-SCHEMA = "file string, member string, xml string, error string"
+COLUMNS = ("file", "member", "xml", "error")
+SCHEMA = ", ".join(f"{c} string" for c in COLUMNS)
 #: Bytes of members, unpacked, that a task is planned for.
 PART_BYTES = 64 << 20
 #: Bytes of members, unpacked, that are handed over at a time.
@@ -48,7 +49,7 @@ def wanted(member: str, suffix: str) -> bool:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     """Rows of SCHEMA."""
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["file", "member", "xml", "error"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], list(COLUMNS))
 
 
 @dataclass
@@ -58,22 +59,7 @@ class Part(InputPartition):
     error: str | None = None
 
 
-class ZipMembers(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return NAME
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("suffix", ".xml"), int(self.options.get("partBytes", PART_BYTES)))
-
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], overwrite)
-
-
-class _Reader(DataSourceReader):
+class Reader(DataSourceReader):
     def __init__(self, path: str, suffix: str, part_bytes: int):
         self.path, self.suffix, self.part_bytes = path, suffix, part_bytes
 
@@ -126,6 +112,24 @@ class _Reader(DataSourceReader):
             yield _batch(rows)
 
 
+class ZipMembers(DataSource):
+    #: Other sources may make more of the members they read.
+    reads = Reader
+
+    @classmethod
+    def name(cls) -> str:
+        return NAME
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return self.reads(self.options["path"], self.options.get("suffix", ".xml"), int(self.options.get("partBytes", PART_BYTES)))
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"], overwrite)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     name: str | None

@@ -39,9 +39,9 @@ def folder_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The XML members of an archive, or of the archives of a folder."""
-    archives.register(spark)
-    return spark.read.format(archives.NAME).load(path)
+    """The XML members of an archive, or of the archives of a folder; plain pages have their content (plain) instead of their XML."""
+    spark.dataSource.register(ZipPages)
+    return spark.read.format(ZipPages.name()).load(path)
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,7 +62,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def whole_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``archive_pages`` of paths that only Spark can open: an archive is one row and goes to one task."""
+    """Members of archives in paths that only Spark can open, with their XML: an archive is one row and goes to one task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
     return files.mapInPandas(_members, archives.SCHEMA)
 
@@ -125,8 +125,8 @@ def _plain(kept: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         parts, rest = parts.values, np.zeros(len(parts.values), bool)
         rest[ends] = True
         found = pc.extract_regex(parts, _word(order))
-        blank = pc.equal(pc.ascii_trim(parts, " \t\r\n"), "").to_numpy(zero_copy_only=False)
-        wrong = np.where(rest, ~blank, found.is_null().to_numpy(zero_copy_only=False))
+        wrong = found.is_null().to_numpy(zero_copy_only=False)
+        wrong[ends] = pc.not_equal(pc.ascii_trim(parts.take(pa.array(ends)), " \t\r\n"), "").to_numpy(zero_copy_only=False)
         of = np.repeat(np.arange(len(bodies)), np.diff(ends, prepend=-1))
         odd = np.bincount(of[wrong], minlength=len(bodies)) > 0
         use = ~rest & ~odd[of]
@@ -156,14 +156,36 @@ def _plain(kept: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+class _PageReader(archives.Reader):
+    def read(self, partition: archives.Part) -> Iterator[pa.RecordBatch]:
+        return _plain(archives.COLUMNS)(super().read(partition))
+
+
+class ZipPages(archives.ZipMembers):
+    """Members of archives whose plain pages are parsed where they are read, as their XML takes many times the room."""
+
+    reads = _PageReader
+
+    @classmethod
+    def name(cls) -> str:
+        return "zip_pages"
+
+    def schema(self) -> str:
+        return f"{archives.SCHEMA}, plain struct<{SCHEMA}>"
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     """``pages`` with their content (page), and an error where there is none.
 
     Plain pages are parsed in batches, in a small part of the time that ``from_xml`` takes, which parses all others.
+    Those of ``archive_pages`` have been parsed by then.
     """
     general = F.from_xml("xml", SCHEMA + ", _malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
-    content = StructType.fromDDL(SCHEMA)
-    rows = pages.mapInArrow(_plain(pages.columns), StructType([*(StructField(f.name, f.dataType) for f in pages.schema), StructField("plain", content)]))
+    content, rows = StructType.fromDDL(SCHEMA), pages
+    if "plain" in pages.columns:
+        pages = pages.drop("plain")
+    else:
+        rows = pages.mapInArrow(_plain(pages.columns), StructType([*(StructField(f.name, f.dataType) for f in pages.schema), StructField("plain", content)]))
     # an explode, as the optimiser repeats what makes a column in filters below and for each field that is taken from it
     rows = rows.select(*pages.columns, "plain", F.explode_outer(F.array(general)).alias("other"))
     whole = F.struct(*(F.col(f"other.{c}").alias(c) for c in content.names))

@@ -271,6 +271,17 @@ def test_archives_in_small_batches(spark, tmp_path):
     assert sorted(read) == sorted((r.member, r.xml, None) for r in pages.collect())
 
 
+def test_pages_of_archives_are_parsed_where_they_are_read(spark, broken, tmp_path):
+    shutil.copy(broken / "pages.zip", tmp_path / "one.zip")
+    rows = boxes.archive_pages(spark, str(tmp_path))
+    by = {r.member: (r.xml is not None, r.plain is not None, r.error is not None) for r in rows.collect()}
+    assert {m[2]: x for m, x in by.items()} == {**dict.fromkeys("abh", (False, True, False)), **dict.fromkeys("cdef", (True, False, False)), **dict.fromkeys("gz", (False, False, True))}
+    # the same by way of their XML
+    xml = spark.read.format("zip_members").load(str(tmp_path))
+    values = lambda df: sorted(map(str, df.select("file", "member", "error", "page").collect()))
+    assert values(boxes.parsed(rows)) == values(boxes.parsed(xml))
+
+
 def test_command_line_names_unreadable_files(spark, path, broken, tmp_path, capsys):
     assert cli.main(["physpagepos", "--input", path, "--boxes", str(broken), "--output", str(tmp_path)]) == 0
     assert "4 files can't be read" in capsys.readouterr().err
